@@ -55,15 +55,15 @@ _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 
 def _pow(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, n at least; kept up to a block's length."""
+    """Powers of the base and of its inverse modulo 2**64, n at least; kept up to the length of a few blocks."""
     if len(_powers[0]) >= n:
         return _powers
     made = []
     for base in (_BASE, _INVERSE):
-        x = np.full(max(n, BLOCK), base, U64)
+        x = np.full(max(n, BLOCK + 1), base, U64)
         x[0] = 1
         made.append(np.cumprod(x, dtype=U64))
-    if n <= BLOCK:
+    if n <= 4 * BLOCK:
         _powers[:] = made
     return made
 
@@ -81,12 +81,12 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def words(column: pa.Array, delimiter: np.ndarray = SPACE, fold: bool = True) -> Iterator[Words]:
-    """Blocks of whole rows with their words; fold: A-Z count as a-z in the hashes."""
+def words(column: pa.Array, delimiter: np.ndarray = SPACE, fold: bool = True, block: int = BLOCK) -> Iterator[Words]:
+    """Blocks of whole rows (of block bytes, or one longer row) with their words; fold: A-Z count as a-z in the hashes."""
     data, at = bytes_of(column)
     row, n = 0, len(at) - 1
     while row < n:
-        stop = max(row + 1, int(np.searchsorted(at, at[row] + BLOCK, "right")) - 1)
+        stop = max(row + 1, int(np.searchsorted(at, at[row] + block, "right")) - 1)
         yield _block(row, data[at[row] : at[stop]], at[row : stop + 1] - at[row], delimiter, _LOWER if fold else _CODES)
         row = stop
 
