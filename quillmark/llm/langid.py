@@ -128,12 +128,13 @@ def predict(docs: DataFrame, model: Filter, column: str = "text", keep: tuple[st
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = len(keep)
+    text = keep.index(column) if column in keep else at
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             langs, scores = [], []
-            for block in _blocks([t or "" for t in batch.column(at).to_pylist()]):
+            for block in _blocks([t or "" for t in batch.column(text).to_pylist()]):
                 grams, doc, lettered = grams_of(block)
                 n, counts = model.counts(grams, doc, len(block))
                 if not model.languages:
@@ -143,7 +144,7 @@ def predict(docs: DataFrame, model: Filter, column: str = "text", keep: tuple[st
                 scores += np.where(lettered, np.clip(counts.max(axis=1) / np.maximum(n, 1), 0, 1), 0.0).tolist()
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
 
-    kept = docs.select(*keep, docs[column].alias("__text"))
+    kept = docs.select(*keep, *([docs[column].alias("__text")] if text == at else []))
     return kept.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:at]) + ", lang_pred string, score double")
 
 
@@ -168,7 +169,7 @@ def keep_identified(docs: DataFrame, column: str = "text", label: str = "lang")
     """The rows of docs, with all their columns, whose language is a learned one; fitted on those not held out."""
     model = fit(docs.where(~held_out(F.col("doc_id"))), column, label)
     names = docs.columns
-    judged = predict(docs.select(*names, F.col(column).alias("__text")), model, "__text", tuple(names))
+    judged = predict(docs, model, column, tuple(names))
     return judged.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*names)
 
 
