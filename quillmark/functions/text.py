@@ -100,7 +100,10 @@ def paragraphs(text: Column) -> Column:
 def char_grams(text: Column, n: int) -> Column:
     """All substrings of n code points of the lower-cased text with white space as one blank."""
     flat = F.regexp_replace(F.lower(text), r"\s+", " ")
-    return F.when(F.length(flat) >= n, F.transform(F.sequence(F.lit(1), F.length(flat) - (n - 1)), lambda i: F.substring(flat, i, n))).otherwise(F.array().cast("array<string>"))
+    characters = F.split(flat, "")  # places in an array are found at once, in a string by walking there
+    parts = [characters, *(F.slice(characters, k + 1, F.greatest(F.size(characters) - k, F.lit(0))) for k in range(1, n))]
+    joined = F.transform(F.arrays_zip(*(p.alias(f"c{k}") for k, p in enumerate(parts))), lambda x: F.concat(*(F.coalesce(x[f"c{k}"], F.lit("")) for k in range(n))))
+    return F.when(F.length(flat) >= n, F.slice(joined, 1, F.length(flat) - (n - 1))).otherwise(F.array().cast("array<string>"))
 
 
 def ratio(a: Column, b: Column) -> Column:

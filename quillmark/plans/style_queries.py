@@ -266,14 +266,14 @@ def embedding_nearest_centroid(spark, sf_dir):
 _GRAM = "regexp_replace(lower(text), '\\s+', ' ', 'g')"
 
 
-@query(f"""WITH {PASSAGES_SQL}, g AS (SELECT list_transform(range(1, length(t) - 1), lambda i: substring(t, i::INT, 3)) AS grams FROM (SELECT {_GRAM} AS t FROM p)),
+@query(f"""WITH {PASSAGES_SQL}, g AS (SELECT list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2]) AS grams FROM (SELECT string_split({_GRAM}, '') AS c FROM p)),
 n AS (SELECT unnest(grams) AS gram FROM g) SELECT gram, count(*) AS n FROM n WHERE regexp_full_match(gram, '[a-z ,.;:''"!?-]{{3}}') AND trim(gram) <> '' GROUP BY gram ORDER BY n DESC, gram LIMIT 120""")
 def trigram_vocabulary(spark, sf_dir):
     return style.trigram_vocabulary(passages(spark, sf_dir))
 
 
-@query(f"""WITH {PASSAGES_SQL}, q AS (SELECT doc_id, text FROM p), f AS (SELECT doc_id, {_GRAM} AS t FROM q),
-gr AS (SELECT doc_id, unnest(list_transform(range(1, greatest(length(t) - 1, 1)), lambda i: substring(t, i::INT, 3))) AS gram FROM f),
+@query(f"""WITH {PASSAGES_SQL}, q AS (SELECT doc_id, text FROM p), f AS (SELECT doc_id, string_split({_GRAM}, '') AS c FROM q),
+gr AS (SELECT doc_id, unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) AS gram FROM f),
 tf AS (SELECT doc_id, gram, count(*) AS tf FROM gr GROUP BY ALL), df AS (SELECT gram, count(*) AS df FROM tf WHERE doc_id % 3 <> 0 GROUP BY ALL HAVING count(*) >= 2),
 i AS (SELECT gram, ln((1 + (SELECT count(*) FROM q WHERE doc_id % 3 <> 0))::DOUBLE / (1 + df)) + 1 AS idf FROM df), w AS (SELECT doc_id, gram, (1 + ln(tf)) * idf AS w FROM tf JOIN i USING (gram)),
 nm AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL) SELECT doc_id, count(*) AS grams, round(sum(w / norm), 5) AS total, round(max(w / norm), 6) AS heaviest FROM w JOIN nm USING (doc_id) GROUP BY doc_id""")
