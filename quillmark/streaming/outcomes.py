@@ -11,13 +11,18 @@ def read_outcomes(spark: SparkSession, path: str, schema: StructType, files: int
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
+def _timed(stream: DataFrame, time: str, delay: str) -> DataFrame:
+    """Watermarks need instants; times without zone count as the session's."""
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
+
+
 def first_outcomes(stream: DataFrame, key: str, time: str, delay: str) -> DataFrame:
     """The first row that arrives of each key within delay of the watermark; state older than that is let go."""
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+    return _timed(stream, time, delay).dropDuplicatesWithinWatermark([key])
 
 
 def windowed_counts(stream: DataFrame, time: str, by: list[str], length: str, delay: str) -> DataFrame:
-    counts = stream.withWatermark(time, delay).groupBy(F.window(time, length), *by).agg(F.count("*").alias("n"))
+    counts = _timed(stream, time, delay).groupBy(F.window(time, length), *by).agg(F.count("*").alias("n"))
     return counts.select(F.col("window.start").alias("start"), *by, "n")
 
 

@@ -99,6 +99,6 @@ def test_response_shapes(spark):
 
 
 def test_paragraph_issues(spark):
-    rows = {"CHAPTER I. It began": "section_heading", "[Illustration: x]": "editorial_or_illustration", "[3] a note": "note_body", "A QUIET PLACE": "uppercase_heading_or_insert", "short\nlines\nhere": "verse_table_or_short_line_insert", "1234567890 1234567890 1234567890 12": "nonprose_or_cipher", "A plain sentence of prose.": ""}
+    rows = {"CHAPTER I. It began": "section_heading", "[Illustration: x]": "editorial_or_illustration", "[3] a note": "note_body", "A QUIET PLACE": "uppercase_heading_or_insert", "short\nlines\nhere": "verse_table_or_short_line_insert", "## 1234567890 @@ 1234567890 == 1234": "nonprose_or_cipher", "A plain sentence of prose.": ""}
     out = spark.createDataFrame([(k,) for k in rows], "t string").select("t", qc.paragraph_issue(F.col("t")).alias("i")).collect()
     assert {r.t: r.i for r in out} == rows
