@@ -1,5 +1,7 @@
 """Registered queries against their SQL in an independent database."""
 
+from numbers import Number
+
 import duckdb
 import pandas as pd
 import pytest
@@ -14,7 +16,7 @@ STYLE = [registry.FLAGSHIP, "gaussian_nb_priors", "dispersion_identity", "trigra
 
 def plain(df: pd.DataFrame) -> list[tuple]:
     df = df[sorted(df.columns)]
-    return sorted((tuple(None if pd.isna(v) else round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in row) for row in df.itertuples(index=False)), key=repr)
+    return sorted((tuple(None if pd.isna(v) else round(float(v), 6) if isinstance(v, Number) and not isinstance(v, bool) else str(v) for v in row) for row in df.itertuples(index=False)), key=repr)
 
 
 @pytest.fixture(scope="module")
