@@ -15,7 +15,7 @@ from quillmark.llm._words import SPACE, U64, mix, runs, words
 
 #: Words of a shingle; percent of the union that the intersection of linked sets makes up at least.
 SHINGLE, PERCENT = 5, 75
-#: Bits of a signature.
+#: Least bits of a signature; a larger set has as many as the power of two that is not below its size.
 BITS = 1024
 #: Counters of the sketch of shingle frequencies (a broadcast of 8 bytes each, whatever the input).
 CELLS = 1 << 20
@@ -46,10 +46,33 @@ def prefix_size(n: int) -> int:
 
 def signature(x: np.ndarray) -> bytes:
     """Bit b tells whether an odd number of shingles fall on b; sets differ in as many shingles as bits at least."""
-    odd = np.bincount((mix(x) & U64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    bits = max(BITS, 1 << (len(x) - 1).bit_length())
+    odd = np.bincount((mix(x) & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+class Signatures:
+    """The signatures of sets sorted by size, in a matrix for each width, with those of twice the width folded to it."""
+
+    def __init__(self, size: np.ndarray, signatures: list[bytes]):
+        self.size, self.width = size, np.array([len(x) for x in signatures])
+        self.stop = np.searchsorted(size, size * 100 // PERCENT, "right")
+        self.rows: dict[int, tuple[int, np.ndarray]] = {}
+        for width in np.unique(self.width).tolist():
+            lo, mid, hi = (int(np.searchsorted(self.width, w, side)) for w, side in ((width, "left"), (width, "right"), (2 * width, "right")))
+            own = np.frombuffer(b"".join(signatures[lo:mid]), U64).reshape(mid - lo, -1)
+            wide = np.frombuffer(b"".join(signatures[mid:hi]), U64).reshape(hi - mid, 2, own.shape[1])
+            self.rows[width] = lo, np.concatenate([own, wide[:, 0] ^ wide[:, 1]])
+
+    def near(self, i: int) -> np.ndarray:
+        """The sets after i that can be linked with it: their sizes and the differing bits bound the overlap from above."""
+        lo, rows = self.rows[int(self.width[i])]
+        stop = int(self.stop[i])
+        differ = np.bitwise_count(rows[i + 1 - lo : stop - lo] ^ rows[i - lo]).sum(axis=1, dtype=np.int64)
+        both = self.size[i] + self.size[i + 1 : stop]
+        return np.flatnonzero((both - differ) * (100 + PERCENT) >= 2 * PERCENT * both) + i + 1
+
+
 def key_of(x: np.ndarray) -> int:
     """A 64-bit hash of a set."""
     return int(mix(np.array([np.add.reduce(mix(x + U64(7))) + U64(len(x))], U64)).view(np.int64)[0])
@@ -60,13 +83,22 @@ def _profiles(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, np.int64)
+        held: list[np.ndarray] = []
+
+        def add() -> None:
+            cells[:] += np.bincount((np.concatenate(held) & U64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+            held.clear()
+
         for batch in batches:
-            sizes, keys, bits = [], [], []
+            sizes, keys, bits, total = [], [], [], 0
             for x in shingle_sets(batch.column(1)):
-                cells += 0 if not len(x) else np.bincount((x & U64(CELLS - 1)).astype(np.int64), minlength=CELLS) if len(x) > CELLS // 16 else _few(cells, x)
+                held.append(x)
+                total += len(x)
                 sizes.append(len(x))
                 keys.append(key_of(x) if len(x) else None)
                 bits.append(signature(x) if len(x) else None)
+            if total:
+                add()
             n = len(sizes)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], PROFILE)
         parts = cells.reshape(64, -1)
@@ -80,11 +112,6 @@ def _profiles(docs: DataFrame) -> DataFrame:
 PROFILE = ["doc_id", "n", "key", "bits", "part", "cells"]
 
 
-def _few(cells: np.ndarray, x: np.ndarray) -> int:
-    np.add.at(cells, (x & U64(CELLS - 1)).astype(np.int64), 1)
-    return 0
-
-
 def _sketch(profiles: DataFrame) -> np.ndarray:
     """How many sets have a shingle in each cell, added up part by part on the executors."""
 
@@ -202,13 +229,6 @@ def _by_run(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
         yield pa.concat_tables(held)
 
 
-def near(size: np.ndarray, bits: np.ndarray, i: int, stop: int) -> np.ndarray:
-    """Which of the sets after i, up to stop, can be linked with it: their sizes and the differing bits bound the overlap."""
-    differ = np.bitwise_count(bits[i + 1 : stop] ^ bits[i]).sum(axis=1, dtype=np.int64)
-    both = size[i] + size[i + 1 : stop]
-    return (both - differ) * (100 + PERCENT) >= 2 * PERCENT * both
-
-
 def forest(n: int, links: Iterator[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
     """Of links (i, partners) of n nodes, so many as join what they join."""
     label, out = np.arange(n), []
@@ -229,9 +249,8 @@ def _candidates(tiles: DataFrame) -> DataFrame:
             if tile.num_rows < 2:
                 continue
             rep, size, own, band = (tile.column(c).to_numpy() for c in ("rep", "size", "own", "band"))
-            bits = np.frombuffer(b"".join(tile.column("bits").to_pylist()), U64).reshape(len(rep), -1)
-            stops = np.searchsorted(size, size * 100 // PERCENT, "right")
-            links = ((i, np.flatnonzero(near(size, bits, i, int(stops[i]))) + i + 1) for i in range(len(rep) - 1) if own[i] == band[i])
+            signatures = Signatures(size, tile.column("bits").to_pylist())
+            links = ((i, signatures.near(i)) for i in range(len(rep) - 1) if own[i] == band[i])
             for i, j in forest(len(rep), links):
                 a.append(rep[i])
                 b.append(rep[j])
@@ -250,6 +269,8 @@ def _exact(sets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, n = [], [], []
         for tile in _by_run(batches, ("group", "tile")):
+            rep = tile.column("rep").to_numpy()
+            tile = tile.filter(pa.array(np.concatenate([[True], rep[1:] != rep[:-1]])))  # rows of equal doc_id
             if tile.num_rows < 2:
                 continue
             rep, size, members, block = (tile.column(c).to_numpy() for c in ("rep", "size", "members", "block"))
@@ -278,12 +299,11 @@ def _exact(sets: DataFrame) -> DataFrame:
 
 def links_of(size: np.ndarray, values: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
     """(i, the later sets linked with it) of sets sorted by size: bitmaps first, then exact intersections."""
-    bits = np.frombuffer(b"".join(map(signature, values)), U64).reshape(len(values), -1)
-    stops = np.searchsorted(size, size * 100 // PERCENT, "right")
+    signatures = Signatures(size, [signature(x) for x in values])
     begin = np.concatenate([[0], np.cumsum(size)])
     codes = None
     for i in range(len(values) - 1):
-        open_ = np.flatnonzero(near(size, bits, i, int(stops[i]))) + i + 1
+        open_ = signatures.near(i)
         if not len(open_):
             continue
         if len(open_) <= 4:
@@ -332,7 +352,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
             yield out.filter(kept)
 
     chosen = texts.join(found.withColumnRenamed("rep", "doc_id"), "doc_id").select("text", "key", F.col("doc_id").alias("rep"), "size", "members", "group", "block", "blocks")
-    sets = chosen.mapInArrow(make, "key long, rep long, size long, members long, group long, block int, blocks int, shingles binary").dropDuplicates(["rep"])
+    sets = chosen.mapInArrow(make, "key long, rep long, size long, members long, group long, block int, blocks int, shingles binary")
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(o, "block") * F.col("blocks") + F.greatest(o, "block"))
     dealt = sets.withColumn("tile", F.explode(F.when(F.col("blocks") > 1, pair).otherwise(F.array(F.lit(0)))))
     dealt = dealt.withColumn("diagonal", F.floor(F.col("tile") / F.col("blocks")) == F.col("tile") % F.col("blocks"))
