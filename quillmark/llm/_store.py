@@ -41,10 +41,17 @@ def local_path(path: str) -> str:
     return url.path
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lets Python workers see a few MB of rows at a time, so that long texts cannot fill an executor."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def partitions(spark: SparkSession) -> int:
     """How many groups to deal packed rows into: as many as Spark's shuffle partitions, 8 at least."""
     return max(8, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -19,7 +19,7 @@ from quillmark.llm._store import table
 #: A piece of at most so many bytes is merged directly; so many tokens are decoded at one leaf.
 LEAF, DECODE_LEAF = 32, 4096
 #: Pieces remembered by a worker; when full it starts anew.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 
 
 class Bpe:
@@ -131,37 +131,44 @@ def encode_texts(docs: DataFrame, path: str, column: str = "text", keep: tuple[s
     A null or empty text has no ids. Rows stay as they are, repeated ones too; no rows give none; columns outside keep
     are ignored. path names a rank file that every worker can open.
     """
-    at = len(keep)
+    kept = docs.select(*keep, docs[column].alias("__text"))
+    return kept.mapInArrow(lambda batches: _encoded(batches, path, keep), _schema(kept, len(keep), "ids binary"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = bpe_of(path).encoder()
-        for batch in batches:
-            ids = [encode(t) if t else b"" for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(ids, pa.binary())], [*keep, "ids"])
 
-    kept = docs.select(*keep, docs[column].alias("__text"))
-    return kept.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:at]) + ", ids binary")
+def _schema(df: DataFrame, n: int, more: str) -> str:
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:n]), more])
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, keep: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    encode, at = bpe_of(path).encoder(), len(keep)
+    for batch in batches:
+        ids = [encode(t) if t else b"" for t in batch.column(at).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(ids, pa.binary())], [*keep, "ids"])
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], path: str, keep: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    bpe, at = bpe_of(path), len(keep)
+    for batch in batches:
+        ids = batch.column(at).to_pylist()
+        made = [[len(x) // 4 for x in ids], [hashlib.sha256(x).hexdigest() for x in ids], [bpe.decode(np.frombuffer(x, "<u4")) for x in ids]]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:at], *map(pa.array, made, (pa.int64(), pa.string(), pa.binary()))], [*keep, "n_tokens", "ids_sha256", "decoded"])
 
 
 def decode_ids(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep, n_tokens, ids_sha256 and the binary column decoded of the rows of encode_texts."""
-    at = len(keep)
+    kept = encoded.select(*keep, "ids")
+    return kept.mapInArrow(lambda batches: _decoded(batches, path, keep), _schema(kept, len(keep), DECODED))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = bpe_of(path)
-        for batch in batches:
-            ids = batch.column(at).to_pylist()
-            made = [[len(x) // 4 for x in ids], [hashlib.sha256(x).hexdigest() for x in ids], [bpe.decode(np.frombuffer(x, "<u4")) for x in ids]]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], *map(pa.array, made, (pa.int64(), pa.string(), pa.binary()))], [*keep, "n_tokens", "ids_sha256", "decoded"])
 
-    kept = encoded.select(*keep, "ids")
-    return kept.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:at]) + ", n_tokens long, ids_sha256 string, decoded binary")
+DECODED = "n_tokens long, ids_sha256 string, decoded binary"
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row of docs."""
-    path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return decode_ids(encode_texts(docs, path), path).selectExpr("doc_id", "n_tokens", "ids_sha256", "sha2(decoded, 256) as decoded_sha256")
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row of docs: encode_texts and decode_ids in one worker."""
+    path, keep = path or public_tokenizers.path("byte_bpe_50k.tiktoken"), ("doc_id",)
+    kept = docs.select("doc_id", "text")
+    done = kept.mapInArrow(lambda batches: _decoded(_encoded(batches, path, keep), path, keep), _schema(kept, 1, DECODED))
+    return done.selectExpr("doc_id", "n_tokens", "ids_sha256", "sha2(decoded, 256) as decoded_sha256")
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -183,6 +183,12 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, most: int
 
 
 def _scan(docs: DataFrame, shared: Broadcast | None, names: list[str], k: int) -> DataFrame:
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema.fields)
+    return docs.mapInArrow(_scanner(shared, names, k), f"{schema}, n_words long, hits {HITS}, hit_items array<string>")
+
+
+def _scanner(shared: Broadcast | None, names: list[str], k: int):
+    """Adds the hits of one automaton to those of the k before it."""
     at, text = len(names), names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,8 +207,7 @@ def _scan(docs: DataFrame, shared: Broadcast | None, names: list[str], k: int) -
                     found[row] = sorted({*found[row], *items})
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(n), pa.array(hits, _HITS), pa.array(found, pa.list_(pa.string()))], [*names, "n_words", "hits", "hit_items"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema.fields)
-    return docs.mapInArrow(run, f"{schema}, n_words long, hits {HITS}, hit_items array<string>")
+    return run
 
 
 def cut_hits(found: DataFrame, longest: int = WINDOW, coverage: float = 0.8) -> DataFrame:
@@ -212,6 +217,21 @@ def cut_hits(found: DataFrame, longest: int = WINDOW, coverage: float = 0.8) ->
     too). The rest of the text stays as it is, and n_chars (if there is one) follows it. Null texts stay null.
     """
     names = [c for c in found.columns if c not in ("n_words", "hits", "hit_items")]
+    return found.mapInArrow(_cutter(names, longest, coverage), found.select(*names).schema)
+
+
+def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, most: int = MOST_WORDS, coverage: float = 0.8) -> DataFrame:
+    """cut_hits of find_hits, the last automaton's scan and the cut in one worker."""
+    names = [c for c in docs.columns if c not in ("n_words", "hits", "hit_items")]
+    out = docs.select(*names)
+    *first, last = automata(items, window, most) or [None]
+    for k, shared in enumerate(first):
+        out = _scan(out, shared, names, k)
+    scan, cut = _scanner(last, names, len(first)), _cutter(names, window, coverage)
+    return out.mapInArrow(lambda batches: cut(scan(batches)), docs.select(*names).schema)
+
+
+def _cutter(names: list[str], longest: int, coverage: float):
     text = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +259,7 @@ def cut_hits(found: DataFrame, longest: int = WINDOW, coverage: float = 0.8) ->
                     columns["n_chars"] = pa.array(sizes, columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names)
 
-    return found.mapInArrow(run, found.select(*names).schema)
+    return run
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

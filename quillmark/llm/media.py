@@ -129,30 +129,38 @@ def to_media(docs: DataFrame, column: str = "text") -> DataFrame:
     A null text counts as an empty one, whose image is one row of padding. Repeated rows stay; no rows give none;
     other columns are ignored. A text takes a few times its own size in memory.
     """
+    return docs.select("doc_id", column).mapInArrow(_stored, "doc_id long, n_bytes long, media binary")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            media = [png_encode(np.frombuffer(payload_of(t or b""), np.uint8).reshape(-1, WIDTH)) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t or b"") for t in texts], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select("doc_id", column).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column(1).cast(pa.binary()).to_pylist()
+        media = [png_encode(np.frombuffer(payload_of(t or b""), np.uint8).reshape(-1, WIDTH)) for t in texts]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t or b"") for t in texts], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
 
 def media_features(media: DataFrame) -> DataFrame:
     """Reads the images of to_media back: the digests of payload and image, and the cosine hash as hex and as binary."""
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(_read_back, FEATURES)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for png in batch.column("media").to_pylist():
-                samples = png_decode(png)
-                payload, bits = samples.tobytes(), cosine_hash(samples)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(png), hashlib.sha256(png).hexdigest(), bits.hex(), bits))
-            made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 7, KINDS, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *made], NAMES)
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, feature_bits binary")
+def stored_features(docs: DataFrame, column: str = "text") -> DataFrame:
+    """media_features of to_media in one worker."""
+    return docs.select("doc_id", column).mapInArrow(lambda batches: _read_back(_stored(batches)), FEATURES)
+
+
+def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for png in batch.column("media").to_pylist():
+            samples = png_decode(png)
+            payload, bits = samples.tobytes(), cosine_hash(samples)
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(png), hashlib.sha256(png).hexdigest(), bits.hex(), bits))
+        made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 7, KINDS, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *made], NAMES)
+
+
+FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, feature_bits binary"
 
 
 KINDS = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
@@ -160,4 +168,4 @@ NAMES = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_features(to_media(table(spark, sf_dir, "documents"))).drop("feature_bits")
+    return stored_features(table(spark, sf_dir, "documents")).drop("feature_bits")
