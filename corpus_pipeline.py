@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.llm._store import table, written
+from quillmark.llm._store import small_batches, table, written
 from quillmark.llm.bpe import round_trip
-from quillmark.llm.decontaminate import cut_hits, find_hits
+from quillmark.llm.decontaminate import decontaminated
 from quillmark.llm.jaccard import keep_one_of_each
 from quillmark.llm.langid import keep_identified
 from quillmark.llm.lines import dedup_lines
@@ -14,6 +14,7 @@ from quillmark.llm.lines import dedup_lines
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages; those without a letter or mostly of unknown n-grams go."""
+    small_batches(spark)
     return keep_identified(docs)
 
 
@@ -24,16 +25,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near copies, the document of least doc_id."""
+    small_batches(spark)
     return keep_one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that benchmark items have."""
-    return cut_hits(find_hits(docs, table(spark, sf_dir, "benchmark")))
+    return decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of what they decode to."""
+    small_batches(spark)
     return round_trip(docs)
 
 
