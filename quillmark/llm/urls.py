@@ -46,7 +46,7 @@ def alias_edges(pages: DataFrame) -> DataFrame:
     """(from_url, to_url) of canonical links and refresh redirects in html; relative paths without a leading / are left out."""
     tags = F.regexp_extract_all("html", F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
     kinds = F.filter(tags, lambda t: t.rlike(r"(?is)\brel\s*=\s*[\"']?canonical\b") | t.rlike(r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh\b"))
-    found = pages.where("url is not null and html is not null").select(F.col("url").alias("from_url"), F.explode(kinds).alias("tag"))
+    found = pages.where("url is not null and html is not null").select(F.col("url").alias("from_url"), F.explode_outer(kinds).alias("tag")).where("tag is not null")
     link = F.coalesce(*(F.nullif(F.regexp_extract("tag", p, 1), F.lit("")) for p in (r"(?is)\bhref\s*=\s*\"([^\"]*)\"", r"(?is)\bhref\s*=\s*'([^']*)'", r"(?is)\bhref\s*=\s*([^\s\"'>]+)", r"(?is)\burl\s*=\s*[\"']?([^\"'>]+)")))
     href = F.replace(F.trim(link), F.lit("&amp;"), F.lit("&"))
     base = F.regexp_extract("from_url", r"(?s)^(.*?://[^/?#]*)", 1)
