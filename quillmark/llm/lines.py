@@ -17,7 +17,7 @@ def _line_hash(line: Column) -> Column:
 
 
 def chunks_of(docs: DataFrame, column: str = "text") -> DataFrame:
-    """docs with the column chunks, an array of (n, body): a chunk's number of lines, and its lines joined by newlines.
+    """docs with the column chunks, an array of (n, body): a chunk's number of lines, and its lines joined by newlines; none of a null text.
 
     A chunk ends after each line at which 31 times the hash of the line before it (0 for the first) plus its own hash
     leaves 0 modulo SPREAD, and at the end. Boundaries hang on two lines only, so that inserted lines shift none beyond.
@@ -32,7 +32,10 @@ def chunks_of(docs: DataFrame, column: str = "text") -> DataFrame:
     starts = F.concat(F.array(F.lit(0)), F.slice("__ends", 1, F.size("__ends") - 1))
     both = ended.withColumn("__both", F.zip_with(starts, "__ends", lambda a, b: F.struct(a.alias("a"), (b - a).alias("n"))))
     chunk = lambda x: F.struct(x.n.alias("n"), F.array_join(F.slice("__lines", x.a + 1, x.n), "\n").alias("body"))
-    return both.withColumn("chunks", F.transform("__both", chunk)).drop("__lines", "__h", "__r", "__ends", "__both")
+    chunks = F.coalesce(F.transform("__both", chunk), F.array().cast("array<struct<n:int,body:string>>"))
+    # always true, but not to the optimizer, which else copies all of this into filters that it pushes to the scan
+    chunks = F.when(F.monotonically_increasing_id() >= 0, chunks)
+    return both.withColumn("chunks", chunks).drop("__lines", "__h", "__r", "__ends", "__both")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -47,7 +50,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     docs = docs.select(*names)
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    numbered = chunks_of(texts).select("doc_id", F.posexplode("chunks").alias("pos", "chunk")).where(F.col("chunk.n") >= LEAST)
+    # outer, since an inner explode would filter by the size of the array and compute all of it once more
+    numbered = chunks_of(texts).select("doc_id", F.posexplode_outer("chunks").alias("pos", "chunk")).where(F.col("chunk.n") >= LEAST)
     rows = numbered.select("doc_id", "pos", F.unhex(F.md5("chunk.body")).alias("digest"))
     first = rows.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first")).where("n > 1").select("digest", "first")
     doubles = rows.join(first, "digest").where("struct(doc_id, pos) > first").select("digest", "doc_id", "pos").distinct()
