@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm._store import table, written
+from quillmark.llm._store import release, table, written
 from quillmark.llm._words import SPACE, U64, Words, mix, runs, words
 
 #: Words of a window; words that a tree's edge symbol stands for (WINDOW is a multiple of it).
@@ -162,9 +162,11 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     copies = own.where("doc_id > source").select("doc_id").distinct()
     alone = own.where("doc_id = source").select("doc_id", F.explode("anchors").alias("anchor"))
     shared = alone.groupBy("anchor").agg(F.countDistinct("doc_id").alias("docs")).where("docs > 1")
-    lists = alone.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "docs")).alias("anchors"))
+    lists = written(alone.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "docs")).alias("anchors")))
+    release(texts.sparkSession)
     leaves = deep_leaves(suffixes_of(texts.join(lists, "doc_id").select("doc_id", "text", "anchors")))
-    starts = leaves.groupBy("doc_id").agg(F.collect_list("start").alias("starts")).withColumn("copy", F.lit(False))
+    starts = written(leaves.groupBy("doc_id").agg(F.collect_list("start").alias("starts"))).withColumn("copy", F.lit(False))
+    release(texts.sparkSession)
     return starts.unionByName(copies.select("doc_id", F.array().cast("array<int>").alias("starts"), F.lit(True).alias("copy")))
 
 
