@@ -98,7 +98,7 @@ def _join(column: pa.ChunkedArray, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
-def _save(folder: str, name: str, array: np.ndarray) -> None:
+def save(folder: str, name: str, array: np.ndarray) -> None:
     """Written aside and renamed, so that a task that runs again leaves one whole file."""
     os.makedirs(folder, exist_ok=True)
     aside = f"{folder}/{name}.{uuid.uuid4().hex}.aside"
@@ -119,13 +119,13 @@ def _merge_bigrams(folder: str, bits: int):
         order, at = _grouped(keys_of(history, token))
         n = np.add.reduceat(n[order].astype(np.int64), at)
         history, token = history[order[at]], token[order[at]]
-        _save(folder, f"key-{shard}", keys_of(history, token))
-        _save(folder, f"n-{shard}", n.astype(np.uint32))
+        save(folder, f"key-{shard}", keys_of(history, token))
+        save(folder, f"n-{shard}", n.astype(np.uint32))
         order, at = _grouped(history)
         by = n[order]
-        _save(folder, f"history-{shard}", history[order[at]])
+        save(folder, f"history-{shard}", history[order[at]])
         stats = [np.add.reduceat(x.astype(np.int64), at) for x in (by, by == 1, by == 2, by > 2)]
-        _save(folder, f"stats-{shard}", np.stack(stats, axis=1).astype(np.float32))
+        save(folder, f"stats-{shard}", np.stack(stats, axis=1).astype(np.float32))
         order, at = _grouped(token)
         before = np.diff(np.concatenate([at, [len(token)]])).astype(np.uint32)
         count, token = np.add.reduceat(n[order], at), token[order[at]]
@@ -144,8 +144,8 @@ def _merge_tokens(folder: str):
         token, before, count = _join(group.column("token"), U64), _join(group.column("before"), np.uint32), _join(group.column("count"), np.int64)
         order, at = _grouped(token)
         before, count = np.add.reduceat(before[order].astype(np.int64), at), np.add.reduceat(count[order], at)
-        _save(folder, f"token-{shard}", token[order[at]])
-        _save(folder, f"count-{shard}", np.stack([count, before], axis=1))
+        save(folder, f"token-{shard}", token[order[at]])
+        save(folder, f"count-{shard}", np.stack([count, before], axis=1))
         sums = [len(at), int(count.sum()), int(before.sum()), *_tops(before)]
         return pa.table([pa.array([x], pa.int64()) for x in sums], TOTALS)
 

@@ -4,22 +4,22 @@ from __future__ import annotations
 
 import re
 import string
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm._store import table, written
-from quillmark.llm._words import SPACE, U64, words
+from quillmark.llm._store import local_path, partitions, shared_dir, table, written
+from quillmark.llm._words import SPACE, U64, Words, bytes_of, words
+from quillmark.llm.lm import Shards, save
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Words on each side of an entity that may give it away; characters looked at for them.
-NEAR, REACH = 5, 200
-#: A term gives an entity away if it stands near it in so many documents at least, in such a share of the documents
-#: that have the term, and if seeing the term raises the entity's probability by so many bits.
-TOGETHER, SHARE, BITS = 3, 0.8, 5.0
+#: A term gives an entity (or a class of entities) away if the smoothed share of the documents with the term that have
+#: the entity is so large, and if seeing the term raises the entity's probability by so many bits. SMOOTH is the weight,
+#: in documents, of the entity's overall probability: at 0.5 one document proves nothing, and two that agree suffice.
+SHARE, BITS, SMOOTH = 0.8, 5.0, 0.5
 #: Pairs of document and word that a task counts before it merges equal words.
 BUFFER = 4_000_000
 
@@ -27,7 +27,6 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _FOLD = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 _LOCAL_CHARACTERS = frozenset(string.ascii_letters + string.digits + "._%+-")
 
@@ -73,37 +72,45 @@ def entity_of(kind: str, text: str) -> str:
     return kind + ":" + ("".join(c for c in text if c in string.digits) if kind in ("card", "phone") else text.translate(_FOLD))
 
 
-def near_terms(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end): the lower-cased words beside each entity that overlap no match."""
-    taken = [(s, e) for _, s, e in spans]
-    out = []
-    for kind, start, end in spans:
-        lo, hi = max(0, start - REACH), min(len(text), end + REACH)
-        before = [m.span() for m in _WORD.finditer(text, lo, start) if m.start() > lo or lo == 0 or text[lo - 1] in " \t\n\x0b\x0c\r"]
-        after = [m.span() for m in _WORD.finditer(text, end, hi) if m.end() < hi or hi == len(text) or text[hi] in " \t\n\x0b\x0c\r"]
-        whole = [x for x in before if x[1] < start or text[start - 1] in " \t\n\x0b\x0c\r"][-NEAR:] + [x for x in after if x[0] > end or text[end] in " \t\n\x0b\x0c\r"][:NEAR]
-        entity = entity_of(kind, text[start:end])
-        out += [(entity, text[a:b].translate(_FOLD), a, b) for a, b in whole if not any(s < b and a < e for s, e in taken)]
-    return out
-
-
-_NEAR_TYPE = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
-
-
 def _scan(docs: DataFrame) -> DataFrame:
+    """doc_id, entities and terms of the documents with a match: what they protect, its classes (as in email:), and the distinct hashes of their words outside the matches."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             spans = [base_spans(t) for t in texts]
-            near = [near_terms(t, s) if s else [] for t, s in zip(texts, spans, strict=True)]
-            flat = [x[1] for xs in near for x in xs]
-            hashes = iter([h for block in words(pa.array(flat, pa.string())) for h in block.hashes.view(np.int64).tolist()])
-            rows = [[{"entity": e, "term": next(hashes), "start": a, "end": b} for e, _, a, b in xs] for xs in near]
-            counts = [pa.array([sum(s[0] == k for s in x) for x in spans], pa.int64()) for k in KINDS[:4]]
-            base = pa.array([",".join(f"{k}:{a}:{b}" for k, a, b in x) for x in spans], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, base, pa.array(rows, _NEAR_TYPE)], ["doc_id", *(f"n_{k}" for k in KINDS[:4]), "base", "near"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, near array<struct<entity:string,term:long,start:int,end:int>>")
+            has = [i for i, (x, known) in enumerate(zip(spans, batch.column(0).is_valid().to_pylist(), strict=True)) if x and known]
+            entities = [sorted({e for k, a, b in spans[i] for e in (entity_of(k, texts[i][a:b]), f"{k}:")}) for i in has]
+            terms = [b"".join(np.unique(hashes).tobytes() for _, hashes, _, _ in free_words(pa.array([texts[i]], pa.string()), [spans[i]])) for i in has]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(has, pa.int64())), pa.array(entities, pa.list_(pa.string())), pa.array(terms, pa.binary())], ["doc_id", "entities", "terms"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, entities array<string>, terms binary")
+
+
+def free_words(column: pa.Array, spans: list[list[tuple[str, int, int]]], wanted: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, hashes, start, end) of the words that overlap no span of their row, in code points; only of rows with wanted words and those words, if given."""
+    for block in words(column, SPACE):
+        hit = np.flatnonzero(wanted(block.hashes)) if wanted else np.arange(len(block.hashes))
+        if not len(hit):
+            continue
+        points = np.concatenate([[0], np.cumsum((block.data & 0xC0) != 0x80)])
+        start, end = points[block.start[hit]], points[block.end[hit]]
+        row = np.searchsorted(block.first, hit, "right") - 1
+        edges = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1], [True]]))
+        # a row's code points begin where those of its first byte do
+        first = points[_row_starts(column, block)]
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            r = int(row[a])
+            s, e = start[a:b] - first[r], end[a:b] - first[r]
+            free = np.ones(b - a, bool)
+            for _, lo, hi in spans[block.row + r]:
+                free &= (e <= lo) | (s >= hi)
+            yield block.row + r, block.hashes[hit[a:b]][free], s[free], e[free]
+
+
+def _row_starts(column: pa.Array, block: Words) -> np.ndarray:
+    _, at = bytes_of(column)
+    return at[block.row : block.row + len(block.first) - 1] - at[block.row]
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -140,34 +147,93 @@ def _counted(keys: np.ndarray, counts: np.ndarray, step: int = 500_000) -> Itera
         yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + step].view(np.int64)), pa.array(counts[i : i + step])], ["term", "n"])
 
 
-def find_pii(docs: DataFrame, together: int = TOGETHER, share: float = SHARE, bits: float = BITS) -> DataFrame:
+def together(scanned: DataFrame, able: DataFrame) -> DataFrame:
+    """(entity, term, both): in how many documents each able entity and each term stand together; tasks add up their own first."""
+    own = scanned.select("doc_id", F.explode("entities").alias("entity")).join(able.select("entity"), "entity")
+    own = own.groupBy("doc_id").agg(F.collect_set("entity").alias("able"))
+    rows = scanned.select("doc_id", "terms").dropDuplicates(["doc_id"]).join(own, "doc_id").select("able", "terms")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[np.ndarray]] = {}
+        size = 0
+        for batch in batches:
+            for entities, terms in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for entity in entities:
+                    held.setdefault(entity, []).append(np.frombuffer(terms, U64))
+                    size += len(terms) // 8
+                    if size > BUFFER:
+                        yield from flush(held)
+                        held, size = {}, 0
+        yield from flush(held)
+
+    def flush(held: dict[str, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for entity, arrays in held.items():
+            term, both = np.unique(np.concatenate(arrays), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([entity] * len(term), pa.string()), pa.array(term.view(np.int64)), pa.array(both.astype(np.int64))], ["entity", "term", "both"])
+
+    return rows.mapInArrow(run, "entity string, term long, both long").groupBy("entity", "term").agg(F.sum("both").alias("both"))
+
+
+def disclosing(docs: DataFrame, share: float = SHARE, bits: float = BITS, smooth: float = SMOOTH) -> DataFrame:
+    """(entity, term): every term, as its hash, that gives away an entity or a class of them; see find_pii."""
+    total = docs.count()
+    scanned = written(_scan(docs))
+    entities = scanned.select("doc_id", F.explode("entities").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("have"))
+    prior = F.col("have") / F.lit(float(max(total, 1)))
+    share_of = lambda both, n: (both + smooth * prior) / (n + smooth)
+    enough = lambda p: (p >= share) & (F.log2(p / prior) >= bits)
+    # a term of all the entity's documents and of no other is the best there can be
+    able = written(entities.where(enough(share_of(F.col("have"), F.col("have")))))
+    pairs = together(scanned, able).join(able, "entity").where(enough(share_of(F.col("both"), F.col("both"))))
+    pairs = written(pairs)
+    counts = term_counts(docs).join(pairs.select("term").distinct(), "term", "left_semi")
+    return pairs.join(counts, "term").where(enough(share_of(F.col("both"), F.greatest("n", "both")))).select("entity", "term")
+
+
+def _kept(folder: str):
+    def run(group: pa.Table) -> pa.Table:
+        save(folder, f"term-{group.column('shard')[0].as_py()}", np.sort(group.column("term").to_numpy().view(U64)))
+        return pa.table({"n": pa.array([group.num_rows], pa.int64())})
+
+    return run
+
+
+def find_pii(docs: DataFrame, share: float = SHARE, bits: float = BITS, smooth: float = SMOOTH) -> DataFrame:
     """doc_id, the base counts, base (spans as text) and spans (with those of disclosing terms) of every row of docs.
 
-    P(entity | term) is the share of the documents with the term in which it stands within NEAR words of the entity, and
-    P(entity) the share of all documents that have the entity beside some word; log2 of their ratio is what the term
-    discloses, in bits. Terms beyond all three thresholds are spans of kind term where they stand beside that entity.
+    P(entity) is the share of all documents that have the entity, and P(entity | term) that of the documents with the
+    term, anywhere in the text, drawn towards P(entity) by the weight of `smooth` documents; log2 of their ratio is what
+    the term discloses, in bits. Entities are the protected ones and their four classes, so that one of a single
+    document, where nothing can be told from chance, still has the terms that go with its class. A term beyond both
+    thresholds for some entity is a span of kind term wherever it stands outside a match, in any document.
     All counts cover all documents. Null texts count as empty; rows without doc_id, or of an equal one, stay, and equal
-    ids count as one document; other columns are ignored.
+    ids count as one document where entities are counted; other columns are ignored. The terms lie in the shared folder,
+    where workers map them.
     """
-    scanned = written(_scan(docs))
-    beside = scanned.where("size(near) > 0 and doc_id is not null").select("doc_id", F.explode("near").alias("x")).select("doc_id", "x.*")
-    pairs = beside.groupBy("entity", "term", "doc_id").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= together)
-    entities = beside.select("entity", "doc_id").distinct().groupBy("entity").agg(F.count("*").alias("have"))
-    total = scanned.agg(F.count("*").alias("docs"))
-    wanted = pairs.select("term").distinct()
-    counts = term_counts(docs).join(wanted, "term", "left_semi")
-    scored = pairs.join(counts, "term").join(entities, "entity").crossJoin(F.broadcast(total))
-    gain = F.log2((F.col("both") / F.col("n")) / (F.col("have") / F.col("docs")))
-    telling = scored.where((F.col("both") >= share * F.col("n")) & (gain >= bits)).select("entity", "term")
-    found = beside.join(telling, ["entity", "term"]).groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("terms"))
-    out = scanned.drop("near").join(found, "doc_id", "left")
-    split = F.transform(F.filter(F.split("base", ","), lambda x: x != ""), lambda x: F.struct(F.split_part(x, F.lit(":"), F.lit(2)).cast("int").alias("s"), F.lit(0).alias("last"), x.alias("span")))
-    terms = F.transform(F.coalesce("terms", F.array().cast("array<struct<start:int,end:int>>")), lambda x: F.struct(x.start.alias("s"), F.lit(1).alias("last"), F.concat_ws(":", F.lit("term"), x.start, x["end"]).alias("span")))
-    ordered = F.transform("all", lambda x: x.span)
-    # base spans already stand in order, so those of equal start keep their order by kind through their place
-    numbered = F.transform(split, lambda x, i: F.struct(x.s.alias("s"), i.alias("last"), x.span.alias("span")))
-    late = F.transform(terms, lambda x: F.struct(x.s.alias("s"), F.lit(2**31 - 1).alias("last"), x.span.alias("span")))
-    return out.withColumn("all", F.array_sort(F.concat(numbered, late))).withColumn("spans", F.array_join(ordered, ",")).drop("all", "terms")
+    spark = docs.sparkSession
+    bits_of_shard = max(3, (partitions(spark) - 1).bit_length())
+    folder = local_path(shared_dir(spark))
+    terms = disclosing(docs, share, bits, smooth).select("term").distinct().withColumn("shard", F.shiftrightunsigned("term", 64 - bits_of_shard))
+    terms.groupBy("shard").applyInArrow(_kept(folder), "n long").collect()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards = Shards(folder, bits_of_shard)
+
+        def wanted(hashes: np.ndarray) -> np.ndarray:
+            distinct, place = np.unique(hashes, return_inverse=True)
+            return (shards.find("term", "term", distinct, ~distinct) == distinct)[place]
+
+        for batch in batches:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            spans = [base_spans(t) for t in texts]
+            counts = [pa.array([sum(s[0] == k for s in x) for x in spans], pa.int64()) for k in KINDS[:4]]
+            both = list(spans)
+            for row, _, start, end in free_words(pa.array(texts, pa.string()), spans, wanted):
+                both[row] = sorted([*spans[row], *(("term", a, b) for a, b in zip(start.tolist(), end.tolist(), strict=True))], key=lambda x: (x[1], KINDS.index(x[0])))
+            said = [pa.array([",".join(f"{k}:{a}:{b}" for k, a, b in x) for x in xs], pa.string()) for xs in (spans, both)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, *said], ["doc_id", *(f"n_{k}" for k in KINDS[:4]), "base", "spans"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, spans string")
 
 
 def redact(docs: DataFrame, found: DataFrame) -> DataFrame:
