@@ -1,4 +1,4 @@
-"""An interpolated modified Kneser-Ney bigram model: counted in Spark, kept as sorted hash arrays that workers memory-map."""
+"""An interpolated modified Kneser-Ney model of any order from 2 on: counted in Spark, kept as sorted hash arrays that workers memory-map."""
 
 from __future__ import annotations
 
@@ -19,12 +19,14 @@ from quillmark.llm.langid import held_out
 
 #: Stand before the first word and after the last.
 BEGIN, END = (mix(np.array([k], U64))[0] for k in (11, 12))
-#: Bigrams that a task holds before it passes on their counts; bytes of text scored at once.
+#: Words of the longest n-grams; passes over the texts that count those beyond bigrams, each a share of the histories.
+ORDER, PASSES = 3, 8
+#: N-grams that a task holds before it passes on their counts; bytes of text scored at once.
 BUFFER, BLOCK = 2_000_000, 6_000_000
 
 
-def sequences(block: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(history, token) of every token of the block, each text ending with END, and each text's first token."""
+def sequences(block: Words, order: int = 2) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(histories, token, starts): the words before every token of the block, nearest first and BEGIN before a text; each text ends with END and its first token is at starts."""
     docs = np.arange(len(block.first) - 1)
     ends = block.first[1:] + docs
     token = np.empty(len(block.hashes) + len(docs), U64)
@@ -32,10 +34,14 @@ def sequences(block: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     word[ends] = False
     token[ends], token[word] = END, block.hashes
     starts = block.first[:-1] + docs
-    history = np.empty_like(token)
-    history[1:] = token[:-1]
-    history[starts] = BEGIN
-    return history, token, starts
+    histories, last = [], token
+    for _ in range(order - 1):
+        history = np.empty_like(token)
+        history[1:] = last[:-1]
+        history[starts] = BEGIN
+        histories.append(history)
+        last = history
+    return histories, token, starts
 
 
 def keys_of(history: np.ndarray, token: np.ndarray) -> np.ndarray:
@@ -43,6 +49,14 @@ def keys_of(history: np.ndarray, token: np.ndarray) -> np.ndarray:
     return (history & ~U64((1 << 40) - 1)) | (mix(history * U64(0x9E3779B97F4A7C15) + token) >> U64(24))
 
 
+def context_of(histories: list[np.ndarray]) -> np.ndarray:
+    """Hashes of the words before a token, nearest first; all that share the nearest lie in its shard."""
+    context = histories[0]
+    for history in histories[1:]:
+        context = keys_of(context, history)
+    return context
+
+
 def _bytes(*arrays: np.ndarray) -> list[pa.Array]:
     return [pa.array([x.tobytes()], pa.binary()) for x in arrays]
 
@@ -63,35 +77,42 @@ def _shard_ends(sorted_keys: np.ndarray, bits: int) -> np.ndarray:
     return np.searchsorted(sorted_keys >> U64(64 - bits), np.arange((1 << bits) + 1).astype(U64))
 
 
-def count_bigrams(docs: DataFrame, bits: int) -> DataFrame:
-    """(shard, history, run, token, n): each task's bigram counts, packed by the shard of their key."""
+def count_ngrams(docs: DataFrame, bits: int, order: int = ORDER, passes: int = 1, turn: int = 0) -> DataFrame:
+    """(shard, history, run, older, token, n): each task's n-gram counts, packed by the shard of their nearest history; of the shards whose turn it is."""
 
-    def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        history, token = (np.concatenate(x) for x in zip(*held, strict=True))
-        key = keys_of(history, token)
+    def flush(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        *histories, token = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        key = keys_of(context_of(histories), token)
         order, at = _grouped(key)
         n = np.diff(np.concatenate([at, [len(key)]])).astype(np.uint32)
         first = order[at]
-        history, token, key = history[first], token[first], key[first]
+        key, token = key[first], token[first]
+        history, *older = (histories.pop(0)[first] for _ in range(len(histories)))
+        del order, at, first
         ends = _shard_ends(key, bits)
         for shard in np.flatnonzero(np.diff(ends)).tolist():
             part = slice(ends[shard], ends[shard + 1])
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *_bytes(*_runs(history[part]), token[part], n[part])], ["shard", "history", "run", "token", "n"])
+            far = np.concatenate([x[part] for x in older]) if older else np.zeros(0, U64)
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *_bytes(*_runs(history[part]), far, token[part], n[part])], ["shard", "history", "run", "older", "token", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
             for block in words(batch.column(0), SPACE):
-                history, token, _ = sequences(block)
-                held.append((history, token))
+                histories, token, _ = sequences(block, order)
+                if passes > 1:
+                    own = (histories[0] >> U64(64 - bits)) % U64(passes) == turn
+                    histories, token = [x[own] for x in histories], token[own]
+                held.append((*histories, token))
                 size += len(token)
                 if size >= BUFFER:
                     yield from flush(held)
                     held, size = [], 0
-        if held:
+        if size:
             yield from flush(held)
 
-    return docs.select("text").mapInArrow(run, "shard int, history binary, run binary, token binary, n binary")
+    return docs.select("text").mapInArrow(run, "shard int, history binary, run binary, older binary, token binary, n binary")
 
 
 def _join(column: pa.ChunkedArray, kind: type) -> np.ndarray:
@@ -107,45 +128,81 @@ def save(folder: str, name: str, array: np.ndarray) -> None:
     os.replace(aside, f"{folder}/{name}.npy")
 
 
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in the smallest unsigned type that holds them all."""
+    return counts.astype(np.min_scalar_type(int(counts.max()))) if counts.size else counts
+
+
 def _tops(n: np.ndarray) -> list[int]:
     return [int((n == k).sum()) for k in (1, 2, 3, 4)]
 
 
-def _merge_bigrams(folder: str, bits: int):
+def _stats(context: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct contexts, and the sum of the counts of each one's n-grams and how many have 1, 2 and more."""
+    order, at = _grouped(context)
+    by = n[order]
+    return context[order[at]], np.stack([np.add.reduceat(x.astype(np.int64), at) for x in (by, by == 1, by == 2, by > 2)], axis=1)
+
+
+def _older(group: pa.Table, order: int) -> list[np.ndarray]:
+    """The histories beyond the nearest, each as one array over all rows of the group."""
+    parts = [np.frombuffer(x, U64).reshape(order - 2, -1) for x in group.column("older").to_pylist()] if order > 2 else []
+    return list(np.concatenate(parts, axis=1)) if parts else []
+
+
+def _merge_ngrams(folder: str, bits: int, most: int):
+    """Saves a shard's n-grams of every order from most down to 2; those shorter than most count the distinct words before them, or how often they stand if they begin a text."""
+
     def run(group: pa.Table) -> pa.Table:
         shard = group.column("shard")[0].as_py()
-        history = np.repeat(_join(group.column("history"), U64), _join(group.column("run"), np.uint32))
-        token, n = _join(group.column("token"), U64), _join(group.column("n"), np.uint32)
-        order, at = _grouped(keys_of(history, token))
-        n = np.add.reduceat(n[order].astype(np.int64), at)
-        history, token = history[order[at]], token[order[at]]
-        save(folder, f"key-{shard}", keys_of(history, token))
-        save(folder, f"n-{shard}", n.astype(np.uint32))
-        order, at = _grouped(history)
-        by = n[order]
-        save(folder, f"history-{shard}", history[order[at]])
-        stats = [np.add.reduceat(x.astype(np.int64), at) for x in (by, by == 1, by == 2, by > 2)]
-        save(folder, f"stats-{shard}", np.stack(stats, axis=1).astype(np.float32))
+        histories = [np.repeat(_join(group.column("history"), U64), _join(group.column("run"), np.uint32)), *_older(group, most)]
+        token, raw, tops = _join(group.column("token"), U64), _join(group.column("n"), np.uint32), []
+        for k in range(most, 1, -1):
+            context = context_of(histories)
+            key = keys_of(context, token)
+            order, at = _grouped(key)
+            first, kinds = order[at], np.diff(np.concatenate([at, [len(key)]]))
+            raw = np.add.reduceat(raw[order].astype(np.int64), at)
+            del order, at
+            histories, token, context, key = [x[first] for x in histories], token[first], context[first], key[first]
+            n = raw if k == most else np.where(histories[-1] == BEGIN, raw, kinds)
+            tops = _tops(n) + tops
+            seen, stats = _stats(context, n)
+            if k == 2:
+                save(folder, f"key-{shard}", key)
+                save(folder, f"n-{shard}", _narrow(n))
+                save(folder, f"history-{shard}", seen)
+                save(folder, f"stats-{shard}", _narrow(stats))
+            else:
+                # most n-grams stand once, and most contexts have one of those alone; Shards knows such contexts by their own n-gram
+                once, more = n == 1, stats[:, 0] > 1
+                for name, array in ((f"once{k}", key[once]), (f"key{k}", key[~once]), (f"n{k}", _narrow(n[~once])), (f"history{k}", seen[more]), (f"stats{k}", _narrow(stats[more]))):
+                    if len(array):
+                        save(folder, f"{name}-{shard}", array)
+                histories = histories[:-1]
         order, at = _grouped(token)
         before = np.diff(np.concatenate([at, [len(token)]])).astype(np.uint32)
-        count, token = np.add.reduceat(n[order], at), token[order[at]]
+        count, token = np.add.reduceat(raw[order], at), token[order[at]]
         ends = _shard_ends(token, bits)
         full = np.flatnonzero(np.diff(ends)).tolist()
         parts = [slice(ends[s], ends[s + 1]) for s in full]
-        out = [[-1, *full], [b"", *(token[p].tobytes() for p in parts)], [b"", *(before[p].tobytes() for p in parts)], [b"", *(count[p].tobytes() for p in parts)], [_tops(n), *([] for _ in full)]]
+        out = [[-1, *full], [b"", *(token[p].tobytes() for p in parts)], [b"", *(before[p].tobytes() for p in parts)], [b"", *(count[p].tobytes() for p in parts)], [tops, *([] for _ in full)]]
         return pa.table([pa.array(x, t) for x, t in zip(out, (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())), strict=True)], ["shard", "token", "before", "count", "tops"])
 
     return run
 
 
-def _merge_tokens(folder: str):
+def _merge_tokens(folder: str, bits: int):
     def run(group: pa.Table) -> pa.Table:
-        shard = group.column("shard")[0].as_py()
         token, before, count = _join(group.column("token"), U64), _join(group.column("before"), np.uint32), _join(group.column("count"), np.int64)
         order, at = _grouped(token)
         before, count = np.add.reduceat(before[order].astype(np.int64), at), np.add.reduceat(count[order], at)
-        save(folder, f"token-{shard}", token[order[at]])
-        save(folder, f"count-{shard}", np.stack([count, before], axis=1))
+        token = token[order[at]]
+        ends = _shard_ends(token, bits)
+        for shard in np.flatnonzero(np.diff(ends)).tolist():
+            part = slice(ends[shard], ends[shard + 1])
+            save(folder, f"token-{shard}", token[part])
+            save(folder, f"count-{shard}", _narrow(np.stack([count[part], before[part]], axis=1)))
         sums = [len(at), int(count.sum()), int(before.sum()), *_tops(before)]
         return pa.table([pa.array([x], pa.int64()) for x in sums], TOTALS)
 
@@ -164,7 +221,7 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 
 
 class Model(NamedTuple):
-    """folder holds the shards; v distinct tokens, n tokens and t distinct bigrams; discounts of bigrams and of continuations; m: tokens by continuations 1, 2 and more."""
+    """folder holds the shards; v distinct tokens, n tokens and t distinct bigrams; discounts of bigrams and of continuations; m: tokens by continuations 1, 2 and more; longer: discounts of trigrams and on."""
 
     folder: str
     bits: int
@@ -174,26 +231,37 @@ class Model(NamedTuple):
     upper: tuple[float, float, float]
     lower: tuple[float, float, float]
     m: tuple[int, int, int]
+    longer: tuple[tuple[float, float, float], ...] = ()
 
 
-def fit(docs: DataFrame) -> Model:
-    """The model of the texts of docs, null ones being empty; every bigram of every text counts.
+def fit(docs: DataFrame, order: int = ORDER) -> Model:
+    """The model of the texts of docs, null ones being empty; every n-gram of every text counts, up to `order` words.
 
-    Bigrams are dealt by a hash of their history, after every task added up its own. No documents give a model under
-    which every token has probability 1 over a vocabulary of none.
+    N-grams are dealt by a hash of the word before their last, after every task added up its own, so that all that a
+    shorter n-gram counts is in its shard. Beyond bigrams the texts are read PASSES times, each time for a share of the
+    shards, since the counts of one pass must be shuffled at once. No documents give a model under which every token has
+    probability 1 over a vocabulary of none.
     """
+    if order < 2:
+        raise ValueError(f"order must be 2 at least, not {order}")
     spark = docs.sparkSession
-    bits = max(3, (partitions(spark) - 1).bit_length())
+    # n-grams have many small shards; tokens are merged in fewer groups, since each shard sends a row to each
+    bits = max(3, (partitions(spark) - 1).bit_length()) + 2 * (order > 2)
+    coarse = bits - 4 * (order > 2)
     folder = local_path(shared_dir(spark))
-    blobs = count_bigrams(docs, bits)
-    merged = written(blobs.groupBy("shard").applyInArrow(_merge_bigrams(folder, bits), "shard int, token binary, before binary, count binary, tops array<long>"))
-    del blobs
-    release(spark)
-    tops = merged.where("shard < 0").agg(*(F.coalesce(F.sum(F.get("tops", F.lit(k))), F.lit(0)).alias(f"n{k + 1}") for k in range(4))).first()
-    sums = merged.where("shard >= 0").select("shard", "token", "before", "count").groupBy("shard").applyInArrow(_merge_tokens(folder), ", ".join(f"{c} long" for c in TOTALS))
+    passes, merged = PASSES if order > 2 else 1, None
+    for turn in range(passes):
+        blobs = count_ngrams(docs, bits, order, passes, turn)
+        part = written(blobs.groupBy("shard").applyInArrow(_merge_ngrams(folder, coarse, order), "shard int, token binary, before binary, count binary, tops array<long>"))
+        merged = part if merged is None else merged.unionByName(part)
+        del blobs
+        release(spark)
+    tops = merged.where("shard < 0").agg(*(F.coalesce(F.sum(F.get("tops", F.lit(k))), F.lit(0)).alias(f"n{k + 1}") for k in range(4 * (order - 1)))).first()
+    sums = merged.where("shard >= 0").select("shard", "token", "before", "count").groupBy("shard").applyInArrow(_merge_tokens(folder, bits), ", ".join(f"{c} long" for c in TOTALS))
     total = sums.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in TOTALS)).first()
     more = total.v - total.n1 - total.n2
-    return Model(folder, bits, total.v, total.n, total.t, discounts(*tops), discounts(total.n1, total.n2, total.n3, total.n4), (total.n1, total.n2, more))
+    upper, *longer = (discounts(*tops[k : k + 4]) for k in range(0, len(tops), 4))
+    return Model(folder, bits, total.v, total.n, total.t, upper, discounts(total.n1, total.n2, total.n3, total.n4), (total.n1, total.n2, more), tuple(longer))
 
 
 class Shards:
@@ -219,6 +287,18 @@ class Shards:
                 out[part][there] = self._array(f"{values}-{shard}")[at[there]]
         return out
 
+    def ngrams(self, k: int, context: np.ndarray, key: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of k-grams (3 words or more) and stats of their contexts; there: whether the context stands in the corpus."""
+        order = np.argsort(key)
+        wanted = key[order]
+        n = np.empty(len(key), np.int64)
+        n[order] = self.find(f"key{k}", f"n{k}", wanted, (self.find(f"once{k}", f"once{k}", wanted, ~wanted) == wanted).astype(np.int64))
+        order = np.argsort(context)
+        stats = np.zeros((len(key), 4), np.float32)
+        stats[there, :2] = 1
+        stats[order] = self.find(f"history{k}", f"stats{k}", context[order], stats[order])
+        return n, stats.astype(np.float64)
+
 
 @lru_cache(1)
 def _shards(folder: str, bits: int) -> Shards:
@@ -231,7 +311,8 @@ def _cut(counts: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
 
 def score_block(model: Model, shards: Shards, block: Words) -> tuple[np.ndarray, ...]:
     """n_tokens, n_known, base_score and score of each text of the block."""
-    history, token, starts = sequences(block)
+    histories, token, starts = sequences(block, 2 + len(model.longer))
+    history = histories[0]
     distinct, place = np.unique(np.concatenate([token, [BEGIN]]), return_inverse=True)
     count = shards.find("token", "count", distinct, np.zeros((len(distinct), 2), np.int64))
     stats = shards.find("history", "stats", distinct, np.zeros((len(distinct), 4), np.float32)).astype(np.float64)
@@ -249,6 +330,15 @@ def score_block(model: Model, shards: Shards, block: Words) -> tuple[np.ndarray,
     pairs = np.empty(len(key), np.int64)
     pairs[order] = shards.find("key", "n", key[order], np.zeros(len(key), np.int64))
     probability = _cut(pairs, model.upper) / seen[past] + weight[past] * lower[now]
+    n = pairs
+    for k, cuts in enumerate(model.longer, 3):
+        context = context_of(histories[: k - 1])
+        there = np.empty(len(n), bool)
+        there[1:] = n[:-1] > 0
+        there[starts] = model.n > 0
+        n, stats = shards.ngrams(k, context, keys_of(context, token), there)
+        seen = np.maximum(stats[:, 0], 1)
+        probability = _cut(n, cuts) / seen + np.where(stats[:, 0] > 0, stats[:, 1:] @ np.array(cuts) / seen, 1.0) * probability
     base = np.log10((count[:, 0] + 1) / (model.n + model.v + 1))
     sizes = np.diff(np.concatenate([starts, [len(token)]]))
     add = lambda x: np.add.reduceat(x, starts)
