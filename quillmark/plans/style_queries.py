@@ -9,6 +9,8 @@ from quillmark.plans._base import CENTROID_SQL, CONDITIONS, LABELS_SQL, MEASURED
 from quillmark.sources.io import table
 
 KEYS = ["doc_id", "work"]
+#: Draws of the resampling queries; a least p-value of 0.0001.
+REPLICATES, PERMUTATIONS = 5000, 9999
 
 
 def _labels(rows):
@@ -237,7 +239,7 @@ def paired_bootstrap(spark, sf_dir):
     pairs = rows.where("condition <> 'original'").join(base, "doc_id").withColumnRenamed("predicted", "rewrite")
     labels = sorted(r.author for r in _labels(rows).collect())
     works = rows.select("work").distinct().count()
-    found = inference.paired_inference(pairs.select("condition", "author", "work", "doc_id", "original", "rewrite"), ["condition"], labels, works, 200, 999)
+    found = inference.paired_inference(pairs.select("condition", "author", "work", "doc_id", "original", "rewrite"), ["condition"], labels, works, REPLICATES, PERMUTATIONS)
     return metrics.holm(found, [], "p_value", len(CONDITIONS) - 1)
 
 
@@ -245,7 +247,7 @@ def paired_bootstrap(spark, sf_dir):
 def weighted_bootstrap(spark, sf_dir):
     """Intervals of every condition from the same drawn weights."""
     rows = _by_condition(spark, sf_dir).select("condition", "author", "work", "doc_id", "predicted")
-    weights = inference.bootstrap_weights(rows.where("condition = 'original'").select("author", "work", "doc_id"), 50)
+    weights = inference.bootstrap_weights(rows.where("condition = 'original'").select("author", "work", "doc_id"), REPLICATES)
     return inference.interval(inference.weighted_f1(rows, weights, ["condition"], _labels(rows).count()), ["condition"], "macro_f1")
 
 
