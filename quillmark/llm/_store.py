@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import os
 import tempfile
 import uuid
 from urllib.parse import urlparse
@@ -11,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path below spark.checkpoint.dir; where that is unset (tests), below a temporary folder."""
+    """A new path below spark.checkpoint.dir; where that is unset, below a temporary folder if all runs in one process, and else an error."""
     sc = spark.sparkContext
     top = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not top:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="quillmark-")
         sc.setCheckpointDir(top)
     return f"{top.rstrip('/')}/quillmark-{sc.applicationId}/{uuid.uuid4().hex}"
@@ -27,6 +30,15 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Deletes written tables that no plan still to run reads."""
+    for done in tables:
+        jvm = done.sparkSession.sparkContext._jvm
+        for name in {os.path.dirname(f) for f in done.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(done.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of frames that nothing refers to any more."""
     gc.collect()

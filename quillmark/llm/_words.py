@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 from typing import NamedTuple
 
 import numpy as np
@@ -11,8 +12,9 @@ import pyarrow as pa
 U64 = np.uint64
 #: Bytes handled at once; a longer text is handled alone.
 BLOCK = 2_000_000
+#: Distinct words whose hashes a worker remembers; when full it starts anew.
+REMEMBERED = 1_000_000
 _BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -22,9 +24,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_CODES = mix(np.arange(1, 257, dtype=U64) * U64(_BASE))
-
-
 def byte_table(delimiters: str) -> np.ndarray:
     """A flag for each byte; delimiters holds ASCII characters."""
     out = np.zeros(256, bool)
@@ -36,8 +35,9 @@ def byte_table(delimiters: str) -> np.ndarray:
 SPACE = byte_table(" \t\n\x0b\x0c\r")
 #: The words [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ (after A-Z became a-z) end at these.
 NOT_ALNUM = byte_table("".join(chr(c) for c in range(128) if not chr(c).isalnum()))
-_LOWER = _CODES.copy()
-_LOWER[65:91] = _CODES[97:123]
+_SAME = np.arange(256, dtype=np.uint8)
+_LOWER = _SAME.copy()
+_LOWER[65:91] = _SAME[97:123]
 
 
 class Words(NamedTuple):
@@ -51,21 +51,33 @@ class Words(NamedTuple):
     data: np.ndarray
 
 
-_powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
+class _Hashes(dict):
+    """The first 64 bits of a word's BLAKE2b digest, in which nobody can place two words together at will."""
+
+    def __missing__(self, word: bytes) -> int:
+        made = self[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        return made
+
+
+_hashes = _Hashes()
 
 
-def _pow(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, n at least; kept up to the length of a few blocks."""
-    if len(_powers[0]) >= n:
-        return _powers
-    made = []
-    for base in (_BASE, _INVERSE):
-        x = np.full(max(n, BLOCK + 1), base, U64)
-        x[0] = 1
-        made.append(np.cumprod(x, dtype=U64))
-    if n <= 4 * BLOCK:
-        _powers[:] = made
-    return made
+def _hashed(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of words: of up to eight bytes from bytes and size by a scramble that cannot be run backwards, of more by digests of the distinct ones."""
+    if not len(start):
+        return np.zeros(0, U64)
+    eights = np.ndarray(len(data), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    short = np.minimum(size, 8).astype(U64)
+    packed = (eights[start] << (U64(64) - U64(8) * short)) + np.where(short < 8, short, U64(0))
+    hashes, long = packed + mix(packed), np.flatnonzero((size > 8) | (size == 8) & (data[start] < 8))
+    if len(long):
+        place = np.concatenate([[0], np.cumsum(size[long])])
+        at = np.arange(place[-1]) + np.repeat(start[long] - place[:-1], size[long])
+        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(long), [None, pa.py_buffer(place), pa.py_buffer(data[at])]).dictionary_encode()
+        if len(_hashes) > REMEMBERED:
+            _hashes.clear()
+        hashes[long] = np.fromiter(map(_hashes.__getitem__, coded.dictionary.to_pylist()), U64, len(coded.dictionary))[coded.indices.to_numpy()]
+    return hashes
 
 
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -87,13 +99,12 @@ def words(column: pa.Array, delimiter: np.ndarray = SPACE, fold: bool = True, bl
     row, n = 0, len(at) - 1
     while row < n:
         stop = max(row + 1, int(np.searchsorted(at, at[row] + block, "right")) - 1)
-        yield _block(row, data[at[row] : at[stop]], at[row : stop + 1] - at[row], delimiter, _LOWER if fold else _CODES)
+        yield _block(row, data[at[row] : at[stop]], at[row : stop + 1] - at[row], delimiter, _LOWER if fold else _SAME)
         row = stop
 
 
-def _block(row: int, data: np.ndarray, at: np.ndarray, delimiter: np.ndarray, codes: np.ndarray) -> Words:
+def _block(row: int, data: np.ndarray, at: np.ndarray, delimiter: np.ndarray, letters: np.ndarray) -> Words:
     n = len(data)
-    power, inverse = _pow(n + 1)
     inside = ~delimiter[data]
     edge = np.zeros(n + 1, bool)
     edge[at] = True
@@ -101,16 +112,32 @@ def _block(row: int, data: np.ndarray, at: np.ndarray, delimiter: np.ndarray, co
     begins[1:] &= ~inside[:-1] | edge[1:n]
     ends[:-1] &= ~inside[1:] | edge[1:n]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    total = np.zeros(n + 1, U64)
-    np.cumsum(codes[data] * power[:n], out=total[1:])
-    hashes = mix((total[end] - total[start]) * inverse[start])
+    hashes = _hashed(letters[data] if letters is not _SAME else data, start, end - start)
     return Words(row, hashes, np.searchsorted(start, at), start, end, data)
 
 
+def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of a and then b, linear in neither."""
+    return mix(mix(a + U64(_BASE)) + b)
+
+
+def codes_of(block: Words) -> np.ndarray:
+    """A number for each word of the block, the same for two of them if and only if their bytes are the same."""
+    size = block.end - block.start
+    place = np.concatenate([[0], np.cumsum(size)])
+    at = np.arange(place[-1]) + np.repeat(block.start - place[:-1], size)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(place), pa.py_buffer(block.data[at])]).dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
 def runs(h: np.ndarray, n: int) -> np.ndarray:
-    """A hash of each n consecutive values of h."""
+    """A hash of each n consecutive values of h, put together from those of powers of two."""
     size = max(0, len(h) - n + 1)
-    out = np.full(size, n, U64)
-    for k in range(n):
-        out = out * U64(_BASE) + h[k : k + size]
-    return mix(out)
+    out, done, span, part = np.full(size, n, U64), 0, 1, h
+    while size and done < n:
+        if n & span:
+            out = pair(out, part[done : done + size])
+            done += span
+        span *= 2
+        if done < n:
+            part = pair(part[: len(part) - span // 2], part[span // 2 :])
+    return out
