@@ -5,7 +5,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Callable, Iterator
+import re
+import struct
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -16,21 +18,33 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillmark.llm._store import table
 
-#: A piece of at most so many bytes is merged directly; so many tokens are decoded at one leaf.
-LEAF, DECODE_LEAF = 32, 4096
-#: Pieces remembered by a worker; when full it starts anew.
-REMEMBERED = 100_000
+#: Chunks, pairs of tokens, and halves of pieces of at most so many bytes, remembered by a worker, twice over.
+REMEMBERED, SHORT = 250_000, 8
+#: Neighbours that a node of a tree joins where nothing has to be encoded again.
+FAN = 16
+#: Cuts a text before a blank or newline after anything but white space: no piece of public_tokenizers.PATTERN goes over that.
+_CHUNKS = re.compile(r"\s*\S+(?:[^\S \n]\s*\S+)*(?:[^\S \n]\s*\Z)?|\s+")
+
+
+def tree(parts: list[bytes]) -> bytes:
+    """parts in a row, level by level, each node joining FAN neighbours."""
+    while len(parts) > FAN:
+        parts = [b"".join(parts[k : k + FAN]) for k in range(0, len(parts), FAN)]
+    return b"".join(parts)
 
 
 class Bpe:
-    """The encoder of a rank file: a piece becomes its token, or is merged pair by pair, the lowest rank first."""
+    """The encoder of a rank file. joins counts the halves that were joined."""
 
     def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN):
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.token = {v: k for k, v in self.ranks.items()}
         self.split = regex.compile(pattern).findall
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.chunks = _CHUNKS.findall if pattern == public_tokenizers.PATTERN else lambda text: [text]
+        self.pairs = _Memory(lambda pair: self.merge(self.token[pair[0]] + self.token[pair[1]]))
+        self.parts = _Memory(self._halves)
+        self.joins = 0
 
     def merge(self, data: bytes) -> list[int]:
         """The tokens of data by a heap of pairs, each step merging the leftmost pair of lowest rank."""
@@ -58,66 +72,76 @@ class Bpe:
 
     def settled(self, a: int, b: int) -> bool:
         """Whether a and b side by side stay as they are; a sequence all of whose neighbours do is the encoding."""
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) >= REMEMBERED:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self.merge(self.token[a] + self.token[b]) == [a, b]
-        return known
+        both = self.pairs[a, b]
+        return len(both) == 2 and both[0] == a
 
     def join(self, a: list[int], b: list[int]) -> list[int]:
         """The tokens of two neighbours: the window at their boundary grows on each side until its edge has settled."""
-        i = j = 1
+        self.joins += 1
+        i, j, middle = 1, 1, self.pairs[a[-1], b[0]]
+        if len(middle) == 2 and middle[0] == a[-1]:
+            return a + b
         while True:
-            middle = self.merge(b"".join(map(self.token.__getitem__, a[-i:] + b[:j])))
             left = i >= len(a) or self.settled(a[-i - 1], middle[0])
             right = j >= len(b) or self.settled(middle[-1], b[j])
             if left and right:
                 return a[: max(0, len(a) - i)] + middle + b[j:]
             i, j = (i if left else min(len(a), 2 * i)), (j if right else min(len(b), 2 * j))
+            middle = self.merge(b"".join(map(self.token.__getitem__, a[-i:] + b[:j])))
+
+    def part(self, data: bytes) -> list[int]:
+        """The tokens of data, halved (at a power of two) down to single bytes and joined again."""
+        return self.parts[data] if len(data) <= SHORT else self._halves(data)
 
-    def piece(self, data: bytes) -> list[int]:
-        if (rank := self.ranks.get(data)) is not None:
-            return [rank]
-        if len(data) <= LEAF:
-            return self.merge(data)
-        half = len(data) // 2
-        return self.join(self._part(data[:half]), self._part(data[half:]))
+    def _halves(self, data: bytes) -> list[int]:
+        if len(data) == 1:
+            return [self.ranks[data]]
+        half = 1 << (len(data) - 1).bit_length() - 1
+        if half > SHORT:
+            return self.join(self._halves(data[:half]), self._halves(data[half:]))
+        return self.join(self.parts[data[:half]], self.part(data[half:]))
 
-    def _part(self, data: bytes) -> list[int]:
-        if len(data) <= LEAF:
-            return self.merge(data)
-        half = len(data) // 2
-        return self.join(self._part(data[:half]), self._part(data[half:]))
+    def piece(self, data: bytes) -> bytes:
+        """The ids of a piece: its own token if it is one, as the tiktoken library has it, and else those of its halves."""
+        rank = self.ranks.get(data)
+        ids = [rank] if rank is not None else self.part(data)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encoder(self) -> Callable[[str], bytes]:
-        """A function from a text to its ids as little-endian unsigned 32-bit integers; pieces never merge with each other."""
-        memory = _Memory(self)
-        known = memory.__getitem__
+        """A function from a text to its ids as little-endian unsigned 32-bit integers.
 
-        def encode(text: str) -> bytes:
-            if len(memory) >= REMEMBERED:
-                memory.clear()
-            return b"".join(map(known, self.split(text)))
+        A text is a tree of chunks, a chunk one of pieces, and a piece one of bytes. Tokens never go over the boundary of
+        two pieces, nor pieces over that of two chunks, so that nothing there has to be encoded again.
+        """
+        pieces = _Memory(lambda piece: self.piece(piece.encode()))
 
-        return encode
+        def made(chunk: str) -> bytes:
+            split = self.split(chunk)
+            return self.piece(chunk.encode()) if len(split) == 1 else tree([pieces[p] for p in split])
+
+        known = _Memory(made).__getitem__
+        return lambda text: tree(list(map(known, self.chunks(text))))
 
     def decode(self, ids: np.ndarray) -> bytes:
-        """The bytes of ids, joined up a tree of halves."""
-        if len(ids) <= DECODE_LEAF:
-            return b"".join(map(self.token.__getitem__, ids.tolist()))
-        half = len(ids) // 2
-        return self.decode(ids[:half]) + self.decode(ids[half:])
+        """The bytes of ids, concatenated up a tree."""
+        return tree(list(map(self.token.__getitem__, ids.tolist())))
 
 
 class _Memory(dict):
-    def __init__(self, bpe: Bpe):
+    """Remembers what make returned, the least REMEMBERED of late and twice that at most."""
+
+    def __init__(self, make: Callable):
         super().__init__()
-        self.bpe = bpe
+        self.make, self.older = make, {}
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self[piece] = np.array(self.bpe.piece(piece.encode()), "<u4").tobytes()
-        return ids
+    def __missing__(self, key):
+        if (made := self.older.get(key)) is None:
+            made = self.make(key)
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        self[key] = made
+        return made
 
 
 @lru_cache(2)
@@ -155,7 +179,7 @@ def _decoded(batches: Iterator[pa.RecordBatch], path: str, keep: tuple[str, ...]
 
 
 def decode_ids(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep, n_tokens, ids_sha256 and the binary column decoded of the rows of encode_texts."""
+    """keep, n_tokens, ids_sha256 and the binary column decoded of the rows of encode_texts; rows without ids have no bytes, and no rows give none."""
     kept = encoded.select(*keep, "ids")
     return kept.mapInArrow(lambda batches: _decoded(batches, path, keep), _schema(kept, len(keep), DECODED))
 
@@ -164,7 +188,10 @@ DECODED = "n_tokens long, ids_sha256 string, decoded binary"
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row of docs: encode_texts and decode_ids in one worker."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row of docs: encode_texts and decode_ids in one worker.
+
+    A null text counts as an empty one, which has no ids; repeated rows stay, no rows give none, other columns are ignored.
+    """
     path, keep = path or public_tokenizers.path("byte_bpe_50k.tiktoken"), ("doc_id",)
     kept = docs.select("doc_id", "text")
     done = kept.mapInArrow(lambda batches: _decoded(_encoded(batches, path, keep), path, keep), _schema(kept, 1, DECODED))
@@ -172,4 +199,5 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document, by round_trip."""
     return round_trip(table(spark, sf_dir, "documents"))

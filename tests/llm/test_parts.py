@@ -57,6 +57,16 @@ def test_bpe_joins_equal_the_library():
         assert bpe.decode(np.frombuffer(ids, "<u4")) == t.encode()
 
 
+def test_ordinary_texts_are_encoded_up_the_tree():
+    bpe = Bpe(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    encode = bpe.encoder()
+    encode("the unthinkably extraordinary word")
+    assert bpe.joins > 5
+    odd = ["", " ", "\n", "a\tb", "!\x1c", "!\x1c ?", "a\x1f\x1f", "x \x1c\n y", "…\n\n  z\u3000ß\t", "a  \n b\r\n\r\nc ", "it's\u00a0we'll 'S", "\t\t\t", "f\t\t", "1\x85 2\u2028 3"]
+    want = brute.encoded([{"doc_id": i, "text": t} for i, t in enumerate(odd)])
+    assert [(len(encode(t)) // 4, brute.sha(encode(t))) for t in odd] == [want[i][:2] for i in range(len(odd))]
+
+
 def test_components(spark):
     r = random.Random(4)
     edges = [(i, i + 1) for i in range(0, 60)] + [(1000, k) for k in range(1001, 1100)] + [(r.randrange(2000, 2100), r.randrange(2000, 2100)) for _ in range(80)] + [(5, 5), (None, 3)]
