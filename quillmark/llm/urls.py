@@ -42,41 +42,82 @@ def by_rule(host: Column, path: Column, rules: tuple[Rule, ...], field: str) ->
     return F.coalesce(*out) if out else F.lit(None).cast("string")
 
 
+#: Character references that are read in links, the ampersand's last.
+REFERENCES = (("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&"))
+
+
+def without_dots(path: Column) -> Column:
+    """path, which starts with /, without its segments . and .. and what the latter lead back from."""
+    parts = F.split(F.substr(path, F.lit(2)), "/", -1)
+    step = lambda kept, x: F.when(x == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).when(x == ".", kept).otherwise(F.concat(kept, F.array(x)))
+    open_ = F.element_at(parts, -1).isin(".", "..")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    return F.concat(F.lit("/"), F.array_join(F.when(open_, F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/"))
+
+
+def resolved(href: Column, base: Column) -> Column:
+    """The url that href means on the page base; null without one: other schemes, the page itself, or a base without ://."""
+    site = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
+    folder = F.regexp_replace(path_of(base), r"(?s)[^/]*\z", "")
+    path, query = F.regexp_extract(href, r"(?s)^([^?#]*)", 1), F.regexp_extract(href, r"(?s)^[^?#]*(\?[^#]*)", 1)
+    whole = F.when(href.startswith("/"), path).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), path))
+    absolute = F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), href)
+    within = F.when(path != "", F.concat(site, without_dots(whole), query)).when(query != "", F.concat(site, path_of(base), query))
+    return F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), absolute).when(site == "", None).when(href.startswith("//"), F.concat(F.regexp_extract(base, r"(?s)^(.*?:)//", 1), href)).otherwise(within)
+
+
+def same_url(url: Column) -> Column:
+    """What equal urls share: the url without its fragment, its scheme and host in small letters."""
+    front = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
+    small = F.translate(front, string.ascii_uppercase, string.ascii_lowercase)
+    return F.concat(small, F.substr(F.regexp_extract(url, r"(?s)^([^#]*)", 1), F.length(front) + 1))
+
+
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """(from_url, to_url) of canonical links and refresh redirects in html; relative paths without a leading / are left out."""
+    """(from_url, to_url), by same_url, of the canonical links and refresh redirects in html, relative ones resolved.
+
+    Pages without url or html, and links to the page itself, give no rows; equal edges give one; no pages give none.
+    """
     tags = F.regexp_extract_all("html", F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
     kinds = F.filter(tags, lambda t: t.rlike(r"(?is)\brel\s*=\s*[\"']?canonical\b") | t.rlike(r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh\b"))
-    found = pages.where("url is not null and html is not null").select(F.col("url").alias("from_url"), F.explode_outer(kinds).alias("tag")).where("tag is not null")
+    found = pages.where("url is not null and html is not null").select("url", F.explode_outer(kinds).alias("tag")).where("tag is not null")
     link = F.coalesce(*(F.nullif(F.regexp_extract("tag", p, 1), F.lit("")) for p in (r"(?is)\bhref\s*=\s*\"([^\"]*)\"", r"(?is)\bhref\s*=\s*'([^']*)'", r"(?is)\bhref\s*=\s*([^\s\"'>]+)", r"(?is)\burl\s*=\s*[\"']?([^\"'>]+)")))
-    href = F.replace(F.trim(link), F.lit("&amp;"), F.lit("&"))
-    base = F.regexp_extract("from_url", r"(?s)^(.*?://[^/?#]*)", 1)
-    to = F.when(href.startswith("//"), F.concat(F.regexp_extract("from_url", r"(?s)^(.*?:)//", 1), href)).when(href.startswith("/"), F.concat(base, href)).when(F.instr(href, "://") > 0, href)
-    return found.select("from_url", to.alias("to_url")).where("to_url is not null and to_url <> from_url").distinct()
+    href = F.trim(link)
+    for name, sign in REFERENCES:
+        href = F.replace(href, F.lit(name), F.lit(sign))
+    found = found.withColumn("href", href).where("href is not null")
+    edges = found.select(same_url(F.col("url")).alias("from_url"), same_url(resolved(F.col("href"), F.col("url"))).alias("to_url"))
+    return edges.where("to_url is not null and to_url <> from_url").distinct()
 
 
 def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, edges: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule and verdict of every page.
 
-    Aliases are the connected components of edges (from_url, to_url), by default those in the pages' html. A page on
-    which a rule fits takes the rule's verdict, so that an explicit allow wins over its aliases; any other page is
-    blocked if a rule blocks some url of its component, and allowed else. A null url has an empty host and path and no
-    aliases; repeated rows and urls are judged alike; no pages give no rows; other columns are ignored.
+    Aliases are the connected components of edges (from_url, to_url), by default those in the pages' html; urls are
+    compared as same_url has them, as strings. A page on which a rule fits takes the rule's verdict, so that an explicit
+    allow wins over its aliases; any other page is blocked if a rule blocks some url of its component, and allowed else.
+    A null url has an empty host and path and no aliases; repeated rows and urls are judged alike; edges with a null end
+    change nothing; no pages give no rows; other columns are ignored.
     """
     pages = pages.select("page_id", "url", "html")
-    edges = written((alias_edges(pages) if edges is None else edges.select("from_url", "to_url")).withColumns({"a": F.xxhash64("from_url"), "b": F.xxhash64("to_url")}))
-    parts = connected_components(edges.select("a", "b"))
-    ends = edges.select(F.col("a").alias("node"), F.col("from_url").alias("url")).unionByName(edges.select(F.col("b").alias("node"), F.col("to_url").alias("url"))).distinct()
-    ends = ends.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    blocked = ends.where(by_rule(F.col("host"), F.col("path"), rules, "verdict") == "block").join(parts, "node").select("component").distinct()
-    blocked = parts.join(blocked, "component", "left_semi").select("node", F.lit(True).alias("by_alias"))
-    judged = pages.select("page_id", F.when(F.col("url").isNotNull(), F.xxhash64("url")).alias("node"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    given = alias_edges(pages) if edges is None else edges.select(same_url(F.col("from_url")).alias("from_url"), same_url(F.col("to_url")).alias("to_url"))
+    edges = written(given.where("from_url is not null and to_url is not null"))
+    urls = edges.select(F.col("from_url").alias("url")).unionByName(edges.select(F.col("to_url").alias("url"))).distinct()
+    nodes = written(urls.select("url", F.monotonically_increasing_id().alias("node")))
+    ends = edges.join(nodes.withColumnsRenamed({"url": "from_url", "node": "a"}), "from_url").join(nodes.withColumnsRenamed({"url": "to_url", "node": "b"}), "to_url")
+    parts = connected_components(ends.select("a", "b"))
+    named = nodes.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    blocked = named.where(by_rule(F.col("host"), F.col("path"), rules, "verdict") == "block").join(parts, "node").select("component").distinct()
+    blocked = parts.join(blocked, "component", "left_semi").join(nodes, "node").select(F.col("url").alias("same"), F.lit(True).alias("by_alias"))
+    judged = pages.select("page_id", same_url(F.col("url")).alias("same"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     host, path = F.col("host"), F.col("path")
-    judged = judged.withColumns({"rule": by_rule(host, path, rules, "rule"), "own": by_rule(host, path, rules, "verdict")}).join(blocked, "node", "left")
+    judged = judged.withColumns({"rule": by_rule(host, path, rules, "rule"), "own": by_rule(host, path, rules, "verdict")}).join(blocked, "same", "left")
     verdict = F.coalesce("own", F.when(F.col("by_alias"), "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule and verdict of every page, by judge_urls."""
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
@@ -84,23 +125,41 @@ OP5_SQL = r"""
 WITH RECURSIVE tags AS (
   SELECT DISTINCT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM pages WHERE url IS NOT NULL),
 links AS (
-  SELECT url, replace(trim(coalesce(nullif(regexp_extract(tag, '(?is)\bhref\s*=\s*"([^"]*)"', 1), ''), nullif(regexp_extract(tag, '(?is)\bhref\s*=\s*''([^'']*)''', 1), ''),
-    nullif(regexp_extract(tag, '(?is)\bhref\s*=\s*([^\s"''>]+)', 1), ''), nullif(regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''>]+)', 1), ''))), '&amp;', '&') AS href
+  SELECT url, trim(coalesce(nullif(regexp_extract(tag, '(?is)\bhref\s*=\s*"([^"]*)"', 1), ''), nullif(regexp_extract(tag, '(?is)\bhref\s*=\s*''([^'']*)''', 1), ''),
+    nullif(regexp_extract(tag, '(?is)\bhref\s*=\s*([^\s"''>]+)', 1), ''), nullif(regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''>]+)', 1), ''))) AS raw
   FROM tags WHERE regexp_matches(tag, '(?is)\brel\s*=\s*["'']?canonical\b') OR regexp_matches(tag, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b')),
-edges AS (
-  SELECT url AS a, CASE WHEN href LIKE '//%' THEN regexp_extract(url, '(?s)^(.*?:)//', 1) || href WHEN href LIKE '/%' THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || href WHEN contains(href, '://') THEN href END AS b FROM links),
-both_ways AS (SELECT a, b FROM edges WHERE b IS NOT NULL UNION SELECT b, a FROM edges WHERE b IS NOT NULL),
+hrefs AS (
+  SELECT row_number() OVER () AS k, url, replace(replace(replace(replace(replace(replace(replace(replace(replace(raw, '&quot;', '"'), '&#34;', '"'), '&#39;', chr(39)), '&apos;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&#38;', '&'), '&#x26;', '&'), '&amp;', '&') AS href,
+    regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) AS site, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS own FROM links WHERE raw IS NOT NULL),
+split AS MATERIALIZED (
+  SELECT *, regexp_extract(href, '(?s)^[^?#]*') AS reference, regexp_extract(href, '(?s)^[^?#]*(\?[^#]*)', 1) AS query, regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') AS schemed FROM hrefs),
+walk AS (
+  SELECT k, string_split(whole, '/') AS todo, CAST([] AS VARCHAR[]) AS kept FROM (
+    SELECT k, substr(CASE WHEN reference LIKE '/%' THEN reference ELSE '/' || substr(regexp_extract(own, '(?s)^(.*/)'), 2) || reference END, 2) AS whole
+    FROM split WHERE NOT schemed AND href NOT LIKE '//%' AND reference <> '' AND site <> '')
+  UNION ALL
+  SELECT k, todo[2:], CASE WHEN todo[1] = '..' THEN CASE WHEN len(todo) = 1 THEN list_append(kept[:greatest(len(kept) - 1, 0)], '') ELSE kept[:greatest(len(kept) - 1, 0)] END
+    WHEN todo[1] = '.' THEN CASE WHEN len(todo) = 1 THEN list_append(kept, '') ELSE kept END ELSE list_append(kept, todo[1]) END FROM walk WHERE len(todo) > 0),
+targets AS (
+  SELECT url, CASE WHEN schemed THEN CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN href END WHEN site = '' THEN NULL
+    WHEN href LIKE '//%' THEN regexp_extract(url, '(?s)^(.*?:)//', 1) || href WHEN reference <> '' THEN site || '/' || array_to_string(w.kept, '/') || query WHEN query <> '' THEN site || own || query END AS target
+  FROM split LEFT JOIN (SELECT k, kept FROM walk WHERE len(todo) = 0) w USING (k)),
+known AS (SELECT url FROM pages WHERE url IS NOT NULL UNION SELECT target FROM targets WHERE target IS NOT NULL),
+same AS (
+  SELECT url, translate(regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || substr(regexp_extract(url, '(?s)^[^#]*'), length(regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1)) + 1) AS own FROM known),
+edges AS (SELECT DISTINCT a.own AS a, b.own AS b FROM targets t JOIN same a ON a.url = t.url JOIN same b ON b.url = t.target),
+both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
 reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
-urls AS (SELECT url FROM pages WHERE url IS NOT NULL UNION SELECT b FROM both_ways),
+every AS (SELECT url FROM known UNION SELECT own FROM same),
 parts AS (
   SELECT url, CASE WHEN contains(url, '://') THEN translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
-    CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM urls),
+    CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM every),
 rules(verdict, rh, rp) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
-own AS (
+judged AS (
   SELECT url, host, path, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(verdict, length(rh || rp)) AS verdict
   FROM parts LEFT JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY url, host, path),
-alias AS (SELECT DISTINCT r.a AS url FROM reach r JOIN own o ON o.url = r.b WHERE o.verdict = 'block')
+alias AS (SELECT DISTINCT r.a AS own FROM reach r JOIN judged o ON o.url = r.b WHERE o.verdict = 'block')
 SELECT p.page_id, coalesce(o.host, '') AS host, coalesce(o.path, '') AS path, o.rule AS rule,
-  coalesce(o.verdict, CASE WHEN x.url IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
-FROM pages p LEFT JOIN own o ON o.url = p.url LEFT JOIN alias x ON x.url = p.url
+  coalesce(o.verdict, CASE WHEN x.own IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM pages p LEFT JOIN judged o ON o.url = p.url LEFT JOIN same s ON s.url = p.url LEFT JOIN alias x ON x.own = s.own
 """
