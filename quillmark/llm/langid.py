@@ -17,6 +17,8 @@ from quillmark.llm._words import U64, mix
 UNDETERMINED = "und"
 #: The fit reads at most so many labelled documents of each language, and keeps so many n-grams of each.
 SAMPLE, GRAMS = 400, 30_000
+#: Shares of a language's rows that are cut to those numbers on their own before they meet.
+SHARES = 64
 #: Slots of the filter, and slots that an n-gram sets.
 SLOTS, HASHES = 1 << 20, 3
 #: A text of which a smaller share of n-grams is known in its best language is in none of the learned ones.
@@ -101,8 +103,8 @@ def fit(docs: DataFrame, column: str = "text", label: str = "lang") -> Filter:
     """
     spark = docs.sparkSession
     labelled = docs.select("doc_id", F.col(label).alias("lang"), F.col(column).alias("text"))
-    ranked = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = labelled.where("lang is not null and doc_id is not null").select("lang", "doc_id").withColumn("k", F.row_number().over(ranked)).where(F.col("k") <= SAMPLE)
+    known = labelled.where("lang is not null and doc_id is not null").select("lang", "doc_id")
+    ids = _first(known, [F.xxhash64("doc_id"), F.col("doc_id")], "doc_id", SAMPLE)
     chosen = labelled.where("text is not null").join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi").where("lang is not null")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,12 +116,20 @@ def fit(docs: DataFrame, column: str = "text", label: str = "lang") -> Filter:
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(found.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
     counts = chosen.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where("n > 1")
-    top = counts.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("k") <= GRAMS)
+    top = _first(counts, [F.desc("n"), F.col("gram")], "gram", GRAMS)
     found = top.select("lang", "gram").toArrow().combine_chunks()
     names, grams = np.array(found["lang"].to_pylist(), object), found["gram"].to_numpy().view(U64)
     return Filter.of({name: grams[names == name] for name in sorted({r.lang for r in ids.select("lang").distinct().collect()})})
 
 
+def _first(rows: DataFrame, order: list[Column], spread: str, n: int) -> DataFrame:
+    """The first n rows of each lang: those of SHARES shares of its rows first, so that no task has all rows of a language."""
+    share = F.pmod(F.xxhash64(spread, F.lit(1)), F.lit(SHARES))
+    for by in (["lang", share], ["lang"]):
+        rows = rows.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("k") <= n)
+    return rows
+
+
 def predict(docs: DataFrame, model: Filter, column: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep, lang_pred and score: the language with the most n-grams of the whole text, and the share it has of them.
 
@@ -174,5 +184,6 @@ def keep_identified(docs: DataFrame, column: str = "text", label: str = "lang")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of every document, by predict with a filter fitted on those not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out(F.col("doc_id")).alias("held_out"))
     return predict(docs, fit(docs.where("not held_out")), keep=("doc_id", "held_out"))
