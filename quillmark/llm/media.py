@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.llm._store import table
+from quillmark.llm._store import table, written
 
 WIDTH = 576
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -140,13 +140,11 @@ def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Reads the images of to_media back: the digests of payload and image, and the cosine hash as hex and as binary."""
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_read_back, FEATURES)
-
+    """Reads the images of to_media back: the digests of payload and image, and the cosine hash as hex and as binary.
 
-def stored_features(docs: DataFrame, column: str = "text") -> DataFrame:
-    """media_features of to_media in one worker."""
-    return docs.select("doc_id", column).mapInArrow(lambda batches: _read_back(_stored(batches)), FEATURES)
+    A null or damaged image is an error; repeated rows stay; no rows give none; other columns are ignored.
+    """
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(_read_back, FEATURES)
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,4 +166,5 @@ NAMES = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored_features(table(spark, sf_dir, "documents")).drop("feature_bits")
+    """media_features of every document's image, after the table of images was written and read back."""
+    return media_features(written(to_media(table(spark, sf_dir, "documents"))))
