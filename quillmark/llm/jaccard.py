@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -73,13 +74,14 @@ class Signatures:
         return np.flatnonzero((both - differ) * (100 + PERCENT) >= 2 * PERCENT * both) + i + 1
 
 
-def key_of(x: np.ndarray) -> int:
-    """A 64-bit hash of a set."""
-    return int(mix(np.array([np.add.reduce(mix(x + U64(7))) + U64(len(x))], U64)).view(np.int64)[0])
+def key_of(x: np.ndarray) -> tuple[int, int]:
+    """A 128-bit digest of a sorted set, as two integers."""
+    digest = blake2b(x.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
 def _profiles(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, key, bits) of every row, and rows with part and cells instead: a piece of the sketch of a task."""
+    """(doc_id, n, key, check, bits) of every row, and rows with part and cells instead: a piece of the sketch of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, np.int64)
@@ -90,26 +92,28 @@ def _profiles(docs: DataFrame) -> DataFrame:
             held.clear()
 
         for batch in batches:
-            sizes, keys, bits, total = [], [], [], 0
+            sizes, keys, checks, bits, total = [], [], [], [], 0
             for x in shingle_sets(batch.column(1)):
                 held.append(x)
                 total += len(x)
                 sizes.append(len(x))
-                keys.append(key_of(x) if len(x) else None)
+                key, check = key_of(x) if len(x) else (None, None)
+                keys.append(key)
+                checks.append(check)
                 bits.append(signature(x) if len(x) else None)
             if total:
                 add()
             n = len(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], PROFILE)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(checks, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], PROFILE)
         parts = cells.reshape(64, -1)
         rows = [k for k in range(64) if parts[k].any()]
         n = len(rows)
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(rows, pa.int32()), pa.array([parts[k].astype(np.uint32).tobytes() for k in rows], pa.binary())], PROFILE)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(rows, pa.int32()), pa.array([parts[k].astype(np.uint32).tobytes() for k in rows], pa.binary())], PROFILE)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key long, bits binary, part int, cells binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key long, check long, bits binary, part int, cells binary")
 
 
-PROFILE = ["doc_id", "n", "key", "bits", "part", "cells"]
+PROFILE = ["doc_id", "n", "key", "check", "bits", "part", "cells"]
 
 
 def _sketch(profiles: DataFrame) -> np.ndarray:
@@ -135,10 +139,12 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
             found, keys, sizes = [np.zeros(0, U64)], [], []
             for x in shingle_sets(batch.column(0)):
                 if len(x) and (key := key_of(x)) not in seen:
+                    if len(seen) > 1_000_000:
+                        seen.clear()
                     seen.add(key)
                     order = np.argsort(cells[(x & U64(CELLS - 1)).astype(np.int64)], kind="stable")
                     found.append(x[order[: prefix_size(len(x))]])
-                    keys.append(key)
+                    keys.append(key[0])
                     sizes.append(len(found[-1]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), sizes))], ["shingle", "key"])
 
@@ -327,32 +333,33 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     tiles, where sizes and bitmaps leave some links open; the components of those are dealt into tiles again, now with
     the sets themselves, and every pair of a tile that is still open is intersected. No link is lost. Null and empty
     texts have no shingles, their own component and no links; so has a row without doc_id (whose component_id is null).
-    Rows of equal doc_id and text count as one document. Other columns are ignored.
+    Rows of equal doc_id are one node, which links as all their texts do, and count as one document in n_links. Sets are
+    told apart by 128-bit digests, shingles by 64-bit hashes. Other columns are ignored.
     """
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text")
     profiles = written(_profiles(texts))
     sketch = _sketch(profiles)
-    rows = profiles.where("part is null").select("doc_id", "n", "key")
-    classes = profiles.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("size"), F.countDistinct("doc_id").alias("members"), F.first("bits").alias("bits"))
+    rows = profiles.where("part is null").select("doc_id", "n", "key", "check")
+    classes = profiles.where("key is not null and doc_id is not null").groupBy("key", "check").agg(F.min("doc_id").alias("rep"), F.first("n").alias("size"), F.countDistinct("doc_id").alias("members"), F.first("bits").alias("bits"))
     classes = written(classes)
     buckets = written(_buckets(_prefixes(texts.where("doc_id is not null"), sketch)))
     release(spark)
     tiles = _tiles(buckets, classes)
     groups = connected_components(_candidates(tiles)).select(F.col("node").alias("rep"), F.col("component").alias("group"))
-    found = groups.join(classes.select("key", "rep", "size", "members"), "rep")
+    found = groups.join(classes.select("key", "check", "rep", "size", "members"), "rep")
     total = found.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     found = found.join(total, "group").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = list(shingle_sets(batch.column(0)))
-            kept = pa.array([key_of(x) == k for x, k in zip(sets, batch.column(1).to_pylist(), strict=True)], pa.bool_())
-            out = pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([x.tobytes() for x in sets], pa.binary())], [*batch.schema.names[1:], "shingles"])
+            kept = pa.array([key_of(x) == k for x, k in zip(sets, zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True), strict=True)], pa.bool_())
+            out = pa.RecordBatch.from_arrays([*batch.columns[3:], pa.array([x.tobytes() for x in sets], pa.binary())], [*batch.schema.names[3:], "shingles"])
             yield out.filter(kept)
 
-    chosen = texts.join(found.withColumnRenamed("rep", "doc_id"), "doc_id").select("text", "key", F.col("doc_id").alias("rep"), "size", "members", "group", "block", "blocks")
-    sets = chosen.mapInArrow(make, "key long, rep long, size long, members long, group long, block int, blocks int, shingles binary")
+    chosen = texts.join(found.withColumnRenamed("rep", "doc_id"), "doc_id").select("text", "key", "check", F.col("doc_id").alias("rep"), "size", "members", "group", "block", "blocks")
+    sets = chosen.mapInArrow(make, "rep long, size long, members long, group long, block int, blocks int, shingles binary")
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(o, "block") * F.col("blocks") + F.greatest(o, "block"))
     dealt = sets.withColumn("tile", F.explode(F.when(F.col("blocks") > 1, pair).otherwise(F.array(F.lit(0)))))
     dealt = dealt.withColumn("diagonal", F.floor(F.col("tile") / F.col("blocks")) == F.col("tile") % F.col("blocks"))
@@ -360,9 +367,9 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     release(spark)
     parts = connected_components(exact.where("b is not null").select("a", "b")).select(F.col("node").alias("rep"), F.col("component"))
     links = exact.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    judged = classes.select("key", "rep", "members").join(parts, "rep", "left").join(links, "rep", "left")
-    judged = judged.select("key", F.coalesce("component", "rep").alias("part"), (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("others"))
-    out = rows.join(judged, "key", "left")
+    judged = classes.select("key", "check", "rep", "members").join(parts, "rep", "left").join(links, "rep", "left")
+    judged = judged.select("key", "check", F.coalesce("component", "rep").alias("part"), (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("others"))
+    out = rows.join(judged, ["key", "check"], "left")
     known = F.col("part").isNotNull() & F.col("doc_id").isNotNull()
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(known, F.col("part")).otherwise(F.col("doc_id")).alias("component_id"), F.when(known, F.col("others")).otherwise(0).alias("n_links"))
 
@@ -374,4 +381,5 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id and n_links of every document, by similar_documents."""
     return similar_documents(table(spark, sf_dir, "documents"))
