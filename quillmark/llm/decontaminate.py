@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -221,14 +220,15 @@ def cut_hits(found: DataFrame, longest: int = WINDOW, coverage: float = 0.8) ->
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, most: int = MOST_WORDS, coverage: float = 0.8) -> DataFrame:
-    """cut_hits of find_hits, the last automaton's scan and the cut in one worker."""
-    names = [c for c in docs.columns if c not in ("n_words", "hits", "hit_items")]
-    out = docs.select(*names)
+    """cut_hits of find_hits, the last automaton's scan and the cut in one worker; all columns of docs stay, whatever their names."""
+    aside = {c: f"__{c}" for c in ("n_words", "hits", "hit_items") if c in docs.columns}
+    docs = docs.withColumnsRenamed(aside)
+    out, names = docs, docs.columns
     *first, last = automata(items, window, most) or [None]
     for k, shared in enumerate(first):
         out = _scan(out, shared, names, k)
     scan, cut = _scanner(last, names, len(first)), _cutter(names, window, coverage)
-    return out.mapInArrow(lambda batches: cut(scan(batches)), docs.select(*names).schema)
+    return out.mapInArrow(lambda batches: cut(scan(batches)), docs.schema).withColumnsRenamed({v: k for k, v in aside.items()})
 
 
 def _cutter(names: list[str], longest: int, coverage: float):
@@ -263,12 +263,9 @@ def _cutter(names: list[str], longest: int, coverage: float):
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document, by find_hits."""
     found = find_hits(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.selectExpr(
         "doc_id", "n_words", "coalesce(aggregate(hits, 0L, (n, x) -> n + x.end - x.start), 0L) as n_hit", "cast(size(hit_items) as long) as n_items",
         "sha2(array_join(hit_items, ','), 256) as items_sha256", "size(hits) > 0 as contaminated",
     )
-
-
-def digest_of(items: Iterable[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
