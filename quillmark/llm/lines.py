@@ -41,31 +41,27 @@ def chunks_of(docs: DataFrame, column: str = "text") -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """The columns of docs without repeated chunks in text (n_chars, if there, follows), and n_lines and n_removed.
 
-    Of equal chunks of at least LEAST lines anywhere in docs, the first (by doc_id, then place) stays. Chunks are first
-    grouped by MD5, and removed only where their bytes equal the kept chunk's. The lines left are joined by newlines; a
+    Of equal chunks of at least LEAST lines anywhere in docs, the first (by doc_id, then place) stays. Chunks are grouped
+    by SHA-256, and a group is thinned only once the bytes of all its chunks were compared, each task passing on one copy
+    of a chunk however often it has it. The lines left are joined by newlines; a
     text all of whose lines go becomes empty. Null texts stay null with no lines, an empty text is one empty line. A row
-    without doc_id neither loses nor matches chunks. Rows of equal doc_id are one document if their texts are equal.
+    without doc_id neither loses nor matches chunks. Rows of equal doc_id are one document in several texts:
+    of two chunks at the same place neither goes, and each text loses only chunks of its own.
     Columns of docs named n_lines, n_removed or with two leading underscores are replaced.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     docs = docs.select(*names)
-    texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+    docs = docs.withColumn("__tag", F.md5("text"))
+    texts = docs.where("doc_id is not null and text is not null").select("doc_id", "__tag", "text")
     # outer, since an inner explode would filter by the size of the array and compute all of it once more
-    numbered = chunks_of(texts).select("doc_id", F.posexplode_outer("chunks").alias("pos", "chunk")).where(F.col("chunk.n") >= LEAST)
-    rows = numbered.select("doc_id", "pos", F.unhex(F.md5("chunk.body")).alias("digest"))
-    first = rows.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first")).where("n > 1").select("digest", "first")
-    doubles = rows.join(first, "digest").where("struct(doc_id, pos) > first").select("digest", "doc_id", "pos").distinct()
-
-    kept = first.select(F.col("first.doc_id").alias("doc_id"), F.struct(F.col("first.pos").alias("pos"), "digest").alias("place"))
-    kept = kept.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    bodies = chunks_of(docs.join(kept, "doc_id")).select("chunks", F.explode("places").alias("place"))
-    bodies = bodies.select(F.col("place.digest").alias("digest"), F.get("chunks", F.col("place.pos"))["body"].alias("body")).where("unhex(md5(body)) = digest")
-    bodies = bodies.dropDuplicates(["digest"])
-
-    gone = doubles.join(bodies, "digest").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "body")).alias("__gone"))
-    marked = chunks_of(docs.join(gone, "doc_id", "left"))
-    same = F.filter("__gone", lambda x: F.get("chunks", x.pos)["body"] == x.body)
-    marked = marked.withColumn("__pos", F.coalesce(F.transform(same, lambda x: x.pos), F.array().cast("array<int>")))
+    numbered = chunks_of(texts).select("doc_id", "__tag", F.posexplode_outer("chunks").alias("pos", "chunk")).where(F.col("chunk.n") >= LEAST)
+    rows = numbered.select("doc_id", "__tag", "pos", F.unhex(F.sha2("chunk.body", 256)).alias("digest"), F.col("chunk.body").alias("body"))
+    groups = rows.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first"), F.collect_set("body").alias("bodies"))
+    first = groups.where((F.col("n") > 1) & (F.size("bodies") == 1)).select("digest", "first")
+    doubles = rows.drop("body").join(first, "digest").where("struct(doc_id, pos) > first")
+    gone = doubles.groupBy("doc_id", "__tag").agg(F.collect_set("pos").alias("__gone"))
+    marked = chunks_of(docs.join(gone, ["doc_id", "__tag"], "left").select(*docs.columns, "__gone"))
+    marked = marked.withColumn("__pos", F.coalesce("__gone", F.array().cast("array<int>")))
     left = F.array_except(F.sequence(F.lit(0), F.size("chunks") - 1), "__pos")
     text = F.when(F.size("__pos") == 0, F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("chunks", i)["body"]), "\n"))
     lines = F.coalesce(F.aggregate("chunks", F.lit(0).cast("long"), lambda n, x: n + x.n), F.lit(0).cast("long"))
@@ -76,6 +72,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_removed and kept_sha256 of every document, by dedup_lines."""
     done = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
