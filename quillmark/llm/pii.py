@@ -113,16 +113,19 @@ def _row_starts(column: pa.Array, block: Words) -> np.ndarray:
     return at[block.row : block.row + len(block.first) - 1] - at[block.row]
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """(term, n): the number of documents with each lower-cased word, as its hash; every task adds up its own first."""
+def term_counts(docs: DataFrame, folder: str, bits: int) -> DataFrame:
+    """(term, n): the number of documents with each lower-cased word that keep_terms put into folder; every task adds up its own first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size, done, n = 0, np.zeros(0, U64), np.zeros(0, np.int64)
+        wanted = _wanted(folder, bits)
         for batch in batches:
             for block in words(batch.column(0), SPACE):
-                held += [np.unique(block.hashes[a:b]) for a, b in zip(block.first[:-1].tolist(), block.first[1:].tolist(), strict=True)]
-                size += len(block.hashes)
+                hit = np.flatnonzero(wanted(block.hashes))
+                edges = np.searchsorted(hit, block.first)
+                held += [np.unique(block.hashes[hit[a:b]]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) if b > a]
+                size += len(hit)
                 if size > BUFFER:
                     done, n = _merged([done, *held], [n, *(np.ones(len(x), np.int64) for x in held)])
                     held, size = [], 0
@@ -186,10 +189,31 @@ def disclosing(docs: DataFrame, share: float = SHARE, bits: float = BITS, smooth
     able = written(entities.where(enough(share_of(F.col("have"), F.col("have")))))
     pairs = together(scanned, able).join(able, "entity").where(enough(share_of(F.col("both"), F.col("both"))))
     pairs = written(pairs)
-    counts = term_counts(docs).join(pairs.select("term").distinct(), "term", "left_semi")
+    counts = term_counts(docs, *keep_terms(pairs))
     return pairs.join(counts, "term").where(enough(share_of(F.col("both"), F.greatest("n", "both")))).select("entity", "term")
 
 
+def keep_terms(terms: DataFrame) -> tuple[str, int]:
+    """Puts the distinct values of terms' column term into sorted files of a new shared folder; their folder and number of shards, in bits."""
+    spark = terms.sparkSession
+    bits = max(3, (partitions(spark) - 1).bit_length())
+    folder = local_path(shared_dir(spark))
+    dealt = terms.select("term").distinct().withColumn("shard", F.shiftrightunsigned("term", 64 - bits))
+    dealt.groupBy("shard").applyInArrow(_kept(folder), "n long").write.format("noop").mode("overwrite").save()
+    return folder, bits
+
+
+def _wanted(folder: str, bits: int) -> Callable[[np.ndarray], np.ndarray]:
+    """Which of some hashes keep_terms has in folder."""
+    shards = Shards(folder, bits)
+
+    def wanted(hashes: np.ndarray) -> np.ndarray:
+        distinct, place = np.unique(hashes, return_inverse=True)
+        return (shards.find("term", "term", distinct, ~distinct) == distinct)[place]
+
+    return wanted
+
+
 def _kept(folder: str):
     def run(group: pa.Table) -> pa.Table:
         save(folder, f"term-{group.column('shard')[0].as_py()}", np.sort(group.column("term").to_numpy().view(U64)))
@@ -210,60 +234,59 @@ def find_pii(docs: DataFrame, share: float = SHARE, bits: float = BITS, smooth:
     ids count as one document where entities are counted; other columns are ignored. The terms lie in the shared folder,
     where workers map them.
     """
-    spark = docs.sparkSession
-    bits_of_shard = max(3, (partitions(spark) - 1).bit_length())
-    folder = local_path(shared_dir(spark))
-    terms = disclosing(docs, share, bits, smooth).select("term").distinct().withColumn("shard", F.shiftrightunsigned("term", 64 - bits_of_shard))
-    terms.groupBy("shard").applyInArrow(_kept(folder), "n long").collect()
+    terms = keep_terms(disclosing(docs, share, bits, smooth))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards = Shards(folder, bits_of_shard)
-
-        def wanted(hashes: np.ndarray) -> np.ndarray:
-            distinct, place = np.unique(hashes, return_inverse=True)
-            return (shards.find("term", "term", distinct, ~distinct) == distinct)[place]
-
+        wanted = _wanted(*terms)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            spans = [base_spans(t) for t in texts]
+            spans, both = _marked([t or "" for t in batch.column(1).to_pylist()], wanted)
             counts = [pa.array([sum(s[0] == k for s in x) for x in spans], pa.int64()) for k in KINDS[:4]]
-            both = list(spans)
-            for row, _, start, end in free_words(pa.array(texts, pa.string()), spans, wanted):
-                both[row] = sorted([*spans[row], *(("term", a, b) for a, b in zip(start.tolist(), end.tolist(), strict=True))], key=lambda x: (x[1], KINDS.index(x[0])))
             said = [pa.array([",".join(f"{k}:{a}:{b}" for k, a, b in x) for x in xs], pa.string()) for xs in (spans, both)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, *said], ["doc_id", *(f"n_{k}" for k in KINDS[:4]), "base", "spans"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, spans string")
 
 
-def redact(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs with every span of find_pii replaced in text: entities by their kind, as in [EMAIL], terms by [...]; doc_id must be unique."""
-    names = docs.columns
-    joined = docs.join(found.select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans")), F.col("doc_id") == F.col("__id"), "left").select(*names, "__spans")
-    text, at = names.index("text"), len(names)
+def _marked(texts: list[str], wanted: Callable[[np.ndarray], np.ndarray]) -> tuple[list[list], list[list]]:
+    """The base spans of each text, and those with the spans of wanted words."""
+    spans = [base_spans(t) for t in texts]
+    both = list(spans)
+    for row, _, start, end in free_words(pa.array(texts, pa.string()), spans, wanted):
+        both[row] = sorted([*spans[row], *(("term", a, b) for a, b in zip(start.tolist(), end.tolist(), strict=True))], key=lambda x: (x[1], KINDS.index(x[0])))
+    return spans, both
+
+
+def redact(docs: DataFrame, share: float = SHARE, bits: float = BITS, smooth: float = SMOOTH) -> DataFrame:
+    """docs with every span of find_pii replaced in text: entities are generalised to their kind, as in [EMAIL], and terms removed, as [...].
+
+    Of spans that overlap the first stands for both. Null texts stay null; rows stay as they are, repeated ones too, and
+    keep all their columns (n_chars, if there, is not changed); no rows give none.
+    """
+    terms, text = keep_terms(disclosing(docs, share, bits, smooth)), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = _wanted(*terms)
         for batch in batches:
             texts = batch.column(text).to_pylist()
-            for i, spans in enumerate(batch.column(at).to_pylist()):
-                if spans and texts[i] is not None:
-                    texts[i] = replaced(texts[i], spans)
-            columns = list(batch.columns[:at])
-            columns[text] = pa.array(texts, batch.column(text).type)
-            yield pa.RecordBatch.from_arrays(columns, names)
+            _, spans = _marked([t or "" for t in texts], wanted)
+            columns = list(batch.columns)
+            columns[text] = pa.array([None if t is None else replaced(t, x) for t, x in zip(texts, spans, strict=True)], batch.column(text).type)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return joined.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
-def replaced(text: str, spans: str) -> str:
+def replaced(text: str, spans: list[tuple[str, int, int]]) -> str:
+    """text with its spans, in the order of their starts, replaced."""
     out, at = [], 0
-    for kind, start, end in (x.split(":") for x in spans.split(",")):
-        if int(start) >= at:
-            out += [text[at : int(start)], "[...]" if kind == "term" else f"[{kind.upper()}]"]
-        at = max(at, int(end))
+    for kind, start, end in spans:
+        if start >= at:
+            out += [text[at:start], "[...]" if kind == "term" else f"[{kind.upper()}]"]
+        at = max(at, end)
     return "".join([*out, text[at:]])
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts and digest and all spans of every document, by find_pii."""
     found = find_pii(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
