@@ -369,6 +369,7 @@ NAMES = ["n_tokens", "n_known", "base_score", "score", "perplexity"]
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document under a model fitted on those not held out, by fit and score."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out(F.col("doc_id"), 7).alias("held_out"))
     model = fit(docs.where("not held_out"))
     scored = score(docs, model, ("doc_id", "held_out")).withColumn("train_tokens", F.lit(model.n).cast("long"))
