@@ -8,7 +8,7 @@ import heapq
 import re
 import struct
 from collections.abc import Callable, Iterator, Sequence
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -107,11 +107,13 @@ class Bpe:
         ids = [rank] if rank is not None else self.part(data)
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def encoder(self) -> Callable[[str], bytes]:
+    @cached_property
+    def encode(self) -> Callable[[str], bytes]:
         """A function from a text to its ids as little-endian unsigned 32-bit integers.
 
         A text is a tree of chunks, a chunk one of pieces, and a piece one of bytes. Tokens never go over the boundary of
-        two pieces, nor pieces over that of two chunks, so that nothing there has to be encoded again.
+        two pieces, nor pieces over that of two chunks, so that nothing there has to be encoded again. What it
+        remembers serves all tasks of a worker.
         """
         pieces = _Memory(lambda piece: self.piece(piece.encode()))
 
@@ -164,7 +166,7 @@ def _schema(df: DataFrame, n: int, more: str) -> str:
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, keep: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
-    encode, at = bpe_of(path).encoder(), len(keep)
+    encode, at = bpe_of(path).encode, len(keep)
     for batch in batches:
         ids = [encode(t) if t else b"" for t in batch.column(at).to_pylist()]
         yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(ids, pa.binary())], [*keep, "ids"])

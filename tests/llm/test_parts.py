@@ -49,7 +49,7 @@ def test_bpe_joins_equal_the_library():
     bpe = Bpe(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     r = random.Random(3)
     texts = ["a" * 5000, "=" * 3001, " " * 777 + "x"] + ["".join(r.choice(s) for _ in range(r.choice([1, 40, 700]))) for s in ("ab", "abcdefghijklmnopqrstuvwxyz", "the ing é日😀\n", "0123456789. ") for _ in range(40)]
-    encode = bpe.encoder()
+    encode = bpe.encode
     want = brute.encoded([{"doc_id": i, "text": t} for i, t in enumerate(texts)])
     for i, t in enumerate(texts):
         ids = encode(t)
@@ -59,7 +59,7 @@ def test_bpe_joins_equal_the_library():
 
 def test_ordinary_texts_are_encoded_up_the_tree():
     bpe = Bpe(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    encode = bpe.encoder()
+    encode = bpe.encode
     encode("the unthinkably extraordinary word")
     assert bpe.joins > 5
     odd = ["", " ", "\n", "a\tb", "!\x1c", "!\x1c ?", "a\x1f\x1f", "x \x1c\n y", "…\n\n  z\u3000ß\t", "a  \n b\r\n\r\nc ", "it's\u00a0we'll 'S", "\t\t\t", "f\t\t", "1\x85 2\u2028 3"]
