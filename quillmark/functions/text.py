@@ -134,15 +134,21 @@ def duration_seconds(text: Column) -> Column:
     return F.coalesce(low.try_cast("double"), F.when(total > 0, total))
 
 
-def stylometry(text: Column, tokens: Column) -> dict[str, Column]:
-    """The scalar measures of a text but for the function words; every ratio of nothing is 0. tokens: its lower-cased words."""
+def stylometry(text: Column, tokens: Column, lens: Column | None = None) -> dict[str, Column]:
+    """The scalar measures of a text but for the function words; every ratio of nothing is 0.
+
+    tokens: its lower-cased words; lens: its sentence_lengths. Both are best columns of an earlier projection, or each
+    measure would compute them anew.
+    """
     n = F.size(tokens)
-    lens = sentence_lengths(text)
+    lens = sentence_lengths(text) if lens is None else lens
     sentences = F.size(lens)
-    mean = ratio(F.aggregate(lens, F.lit(0), lambda a, x: a + x), sentences)
+    total = F.aggregate(lens, F.lit(0).cast("long"), lambda a, x: a + x)
+    mean = ratio(total, sentences)
     ordered = F.array_sort(lens)
     middle = (F.get(ordered, F.floor((sentences - 1) / 2).cast("int")) + F.get(ordered, F.floor(sentences / 2).cast("int"))) / 2
-    spread = F.sqrt(F.aggregate(lens, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / sentences)
+    squares = F.aggregate(lens, F.lit(0).cast("long"), lambda a, x: a + x.cast("long") * x)
+    spread = F.sqrt((squares * sentences - total * total).cast("double")) / sentences
     quotes = F.regexp_count(text, F.lit(QUOTES))
     dashes = occurrences(text, "—") + occurrences(text, "–") + F.regexp_count(text, F.lit(r"(?U)(?<!\w)-(?!\w)"))
     rate = lambda count: ratio(count * 1000.0, n)

@@ -50,9 +50,9 @@ SELECT doc_id, n AS word_count_feature, k AS sentence_count_feature, round(CASE
   round(CASE WHEN n > 0 THEN length(array_to_string(tok, '')) / n ELSE 0 END, 6) AS avg_word_length, round(CASE WHEN n > 0 THEN len(list_filter(tok, lambda x: length(x) >= 8)) / n ELSE 0 END, 6) AS long_word_ratio, round(CASE WHEN n > 0 THEN len(list_filter(tok, lambda x: length(x) <= 3)) / n ELSE 0 END, 6) AS short_word_ratio
 FROM f""")
 def scalar_stylometry(spark, sf_dir):
-    rows = _docs(spark, sf_dir).withColumn("tokens", T.words(F.lower("text")))
+    rows = _docs(spark, sf_dir).select("doc_id", "text", T.words(F.lower("text")).alias("tokens"), T.sentence_lengths(F.col("text")).alias("lens"))
     names = ["word_count_feature", "sentence_count_feature", "mean_sentence_words", "median_sentence_words", "short_sentence_ratio", "long_sentence_ratio", "comma_per_1000w", "punctuation_per_1000w", "type_token_ratio", "root_type_token_ratio", "avg_word_length", "long_word_ratio", "short_word_ratio"]
-    made = T.stylometry(F.col("text"), F.col("tokens"))
+    made = T.stylometry(F.col("text"), F.col("tokens"), F.col("lens"))
     return rows.select("doc_id", *(F.round(made[k], 5 if k.endswith("1000w") else 6).alias(k) for k in names))
 
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import zipfile
+from collections.abc import Iterator
+from io import BytesIO
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -51,6 +56,61 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType, corrupt: str
         raise
 
 
+def write_json(df: DataFrame, path: str) -> None:
+    """One object a line, null fields too, so that a reader finds every field."""
+    df.write.mode("error").option("ignoreNullFields", "false").json(path)
+
+
+def numbered_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """path, line (from 1), row, corrupt: every line that is not blank, with its text where it is no object of the schema; a file is one task's work."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split(unix_newlines(F.col("value")), "\n")).alias("at", "text"))
+    kinds = StructType([*schema.fields, StructField("__bad", StringType())])
+    parsed = F.from_json("text", kinds, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"})
+    rows = files.where(F.trim("text") != "").select("path", (F.col("at") + 1).alias("line"), "text", parsed.alias("p"))
+    bad = F.col("p").isNull() | F.col("p.__bad").isNotNull()
+    row = F.struct(*(F.col("p").getField(f.name).alias(f.name) for f in schema.fields))
+    return rows.select("path", "line", F.when(~bad, row).alias("row"), F.when(bad, F.col("text")).alias("corrupt"))
+
+
+def read_zip(spark: SparkSession, path: str, members: list[str] | None = None, largest: int = 64 << 20) -> DataFrame:
+    """path, member, content, sha256, problem of the members of zip files, one file a task at a time.
+
+    problem: damaged (the file or the member's checksum), unsafe (an absolute or climbing name), large (over `largest`
+    bytes, not read), unexpected or missing by members, the names that must be there and no others; null if all is well.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows = list(_members(data, members, largest))
+                made = [pa.array([name] * len(rows), pa.string()), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.binary(), pa.string())))]
+                yield pa.RecordBatch.from_arrays(made, ["path", "member", "content", "problem"])
+
+    read = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, member string, content binary, problem string")
+    return read.select("path", "member", "content", F.sha2("content", 256).alias("sha256"), "problem")
+
+
+def _members(data: bytes, members: list[str] | None, largest: int) -> Iterator[tuple[str | None, bytes | None, str | None]]:
+    try:
+        box = zipfile.ZipFile(BytesIO(data))
+    except zipfile.BadZipFile:
+        yield None, None, "damaged"
+        return
+    for entry in box.infolist():
+        name = entry.filename
+        if name.startswith(("/", "\\")) or ".." in name.replace("\\", "/").split("/"):
+            yield name, None, "unsafe"
+        elif entry.file_size > largest:
+            yield name, None, "large"
+        else:
+            try:
+                yield name, box.read(entry), "unexpected" if members is not None and name not in members else None
+            except zipfile.BadZipFile:
+                yield name, None, "damaged"
+    for name in sorted(set(members or ()) - set(box.namelist())):
+        yield name, None, "missing"
+
+
 def append_jsonl(df: DataFrame, path: str, compression: str | None = None) -> None:
     df.write.mode("append").json(path, compression=compression)
 
