@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,8 +22,8 @@ STOP_WORDS = (
 NEGATIONS = "not no never none nothing neither nor without cannot can't won't don't didn't isn't wasn't weren't".split()
 PUNCTUATION = r"[.,;:!?—–\-\"“”‘’'…]"
 QUOTES = r"[\"“”‘’]"
-ARCHAIC = r"\b(?:thou|thee|thy|thine|hath|doth|art|wilt|shalt|ere|nay)\b"
-ABSTRACT = r"\b\w+(?:tion|sion|ity|ness|ment|ance|ence)\b"
+ARCHAIC = "thou thee thy thine hath doth art wilt shalt ere nay".split()
+ABSTRACT = "tion sion ity ness ment ance ence".split()
 CONTAMINATION = {"think_open": "<think>", "think_close": "</think>", "as_an_ai": r"\bas an ai\b", "i_cannot": r"\bi cannot\b", "here_is": r"\bhere is\b", "below_is": r"\bbelow is\b", "the_rewritten": r"\bthe rewritten\b", "json_literal": r"\bjson\b"}
 WORD = r"[\p{L}\p{N}_]+(?:[’'-]+[\p{L}\p{N}_]+)*"
 SENTENCE = "[^.!?]+(?:[.!?]+[\"”’]*|\\z)"
@@ -134,12 +138,18 @@ def duration_seconds(text: Column) -> Column:
     return F.coalesce(low.try_cast("double"), F.when(total > 0, total))
 
 
-def stylometry(text: Column, tokens: Column, lens: Column | None = None) -> dict[str, Column]:
+def plain_words(text: Column) -> Column:
+    """Runs of letters, digits and underscores, in small letters."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+
+
+def stylometry(text: Column, tokens: Column, lens: Column | None = None, plain: Column | None = None) -> dict[str, Column]:
     """The scalar measures of a text but for the function words; every ratio of nothing is 0.
 
-    tokens: its lower-cased words; lens: its sentence_lengths. Both are best columns of an earlier projection, or each
-    measure would compute them anew.
+    tokens: its lower-cased words; lens: its sentence_lengths; plain: its plain_words. All are best columns of an earlier
+    projection, or each measure would compute them anew.
     """
+    plain = plain_words(text) if plain is None else plain
     n = F.size(tokens)
     lens = sentence_lengths(text) if lens is None else lens
     sentences = F.size(lens)
@@ -150,7 +160,10 @@ def stylometry(text: Column, tokens: Column, lens: Column | None = None) -> dict
     squares = F.aggregate(lens, F.lit(0).cast("long"), lambda a, x: a + x.cast("long") * x)
     spread = F.sqrt((squares * sentences - total * total).cast("double")) / sentences
     quotes = F.regexp_count(text, F.lit(QUOTES))
-    dashes = occurrences(text, "—") + occurrences(text, "–") + F.regexp_count(text, F.lit(r"(?U)(?<!\w)-(?!\w)"))
+    lone = F.when(text.contains("-"), F.regexp_count(text, F.lit(r"(?<![\p{L}\p{N}_])-(?![\p{L}\p{N}_])"))).otherwise(0)
+    dashes = occurrences(text, "—") + occurrences(text, "–") + lone
+    joined = F.when(text.contains("'") | text.contains("’"), F.regexp_count(text, F.lit(r"[\p{L}\p{N}_]+[’'][\p{L}\p{N}_]+"))).otherwise(0)
+    abstract = F.filter(plain, lambda w: reduce(or_, (w.endswith(e) & (F.length(w) > len(e)) for e in ABSTRACT)))
     rate = lambda count: ratio(count * 1000.0, n)
     return {
         "word_count_feature": n.cast("double"),
@@ -176,19 +189,30 @@ def stylometry(text: Column, tokens: Column, lens: Column | None = None) -> dict
         "avg_word_length": ratio(F.aggregate(tokens, F.lit(0), lambda a, t: a + F.length(t)), n),
         "long_word_ratio": ratio(F.size(F.filter(tokens, lambda t: F.length(t) >= 8)), n),
         "short_word_ratio": ratio(F.size(F.filter(tokens, lambda t: F.length(t) <= 3)), n),
-        "contraction_per_1000w": rate(F.regexp_count(text, F.lit(r"(?U)\b\w+[’']\w+\b"))),
-        "archaic_marker_per_1000w": rate(F.regexp_count(text, F.lit(f"(?iU){ARCHAIC}"))),
-        "abstract_suffix_per_1000w": rate(F.regexp_count(text, F.lit(f"(?iU){ABSTRACT}"))),
+        "contraction_per_1000w": rate(joined),
+        "archaic_marker_per_1000w": rate(F.size(F.filter(plain, lambda w: w.isin(ARCHAIC)))),
+        "abstract_suffix_per_1000w": rate(F.size(abstract)),
         "dialogue_marker_per_1000w": rate(quotes),
     }
 
 
+RHYTHM = ["word_count_feature", "sentence_count_feature", "paragraph_count_feature", "mean_sentence_words", "median_sentence_words", "std_sentence_words", "short_sentence_ratio", "long_sentence_ratio"]
+RICHNESS = ["type_token_ratio", "root_type_token_ratio", "hapax_ratio", "avg_word_length", "long_word_ratio", "short_word_ratio"]
+MARKS = r"punctuation|(comma|semicolon|colon|dash|question|exclamation|quote|apostrophe|ellipsis).*_per_1000w$"
+
+
 def family(feature: Column) -> Column:
     """The family of a feature by its name."""
-    rhythm = ["word_count_feature", "sentence_count_feature", "paragraph_count_feature", "mean_sentence_words", "median_sentence_words", "std_sentence_words", "short_sentence_ratio", "long_sentence_ratio"]
-    richness = ["type_token_ratio", "root_type_token_ratio", "hapax_ratio", "avg_word_length", "long_word_ratio", "short_word_ratio"]
     return (
-        F.when(feature.startswith("fw_"), "function_word").when(feature.startswith("char3"), "char3").when(feature.isin(rhythm), "length_rhythm")
-        .when(feature.rlike("punctuation|(comma|semicolon|colon|dash|question|exclamation|quote|apostrophe|ellipsis).*_per_1000w$"), "punctuation")
-        .when(feature.isin(richness), "lexical_richness").otherwise("register_marker")
+        F.when(feature.startswith("fw_"), "function_word").when(feature.startswith("char3"), "char3").when(feature.isin(RHYTHM), "length_rhythm")
+        .when(feature.rlike(MARKS), "punctuation").when(feature.isin(RICHNESS), "lexical_richness").otherwise("register_marker")
     )
+
+
+def family_of(feature: str) -> str:
+    """family of a name that is known while a plan is made."""
+    if feature.startswith(("fw_", "char3")):
+        return "function_word" if feature.startswith("fw_") else "char3"
+    if feature in RHYTHM:
+        return "length_rhythm"
+    return "punctuation" if re.search(MARKS, feature) else "lexical_richness" if feature in RICHNESS else "register_marker"

@@ -1,4 +1,4 @@
-"""Classifiers over long-form features, fitted per fold in one plan: (fold, key, label, train, feature, z) in, predictions out."""
+"""Classifiers fitted per fold in one plan, over arrays (fold, key, label, train, z) or over long-form features (.., feature, z)."""
 
 from __future__ import annotations
 
@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmark.sources.io import settled
+
 
 def outer_folds(rows: DataFrame, k: int = 3) -> DataFrame:
     """Every row once for each fold, with train: whether it belongs to another fold."""
@@ -66,6 +70,63 @@ def _best(scored: DataFrame, by: list[str], keys: list[str], label: str) -> Data
     return scored.groupBy(*by, *keys, label).agg(best).select(*by, *keys, label, F.col("best.candidate").alias("predicted"))
 
 
+def _moments(rows: DataFrame, by: list[str], z: str = "z") -> DataFrame:
+    """by, m, v (population variances) and n of arrays, added up by each task first; a null element counts as 0."""
+    whole = array_to_vector(F.transform(z, lambda x: F.coalesce(x, F.lit(0.0))))
+    seen = rows.groupBy(*by).agg(Summarizer.metrics("mean", "variance", "count").summary(whole).alias("s"))
+    n = F.col("s.count")
+    sample = vector_to_array("s.variance")
+    return seen.select(*by, vector_to_array("s.mean").alias("m"), F.transform(sample, lambda v: v * (n - 1) / n).alias("v"), n.alias("n"))
+
+
+def standard_vectors(rows: DataFrame, by: list[str], fit: Column) -> DataFrame:
+    """rows with z in place of the array values, by means and deviations of the rows of each group of by where fit holds; elements that don't vary there are null."""
+    stats = settled(_moments(rows.where(fit), by, "values"))
+    joined = rows.join(stats, by)
+    z = F.transform(F.arrays_zip("values", "m", "v"), lambda x: F.when(x.v > 1e-12, (x["values"] - x.m) / F.sqrt(x.v)))
+    return joined.withColumn("z", z).drop("values", "m", "v", "n")
+
+
+def candidates(train: DataFrame, by: list[str], kind: str = "centroid", label: str = "author") -> DataFrame:
+    """by, candidate, centre, weight, bias of every label: what is best has the largest bias - sum of weight * (z - centre)^2.
+
+    kind: centroid (least distance), nb_uniform (Gaussian naive Bayes with variances plus 1e-9 of the largest and equal
+    priors), nb_counts (variances of 1e-6 at least, priors from counts), or lda (a pooled variance of n - 1 a label, 1e-6
+    at least, priors from counts).
+    """
+    stats = _moments(train, [*by, label]).withColumnRenamed(label, "candidate")
+    prior = F.log(F.col("n") / F.sum("n").over(Window.partitionBy(*by)))
+    if kind == "centroid":
+        stats = stats.withColumns({"weight": F.transform("m", lambda m: F.lit(1.0)), "bias": F.lit(0.0)})
+    elif kind == "lda":
+        every = F.collect_list(F.struct("n", "v")).over(Window.partitionBy(*by))
+        sums = F.aggregate("every", F.transform("v", lambda v: F.lit(0.0)), lambda a, x: F.zip_with(a, x.v, lambda p, q: p + q * x.n))
+        spare = F.greatest(F.aggregate("every", F.lit(0).cast("long"), lambda a, x: a + x.n - 1), F.lit(1))
+        pooled = F.transform(sums, lambda p: 0.5 / F.greatest(p / spare, F.lit(1e-6)))
+        stats = stats.withColumn("every", every).withColumns({"weight": pooled, "bias": prior}).drop("every")
+    else:
+        if kind == "nb_uniform":
+            widest = _moments(train, by).select(*by, (F.array_max("v") * 1e-9).alias("least"))
+            stats = stats.join(widest, by).withColumn("v", F.transform("v", lambda v: v + F.col("least"))).drop("least")
+            prior = F.lit(0.0)
+        else:
+            stats = stats.withColumn("v", F.transform("v", lambda v: F.greatest(v, F.lit(1e-6))))
+        logs = F.aggregate("v", F.lit(0.0), lambda a, v: a - 0.5 * F.log(2 * np.pi * v))
+        stats = stats.withColumns({"weight": F.transform("v", lambda v: 0.5 / v), "bias": logs + prior})
+    return stats.select(*by, "candidate", F.col("m").alias("centre"), "weight", "bias")
+
+
+def attributed(rows: DataFrame, by: list[str], keys: list[str], kind: str = "centroid", label: str = "author", train: Column | None = None, digits: int = 6) -> DataFrame:
+    """by, keys, label, predicted of the rows (with z and train) that are not in training: the best candidate, ties (to so many digits) by name.
+
+    The candidates are few rows of arrays, written once, which Spark sends to every task where their size allows.
+    """
+    fitted = settled(candidates(rows.where(F.col("train") if train is None else train), by, kind, label))
+    score = F.col("bias") - F.aggregate(F.arrays_zip("z", "centre", "weight"), F.lit(0.0), lambda a, x: a + x.weight * F.pow(F.coalesce(x.z, F.lit(0.0)) - x.centre, F.lit(2.0)))
+    scored = rows.where("not train").join(fitted, by).select(*by, *keys, label, F.struct((-F.round(score, digits)).alias("s"), "candidate").alias("b"))
+    return scored.groupBy(*by, *keys, label).agg(F.min("b").alias("b")).select(*by, *keys, label, F.col("b.candidate").alias("predicted"))
+
+
 def ledoit_wolf(x: np.ndarray) -> np.ndarray:
     """The shrunk covariance of the rows of x (Ledoit and Wolf 2004), shrunk towards its mean variance."""
     n, p = x.shape
@@ -79,24 +140,27 @@ def ledoit_wolf(x: np.ndarray) -> np.ndarray:
 
 
 def shrinkage_lda(x: np.ndarray, y: np.ndarray, new: np.ndarray) -> np.ndarray:
-    """Labels by a linear discriminant with uniform priors, whose covariance is the mean of the classes' shrunk ones."""
+    """Labels by a linear discriminant with uniform priors, whose covariance is the mean of the classes' ones, each shrunk in units of its own deviations."""
     labels = np.unique(y)
     means = np.array([x[y == k].mean(axis=0) for k in labels])
-    scale = x.std(axis=0)
-    scale[scale == 0] = 1
-    shared = sum(ledoit_wolf(x[y == k] / scale) for k in labels) / len(labels) * np.outer(scale, scale)
+    shared = np.zeros((x.shape[1], x.shape[1]))
+    for k in labels:
+        own = x[y == k]
+        scale = own.std(axis=0)
+        scale[scale == 0] = 1
+        shared += ledoit_wolf(own / scale) * np.outer(scale, scale) / len(labels)
     weights = np.linalg.lstsq(shared, means.T, rcond=None)[0]
     return labels[(new @ weights - 0.5 * np.einsum("kp,pk->k", means, weights)).argmax(axis=1)]
 
 
 def linear_svm(x: np.ndarray, y: np.ndarray, new: np.ndarray, c: float = 1.0, rounds: int = 100) -> np.ndarray:
-    """One-against-rest squared-hinge support vectors with an intercept and balanced classes, by Newton steps with line search."""
+    """One-against-rest squared-hinge support vectors with an intercept, the one class weighted by all / (classes * its own rows), by Newton steps with line search."""
     labels = np.unique(y)
     full = np.hstack([x, np.ones((len(x), 1))])
     scores = []
     for k in labels:
         t = np.where(y == k, 1.0, -1.0)
-        weight = c * len(y) / (2 * np.where(t > 0, (t > 0).sum(), (t < 0).sum()))
+        weight = np.where(t > 0, c * len(y) / (len(labels) * (t > 0).sum()), c)
         w = np.zeros(full.shape[1])
 
         def loss(w, t=t, weight=weight):
@@ -121,10 +185,10 @@ KERNELS: dict[str, Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]] =
 
 
 def by_kernel(rows: DataFrame, kernel: str, by: list[str], key: str = "doc_id", label: str = "author") -> DataFrame:
-    """by, key, label, predicted by a dense kernel; a group of by (one fold of one panel) is one matrix, which bounds its size."""
+    """by, key, label, predicted by a dense kernel over the arrays z (null as 0); a group of by (one fold of one panel) is one matrix, which bounds its size."""
     fit = KERNELS[kernel]
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    wide = rows.groupBy(*by, key, label, "train").agg(F.transform(F.array_sort(F.collect_list(F.struct("feature", "z"))), lambda x: x.z).alias("vector"))
+    wide = rows.select(*by, key, label, "train", F.transform("z", lambda x: F.coalesce(x, F.lit(0.0))).alias("vector"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(key)

@@ -1,32 +1,30 @@
-"""Feature relations in long form (.., feature, value): extraction, scaling, vocabularies and TF-IDF."""
+"""Features of texts: one array a text, and relations in long form (.., feature, value); scaling, vocabularies and TF-IDF."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmark.functions import measures as M
 from quillmark.functions import text as T
 
 
-def function_word_rates(texts: DataFrame, keys: list[str], column: str = "text") -> DataFrame:
-    """keys, feature, value: the rate per 1000 words of every function word, 0 included; texts do not leave their partition."""
-    tokens = texts.select(*keys, T.words(F.lower(column)).alias("tokens"))
-    own = F.filter("tokens", lambda t: t.isin(T.FUNCTION_WORDS))
-    counted = tokens.select(*keys, F.size("tokens").alias("n"), own.alias("own"))
-    listed = F.array(*(F.struct(F.lit(f"fw_{w}_per_1000w").alias("feature"), T.ratio(_hits(w) * 1000.0, F.col("n")).alias("value")) for w in T.FUNCTION_WORDS))
-    return counted.select(*keys, F.explode_outer(listed).alias("x")).select(*keys, "x.feature", "x.value")
-
+#: The measures of a text that need no vocabulary, in the order of the array that measures() gives.
+BASE = (
+    "word_count_feature sentence_count_feature paragraph_count_feature mean_sentence_words median_sentence_words std_sentence_words short_sentence_ratio long_sentence_ratio "
+    "punctuation_per_1000w comma_per_1000w semicolon_per_1000w colon_per_1000w dash_per_1000w question_per_1000w exclamation_per_1000w quote_mark_per_1000w apostrophe_per_1000w ellipsis_per_1000w "
+    "type_token_ratio root_type_token_ratio hapax_ratio avg_word_length long_word_ratio short_word_ratio contraction_per_1000w archaic_marker_per_1000w abstract_suffix_per_1000w dialogue_marker_per_1000w"
+).split() + [f"fw_{w}_per_1000w" for w in T.FUNCTION_WORDS]
 
-def _hits(word: str) -> Column:
-    return F.size(F.filter("own", lambda t: t == word))
 
+def measures(texts: DataFrame, keys: list[str], grams: list[str] = (), column: str = "text") -> DataFrame:
+    """keys, base (the BASE measures as one array) and rates (per 1000 trigrams of the text, one for each of grams) of every text.
 
-def scalar_features(texts: DataFrame, keys: list[str], column: str = "text") -> DataFrame:
-    """keys, feature, value of the scalar measures, and of hapax_ratio, which needs each word's own count."""
-    tokens = texts.select(*keys, column, T.words(F.lower(column)).alias("tokens"))
-    measured = T.stylometry(F.col(column), F.col("tokens"))
-    listed = F.array(*(F.struct(F.lit(k).alias("feature"), v.cast("double").alias("value")) for k, v in measured.items()))
-    return tokens.select(*keys, F.explode_outer(listed).alias("x")).select(*keys, "x.feature", "x.value").unionByName(hapax_ratio(texts, keys, column))
+    Texts do not leave their partition. A null text has null measures, an empty one zeros.
+    """
+    kept = texts.select(*keys, F.col(column).alias("__text"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[: len(keys)])
+    return kept.mapInArrow(M.measured(list(keys), list(grams)), f"{kinds}, base array<double>, rates array<double>")
 
 
 def hapax_ratio(texts: DataFrame, keys: list[str], column: str = "text") -> DataFrame:
@@ -37,19 +35,25 @@ def hapax_ratio(texts: DataFrame, keys: list[str], column: str = "text") -> Data
     return hapax.select(*keys, F.lit("hapax_ratio").alias("feature"), T.ratio(F.col("once"), F.col("n")).alias("value"))
 
 
+def eligible_grams(texts: DataFrame, keys: list[str], column: str = "text") -> DataFrame:
+    """keys, gram of every trigram of letters, blank and common marks that is not blank alone."""
+    flat = F.regexp_replace(F.lower(column), r"\s+", " ")
+    grams = F.regexp_extract_all(flat, F.lit("(?=([a-z ,.;:'\"!?-]{3}))"), F.lit(1))
+    return texts.select(*keys, F.explode(grams).alias("gram")).where(F.trim("gram") != "")
+
+
 def trigram_vocabulary(texts: DataFrame, size: int = 120, column: str = "text") -> DataFrame:
-    """The commonest eligible trigrams (letters, blank and common marks, not blank alone), ties by the gram."""
-    grams = texts.select(F.explode_outer(T.char_grams(F.col(column), 3)).alias("gram"))
-    eligible = grams.where(F.col("gram").rlike("^[a-z ,.;:'\"!?-]{3}\\z") & (F.trim("gram") != ""))
-    return eligible.groupBy("gram").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "gram").limit(size)
-
-
-def trigram_rates(texts: DataFrame, vocabulary: DataFrame, keys: list[str], column: str = "text") -> DataFrame:
-    """keys, feature, value: 1000 * count / all trigrams of the text, for the vocabulary's grams that it has."""
-    grams = T.char_grams(F.col(column), 3)
-    rows = texts.select(*keys, F.size(grams).alias("all"), F.explode_outer(grams).alias("gram")).join(F.broadcast(vocabulary.select("gram")), "gram", "left_semi")
-    counts = rows.groupBy(*keys, "all", "gram").agg(F.count("*").alias("n"))
-    return counts.select(*keys, F.concat(F.lit("char3::"), "gram").alias("feature"), (F.col("n") * 1000.0 / F.greatest("all", F.lit(1))).alias("value"))
+    """The commonest eligible trigrams, ties by the gram."""
+    return eligible_grams(texts, [], column).groupBy("gram").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "gram").limit(size)
+
+
+def fold_vocabularies(texts: DataFrame, k: int = 3, size: int = 120) -> list[list[str]]:
+    """For each outer fold, the trigram vocabulary of the texts of the other folds: k times `size` grams at most come to the driver."""
+    counts = texts.select(F.col("fold").cast("int"), "text").mapInArrow(M.counted, "fold int, gram string, n long").groupBy("fold", "gram").agg(F.sum("n").alias("n"))
+    dealt = counts.withColumn("outer", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).where("outer <> fold").groupBy("outer", "gram").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("outer").orderBy(F.desc("n"), "gram"))
+    rows = dealt.withColumn("at", place).where(F.col("at") <= size).orderBy("outer", "at").collect()
+    return [[r.gram for r in rows if r.outer == o] for o in range(k)]
 
 
 def gram_counts(texts: DataFrame, keys: list[str], low: int = 3, high: int = 5, column: str = "text") -> DataFrame:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
 from quillmark.operators import cohort, models, style
-from quillmark.sources.io import table
+from quillmark.sources.io import settled, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -41,37 +42,55 @@ def conditioned(texts: DataFrame) -> DataFrame:
     return texts.withColumn("__v", F.explode_outer(listed)).select(*(c for c in texts.columns if c != "text"), "__v.condition", "__v.text")
 
 
-def measured(spark: SparkSession, sf_dir: str, conditions: bool = False) -> DataFrame:
-    """doc_id, author, work, fold (and condition), feature, value: function words and a few ratios of every passage."""
+def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """passages with the fold of their work, written once."""
     texts = passages(spark, sf_dir)
     folds = cohort.folds_by_work(texts.select("author", "work").distinct(), "author", "work").select("work", "fold")
-    keys = ["doc_id", "author", "work", *(["condition"] if conditions else [])]
-    texts = conditioned(texts) if conditions else texts
-    tokens = texts.select(*keys, T.words(F.lower("text")).alias("tokens"))
-    n = F.col("n")
-    counted = tokens.select(*keys, F.size("tokens").alias("n"), F.filter("tokens", lambda t: t.isin(T.FUNCTION_WORDS)).alias("own"), F.aggregate("tokens", F.lit(0), lambda a, t: a + F.length(t)).alias("chars"), F.size(F.array_distinct("tokens")).alias("types"))
-    listed = [F.struct(F.lit(f"fw_{w}_per_1000w").alias("feature"), T.ratio(_hits(w) * 1000.0, n).alias("value")) for w in T.FUNCTION_WORDS]
-    listed += [F.struct(F.lit(k).alias("feature"), T.ratio(v * 1.0, n).alias("value")) for k, v in {"type_token_ratio": F.col("types"), "avg_word_length": F.col("chars")}.items()]
-    rows = counted.select(*keys, F.explode_outer(F.array(*listed)).alias("x")).select(*keys, "x.feature", "x.value")
-    return rows.join(F.broadcast(folds), "work") if _few(folds) else rows.join(folds, "work")
+    return settled(texts.join(settled(folds), "work"))
+
+
+KEYS = ["doc_id", "author", "work", "fold", "condition"]
+
+
+class Matrix(NamedTuple):
+    """rows: KEYS, outer, train and values, an array a passage and outer fold; names: what the values of each fold are."""
 
+    rows: DataFrame
+    names: list[list[str]]
 
-def _hits(word: str):
-    return F.size(F.filter("own", lambda t: t == word))
 
+def matrix(spark: SparkSession, sf_dir: str, conditions: bool = False, k: int = 3) -> Matrix:
+    """All measures of every passage once for each outer fold: BASE, and the rates of the trigrams that the fold's training originals have most."""
+    texts = folded(spark, sf_dir)
+    grams = style.fold_vocabularies(texts, k)
+    listed = sorted({g for own in grams for g in own})
+    varied = conditioned(texts) if conditions else texts.withColumn("condition", F.lit("original"))
+    rows = settled(style.measures(varied, KEYS, listed))
+    own = [F.concat("base", F.transform(F.array(*(F.lit(listed.index(g)) for g in gs)) if gs else F.array().cast("array<int>"), lambda i: F.get("rates", i))) for gs in grams]
+    outer = F.explode(F.array(*(F.struct(F.lit(o).alias("outer"), v.alias("values")) for o, v in enumerate(own))))
+    rows = rows.withColumn("x", outer).select(*KEYS, "x.outer", (F.col("fold") != F.col("x.outer")).alias("train"), "x.values")
+    return Matrix(rows, [[*style.BASE, *(f"char3::{g}" for g in gs)] for gs in grams])
 
-def _few(folds: DataFrame, most: int = 100_000) -> bool:
-    """Whether a table of works is small enough to go to every executor; a larger one is joined by shuffle."""
-    return folds.limit(most + 1).count() <= most
+
+def named(rows: DataFrame, names: list[list[str]], array: str, value: str, only: int | None = None) -> DataFrame:
+    """rows with (feature, value) for every element of array that is not null, of one outer fold or of all."""
+    rows = rows if only is None else rows.where(F.col("outer") == only)
+    listed = F.coalesce(*(F.when(F.col("outer") == o, F.array(*map(F.lit, own))) for o, own in enumerate(names) if only in (None, o)))
+    pairs = F.explode(F.arrays_zip(listed.alias("feature"), F.col(array).alias(value)))
+    return rows.withColumn("x", pairs).select(*(c for c in rows.columns if c != array), "x.feature", f"x.{value}").where(F.col(value).isNotNull())
+
+
+def measured(spark: SparkSession, sf_dir: str, conditions: bool = False) -> DataFrame:
+    """KEYS, feature, value: the BASE measures of every passage."""
+    texts = folded(spark, sf_dir)
+    rows = style.measures(conditioned(texts) if conditions else texts.withColumn("condition", F.lit("original")), KEYS).drop("rates").withColumn("outer", F.lit(0))
+    return named(rows, [style.BASE], "base", "value").drop("outer")
 
 
-def standard(spark: SparkSession, sf_dir: str, conditions: bool = False) -> DataFrame:
-    """measured rows once for each outer fold, as z of that fold's training originals."""
-    rows = models.outer_folds(measured(spark, sf_dir, conditions))
-    if not conditions:
-        return models.standardised(rows, ["outer"])
-    fitted = rows.where("train and condition = 'original'").groupBy("outer", "feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd")).where("sd * sd > 1e-12")
-    return style.scale(rows, fitted, ["outer"])
+def standard(spark: SparkSession, sf_dir: str, conditions: bool = False) -> tuple[DataFrame, list[list[str]]]:
+    """matrix with z in place of values, by each outer fold's training originals, written once; and the names."""
+    rows, names = matrix(spark, sf_dir, conditions)
+    return settled(models.standard_vectors(rows, ["outer"], F.col("train") & (F.col("condition") == "original"))), names
 
 
 LABELS_SQL = "labels AS (SELECT DISTINCT author FROM p)"
@@ -83,17 +102,38 @@ VARIANTS_SQL = """
 v AS (SELECT doc_id, author, work, 'original' AS condition, text FROM p UNION ALL SELECT doc_id, author, work, 'half', substring(text, 1, length(text) // 2) FROM p
   UNION ALL SELECT doc_id, author, work, 'plain', regexp_replace(text, ' (the|of|and|de|la|le|und|der) ', ' ', 'g') FROM p)"""
 _WORDS_SQL = ", ".join(f"('{w}')" for w in T.FUNCTION_WORDS)
+_SENTENCES_SQL = r"list_filter(list_transform(regexp_extract_all(text, '[^.!?]+(?:[.!?]+[\"”’]*|$)'), lambda s: len(regexp_extract_all(s, '[\p{L}\p{N}_]+(?:[’''-]+[\p{L}\p{N}_]+)*'))), lambda n: n > 0)"
+_PLAIN = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
+_COUNTS = {k: f"(length(text) - length(replace(text, '{c}', '')))" for k, c in {"comma": ",", "semicolon": ";", "colon": ":", "question": "?", "exclamation": "!"}.items()} | {
+    "punctuation": "len(regexp_extract_all(text, '[.,;:!?—–\"“”‘’''…-]'))",
+    "dash": r"(length(text) - length(replace(replace(text, '—', ''), '–', '')) + CASE WHEN contains(text, '-') THEN len(list_filter(range(1, len(ch) + 1), lambda i: ch[i] = '-' AND NOT regexp_matches(coalesce(ch[i - 1], ' ') || coalesce(ch[i + 1], ' '), '[\p{L}\p{N}_]'))) ELSE 0 END)",
+    "quote_mark": "len(regexp_extract_all(text, '[\"“”‘’]'))", "dialogue_marker": "len(regexp_extract_all(text, '[\"“”‘’]'))",
+    "apostrophe": "(length(text) - length(replace(replace(text, chr(39), ''), '’', '')))", "ellipsis": "((length(text) - length(replace(text, '...', ''))) // 3 + length(text) - length(replace(text, '…', '')))",
+    "contraction": r"len(regexp_extract_all(text, '[\p{L}\p{N}_]+[’''][\p{L}\p{N}_]+'))",
+    "archaic_marker": f"len(list_filter({_PLAIN}, lambda w: w IN ('thou', 'thee', 'thy', 'thine', 'hath', 'doth', 'art', 'wilt', 'shalt', 'ere', 'nay')))",
+    "abstract_suffix": f"len(list_filter({_PLAIN}, lambda w: regexp_matches(w, '^.+(tion|sion|ity|ness|ment|ance|ence)$')))",
+}
+_SHARES = {"type_token_ratio": "len(list_distinct(tokens)) / n", "root_type_token_ratio": "len(list_distinct(tokens)) / sqrt(n)", "hapax_ratio": "len(list_filter(map_values(list_histogram(tokens)), lambda v: v = 1)) / n", "avg_word_length": "length(array_to_string(tokens, '')) / n", "long_word_ratio": "len(list_filter(tokens, lambda w: length(w) >= 8)) / n", "short_word_ratio": "len(list_filter(tokens, lambda w: length(w) <= 3)) / n"}
+_RHYTHM = {"word_count_feature": "n", "sentence_count_feature": "k", "paragraph_count_feature": r"len(list_filter(regexp_split_to_array(trim(text, e' \t\n\r'), '\n\s*\n'), lambda x: trim(x) <> ''))", "mean_sentence_words": "CASE WHEN k > 0 THEN list_sum(s) / k ELSE 0 END", "median_sentence_words": "CASE WHEN k > 0 THEN list_median(s) ELSE 0 END", "std_sentence_words": "CASE WHEN k > 1 THEN list_stddev_pop(s) ELSE 0 END", "short_sentence_ratio": "CASE WHEN k > 0 THEN len(list_filter(s, lambda x: x <= 10)) / k ELSE 0 END", "long_sentence_ratio": "CASE WHEN k > 0 THEN len(list_filter(s, lambda x: x >= 40)) / k ELSE 0 END"}
+_SCALARS = [f"{{'feature': '{k}', 'value': ({v})::DOUBLE}}" for k, v in _RHYTHM.items()] + [f"{{'feature': '{k}_per_1000w', 'value': CASE WHEN n > 0 THEN {v} * 1000.0::DOUBLE / n ELSE 0 END}}" for k, v in _COUNTS.items()] + [f"{{'feature': '{k}', 'value': CASE WHEN n > 0 THEN {v} ELSE 0 END}}" for k, v in _SHARES.items()]
 MEASURED_SQL = f"""
-t AS (SELECT doc_id, author, work, condition, {_TOKENS_SQL} AS tokens FROM v),
+t AS (SELECT *, len(tokens)::DOUBLE AS n, len(s)::DOUBLE AS k FROM (SELECT doc_id, author, v.work, condition, fold, text, {_TOKENS_SQL} AS tokens, {_SENTENCES_SQL} AS s, string_split(text, '') AS ch FROM v JOIN folds f ON f.work = v.work)),
 words(word) AS (VALUES {_WORDS_SQL}),
 hits AS (SELECT doc_id, condition, word, count(*) AS n FROM (SELECT doc_id, condition, unnest(tokens) AS word FROM t) WHERE word IN (SELECT word FROM words) GROUP BY ALL),
-x AS (SELECT t.doc_id, author, t.work, t.condition, fold, 'fw_' || w.word || '_per_1000w' AS feature, CASE WHEN len(tokens) > 0 THEN coalesce(h.n, 0) * 1000.0::DOUBLE / len(tokens) ELSE 0 END AS value
-  FROM t JOIN folds f ON f.work = t.work CROSS JOIN words w LEFT JOIN hits h ON h.doc_id = t.doc_id AND h.condition = t.condition AND h.word = w.word
-  UNION ALL SELECT doc_id, author, t.work, condition, fold, 'type_token_ratio', CASE WHEN len(tokens) > 0 THEN len(list_distinct(tokens))::DOUBLE / len(tokens) ELSE 0 END FROM t JOIN folds f ON f.work = t.work
-  UNION ALL SELECT doc_id, author, t.work, condition, fold, 'avg_word_length', CASE WHEN len(tokens) > 0 THEN length(array_to_string(tokens, ''))::DOUBLE / len(tokens) ELSE 0 END FROM t JOIN folds f ON f.work = t.work)"""
+x AS MATERIALIZED (SELECT t.doc_id, author, t.work, t.condition, fold, 'fw_' || w.word || '_per_1000w' AS feature, CASE WHEN t.n > 0 THEN coalesce(h.n, 0) * 1000.0::DOUBLE / t.n ELSE 0 END AS value
+  FROM t CROSS JOIN words w LEFT JOIN hits h ON h.doc_id = t.doc_id AND h.condition = t.condition AND h.word = w.word
+  UNION ALL SELECT doc_id, author, work, condition, fold, e.feature, e.value FROM (SELECT doc_id, author, work, condition, fold, unnest([{', '.join(_SCALARS)}]) AS e FROM t))"""
+#: Features of each outer fold: the measures, and the rates of the trigrams that its training originals have most.
+FOLDED_SQL = r"""
+fl AS (SELECT doc_id, condition, string_split(regexp_replace(lower(text), '\s+', ' ', 'g'), '') AS c FROM t),
+gr AS MATERIALIZED (SELECT doc_id, condition, gram, count(*) AS n FROM (SELECT doc_id, condition, unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) AS gram FROM fl) WHERE regexp_full_match(gram, '[a-z ,.;:''"!?-]{3}') AND trim(gram) <> '' GROUP BY ALL),
+vc AS (SELECT o AS outer_fold, gram, sum(gr.n) AS n FROM gr JOIN t USING (doc_id, condition) CROSS JOIN range(3) r(o) WHERE condition = 'original' AND fold <> o GROUP BY ALL),
+vk AS (SELECT outer_fold, gram FROM vc QUALIFY row_number() OVER (PARTITION BY outer_fold ORDER BY n DESC, gram) <= 120),
+o AS (SELECT x.*, k AS outer_fold, fold <> k AS train FROM x CROSS JOIN range(3) r(k)
+  UNION ALL SELECT t.doc_id, t.author, t.work, t.condition, t.fold, 'char3::' || vk.gram, coalesce(gr.n, 0) * 1000.0::DOUBLE / greatest(len(fl.c) - 2, 1), vk.outer_fold, t.fold <> vk.outer_fold
+  FROM t JOIN fl USING (doc_id, condition) CROSS JOIN vk LEFT JOIN gr ON gr.doc_id = t.doc_id AND gr.condition = t.condition AND gr.gram = vk.gram)"""
 #: z by outer fold, for one condition or all.
-_Z_SQL = """
-o AS (SELECT x.*, k AS outer_fold, fold <> k AS train FROM x CROSS JOIN range(3) r(k)),
+_Z_SQL = f"""{FOLDED_SQL},
 s AS (SELECT outer_fold, feature, avg(value) AS mean, stddev_pop(value) AS sd FROM o WHERE train AND condition = 'original' GROUP BY ALL HAVING var_pop(value) > 1e-12),
 z AS (SELECT o.*, (value - mean) / sd AS z FROM o JOIN s USING (outer_fold, feature))"""
 _ONE_SQL = "v AS (SELECT doc_id, author, work, 'original' AS condition, text FROM p)"

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillmark.functions import text as T
 from quillmark.operators import geometry, inference, metrics, models, style
-from quillmark.plans._base import CENTROID_SQL, CONDITIONS, LABELS_SQL, MEASURED_ALL_SQL, PASSAGES_SQL, Z_ALL_SQL, Z_SQL, measured, passages, query, scores_sql, standard
-from quillmark.sources.io import table
+from quillmark.plans._base import CENTROID_SQL, CONDITIONS, FOLDED_SQL, LABELS_SQL, MEASURED_ALL_SQL, PASSAGES_SQL, Z_ALL_SQL, Z_SQL, matrix, measured, named, passages, query, scores_sql, standard
+from quillmark.sources.io import settled, table
 
 KEYS = ["doc_id", "work"]
 #: Draws of the resampling queries; a least p-value of 0.0001.
@@ -17,18 +18,23 @@ def _labels(rows):
     return rows.select("author").distinct()
 
 
-def _predicted(spark, sf_dir, classifier=models.nearest_centroid, **options):
-    rows = standard(spark, sf_dir)
-    return classifier(rows, ["outer"], KEYS, **options).withColumnRenamed("outer", "fold")
+def _predicted(spark, sf_dir, kind="centroid"):
+    """Predictions of every passage in the fold that its work is held out of, and the labels, written once."""
+    rows, _ = standard(spark, sf_dir)
+    found = models.attributed(rows, ["outer"], KEYS, kind, digits=9 if kind == "centroid" else 6)
+    return settled(found.withColumnRenamed("outer", "fold"))
 
 
 def _by_condition(spark, sf_dir):
-    """Predictions under every condition by centroids of the training originals."""
-    rows = standard(spark, sf_dir, True)
-    centres = models.centroids(rows.where("train and condition = 'original'"), ["outer"]).withColumnRenamed("author", "candidate")
-    apart = rows.where("not train").join(centres, ["outer", "feature"]).groupBy("outer", "doc_id", "work", "condition", "author", "candidate").agg(F.sum((F.col("z") - F.col("centre")) ** 2).alias("d"))
-    best = F.min(F.struct(F.round("d", 9).alias("d"), "candidate")).alias("best")
-    return apart.groupBy("outer", "doc_id", "work", "condition", "author").agg(best).select("outer", "doc_id", "work", "condition", "author", F.col("best.candidate").alias("predicted"))
+    """Predictions under every condition by centroids of the training originals, written once."""
+    rows, _ = standard(spark, sf_dir, True)
+    return settled(models.attributed(rows, ["outer"], [*KEYS, "condition"], train=F.col("train") & (F.col("condition") == "original"), digits=9))
+
+
+def _long(spark, sf_dir, fold=0):
+    """z of every condition in long form, scaled by one fold's training originals."""
+    rows, names = standard(spark, sf_dir, True)
+    return named(rows, names, "z", "z", fold)
 
 
 def _rounded(df, *columns, to=6):
@@ -81,12 +87,12 @@ pred AS (SELECT outer_fold, doc_id, author, work, condition, arg_min(candidate,
 
 @query(f"{Z_SQL}, {_NB_UNIFORM.strip()} {_NB_SCORE} SELECT doc_id, author, predicted FROM pred")
 def gaussian_nb_uniform(spark, sf_dir):
-    return _predicted(spark, sf_dir, models.gaussian_nb).select("doc_id", "author", "predicted")
+    return _predicted(spark, sf_dir, "nb_uniform").select("doc_id", "author", "predicted")
 
 
 @query(f"{Z_SQL}, {_NB_COUNTS.strip()} {_NB_SCORE} SELECT doc_id, author, predicted FROM pred")
 def gaussian_nb_priors(spark, sf_dir):
-    return _predicted(spark, sf_dir, models.gaussian_nb, uniform=False).select("doc_id", "author", "predicted")
+    return _predicted(spark, sf_dir, "nb_counts").select("doc_id", "author", "predicted")
 
 
 @query(f"""{Z_SQL}, {_NB.strip()}
@@ -94,18 +100,18 @@ lda AS (SELECT outer_fold, candidate, feature, m, ln(n::DOUBLE / sum(n) OVER w)
 sc AS (SELECT outer_fold, doc_id, author, work, condition, candidate, sum(z * m / pooled - m * m / (2 * pooled)) + max(prior) AS score FROM z JOIN lda USING (outer_fold, feature) WHERE NOT train GROUP BY ALL)
 SELECT doc_id, author, arg_min(candidate, (-round(score, 6), candidate)) AS predicted FROM sc GROUP BY ALL""")
 def diagonal_lda(spark, sf_dir):
-    return _predicted(spark, sf_dir, models.diagonal_lda).select("doc_id", "author", "predicted")
+    return _predicted(spark, sf_dir, "lda").select("doc_id", "author", "predicted")
 
 
 @query()
 def shrinkage_lda(spark, sf_dir):
     """Ledoit-Wolf discriminant in numpy, one task a fold: tests hold it to invariants."""
-    return models.by_kernel(standard(spark, sf_dir), "shrinkage_lda", ["outer"])
+    return models.by_kernel(standard(spark, sf_dir)[0], "shrinkage_lda", ["outer"])
 
 
 @query()
 def linear_svm(spark, sf_dir):
-    return models.by_kernel(standard(spark, sf_dir), "linear_svm", ["outer"])
+    return models.by_kernel(standard(spark, sf_dir)[0], "linear_svm", ["outer"])
 
 
 @query(f"""{Z_ALL_SQL}, {CENTROID_SQL}, {scores_sql('condition')}
@@ -119,7 +125,7 @@ def degradation_by_condition(spark, sf_dir):
 
 
 @query(f"""{MEASURED_ALL_SQL},
-o AS (SELECT x.*, k AS outer_fold, fold <> k AS train FROM x CROSS JOIN range(3) r(k)),
+{FOLDED_SQL.strip()},
 s AS (SELECT outer_fold, condition, feature, avg(value) AS mean, stddev_pop(value) AS sd FROM o WHERE train GROUP BY ALL HAVING var_pop(value) > 1e-12),
 z AS (SELECT o.*, (value - mean) / sd AS z FROM o JOIN s USING (outer_fold, condition, feature)),
 centres AS (SELECT outer_fold, condition, author AS candidate, feature, avg(z) AS centre FROM z WHERE train GROUP BY ALL),
@@ -128,36 +134,62 @@ pred AS (SELECT outer_fold, doc_id, author, work, condition, arg_min(candidate,
 SELECT s.condition, round(s.macro_f1, 6) AS macro_f1, round(s.macro_f1 / o.macro_f1, 6) AS ratio_to_original FROM scored s CROSS JOIN (SELECT macro_f1 FROM scored WHERE condition = 'original') o""")
 def same_condition_survival(spark, sf_dir):
     """Trained and read within each condition: what of the original's score survives."""
-    rows = models.standardised(models.outer_folds(measured(spark, sf_dir, True)), ["outer", "condition"])
-    found = models.nearest_centroid(rows, ["outer", "condition"], KEYS)
+    rows = models.standard_vectors(matrix(spark, sf_dir, True).rows, ["outer", "condition"], F.col("train"))
+    found = settled(models.attributed(settled(rows), ["outer", "condition"], KEYS, digits=9))
     each = metrics.scores(found, ["condition"], _labels(found)).select("condition", "macro_f1")
     base = each.where("condition = 'original'").select(F.col("macro_f1").alias("base"))
     return each.crossJoin(base).select("condition", F.round("macro_f1", 6).alias("macro_f1"), F.round(F.col("macro_f1") / F.col("base"), 6).alias("ratio_to_original"))
 
 
-@query(f"""{Z_SQL}, fam AS (SELECT DISTINCT feature, CASE WHEN feature LIKE 'fw_%' THEN 'function_word' ELSE 'lexical_richness' END AS family FROM z),
-spec(omitted) AS (VALUES ('none'), ('function_word'), ('lexical_richness')),
-zz AS (SELECT z.*, omitted FROM z JOIN fam USING (feature) CROSS JOIN spec WHERE family <> omitted),
-centres AS (SELECT omitted, outer_fold, author AS candidate, feature, avg(z) AS centre FROM zz WHERE train GROUP BY ALL),
-apart AS (SELECT omitted, outer_fold, doc_id, author, candidate, round(sum(power(z - centre, 2)), 9) AS d FROM zz JOIN centres USING (omitted, outer_fold, feature) WHERE NOT train GROUP BY ALL),
-pred AS (SELECT omitted, doc_id, author, arg_min(candidate, (d, candidate)) AS predicted FROM apart GROUP BY outer_fold, omitted, doc_id, author), {scores_sql('omitted')}
-SELECT omitted, n, round(macro_f1, 6) AS macro_f1 FROM scored""")
+FAMILIES = ("function_word", "char3", "length_rhythm", "punctuation", "lexical_richness", "register_marker")
+_FAMILY_SQL = """CASE WHEN feature LIKE 'fw_%' THEN 'function_word' WHEN feature LIKE 'char3::%' THEN 'char3' WHEN feature LIKE '%_feature' OR feature LIKE '%_sentence_%' THEN 'length_rhythm'
+  WHEN feature IN ('type_token_ratio', 'root_type_token_ratio', 'hapax_ratio', 'avg_word_length', 'long_word_ratio', 'short_word_ratio') THEN 'lexical_richness'
+  WHEN feature IN ('contraction_per_1000w', 'archaic_marker_per_1000w', 'abstract_suffix_per_1000w', 'dialogue_marker_per_1000w') THEN 'register_marker' ELSE 'punctuation' END"""
+_FAMILY_VALUES = ", ".join(f"('{k}')" for k in FAMILIES)
+
+
+def _families_sql(spec: str, keep: str) -> str:
+    """Scores of models that see only the features that keep lets through, one for each value of spec."""
+    return f"""{Z_SQL}, fam AS (SELECT DISTINCT feature, {_FAMILY_SQL} AS family FROM z), spec(model) AS (VALUES {spec}),
+zz AS (SELECT z.*, model FROM z JOIN fam USING (feature) CROSS JOIN spec WHERE {keep}),
+centres AS (SELECT model, outer_fold, author AS candidate, feature, avg(z) AS centre FROM zz WHERE train GROUP BY ALL),
+apart AS (SELECT model, outer_fold, doc_id, author, candidate, round(sum(power(z - centre, 2)), 9) AS d FROM zz JOIN centres USING (model, outer_fold, feature) WHERE NOT train GROUP BY ALL),
+pred AS (SELECT model, doc_id, author, arg_min(candidate, (d, candidate)) AS predicted FROM apart GROUP BY outer_fold, model, doc_id, author), {scores_sql('model')}
+SELECT model, n, round(macro_f1, 6) AS macro_f1 FROM scored"""
+
+
+def _by_family(spark, sf_dir, models_of):
+    """Scores of a model for each (name, families that it sees): the fan-out is an array of masked vectors."""
+    rows, names = standard(spark, sf_dir)
+
+    def masked(families):
+        seen = [[T.family_of(f) in families for f in own] for own in names]
+        mask = F.coalesce(*(F.when(F.col("outer") == o, F.array(*map(F.lit, own))) for o, own in enumerate(seen)))
+        return F.zip_with("z", mask, lambda x, on: F.when(on, x))
+
+    spec = F.explode(F.array(*(F.struct(F.lit(name).alias("model"), masked(families).alias("z")) for name, families in models_of)))
+    wide = rows.withColumn("x", spec).select(*(c for c in rows.columns if c != "z"), "x.model", "x.z")
+    found = settled(models.attributed(wide, ["model", "outer"], KEYS, digits=9))
+    return metrics.scores(found, ["model"], _labels(found)).select("model", "n", F.round("macro_f1", 6).alias("macro_f1"))
+
+
+@query(_families_sql(f"('none'), {_FAMILY_VALUES}", "family <> model"))
 def family_ablation(spark, sf_dir):
-    """All features, and all but each family: the fan-out is a join with a table of families to leave out."""
-    from quillmark.functions.text import family
+    """All features, and all but each of the six families."""
+    return _by_family(spark, sf_dir, [("none", FAMILIES), *((k, [f for f in FAMILIES if f != k]) for k in FAMILIES)])
+
 
-    spec = spark.createDataFrame([("none",), ("function_word",), ("lexical_richness",)], "omitted string")
-    rows = standard(spark, sf_dir).crossJoin(F.broadcast(spec)).where(family(F.col("feature")) != F.col("omitted"))
-    found = models.nearest_centroid(rows, ["omitted", "outer"], KEYS)
-    return metrics.scores(found, ["omitted"], _labels(found)).select("omitted", "n", F.round("macro_f1", 6).alias("macro_f1"))
+@query(_families_sql(_FAMILY_VALUES, "family = model"))
+def single_family_models(spark, sf_dir):
+    """Each family alone."""
+    return _by_family(spark, sf_dir, [(k, [k]) for k in FAMILIES])
 
 
 _CENTRES_ALL = "c AS (SELECT condition, author, feature, avg(z) AS centre FROM z WHERE outer_fold = 0 GROUP BY ALL)"
 
 
 def _centres(spark, sf_dir):
-    rows = standard(spark, sf_dir, True).where("outer = 0")
-    return models.centroids(rows, ["condition"])
+    return models.centroids(_long(spark, sf_dir), ["condition"])
 
 
 @query(f"""{Z_ALL_SQL}, {_CENTRES_ALL} SELECT a.condition, a.author AS a, b.author AS b, round(avg(abs(a.centre - b.centre)), 6) AS delta, round(sqrt(sum(power(a.centre - b.centre, 2))), 6) AS euclid
@@ -185,13 +217,13 @@ b AS (SELECT g.*, g.c - o.c AS d FROM g JOIN g o ON o.condition = 'original' AND
 f AS (SELECT condition, feature, var_pop(c) AS between_, avg(w) AS within, avg(d) AS common, var_pop(d) AS differential FROM b GROUP BY ALL)
 SELECT condition, count(*) AS features, round(avg(between_), 6) AS between, round(avg(within), 6) AS within, round(sqrt(avg(common * common)), 6) AS common_shift_rms, round(sqrt(avg(differential)), 6) AS differential_shift_rms, round(avg(between_) / avg(within), 6) AS between_within_ratio FROM f GROUP BY ALL""")
 def variance_decomposition(spark, sf_dir):
-    rows = standard(spark, sf_dir, True).where("outer = 0")
-    return _rounded(geometry.decomposition(rows), "between", "within", "common_shift_rms", "differential_shift_rms", "between_within_ratio")
+    return _rounded(geometry.decomposition(_long(spark, sf_dir)), "between", "within", "common_shift_rms", "differential_shift_rms", "between_within_ratio")
 
 
-@query(f"{Z_ALL_SQL}, {_CENTRES_ALL} SELECT c.condition, c.author, c.feature, round(o.centre, 5) AS original_mean, round(c.centre, 5) AS rewrite_mean, round(c.centre - o.centre, 5) AS delta FROM c JOIN c o ON o.condition = 'original' AND o.author = c.author AND o.feature = c.feature WHERE c.condition <> 'original'")
+@query(f"{Z_ALL_SQL}, {_CENTRES_ALL} SELECT c.condition, c.author, c.feature, round(o.centre, 5) AS original_mean, round(c.centre, 5) AS rewrite_mean, round(c.centre - o.centre, 5) + 0.0 AS delta FROM c JOIN c o ON o.condition = 'original' AND o.author = c.author AND o.feature = c.feature WHERE c.condition <> 'original'")
 def feature_changes(spark, sf_dir):
-    return _rounded(geometry.feature_changes(_centres(spark, sf_dir)), "original_mean", "rewrite_mean", "delta", to=5)
+    rows = _rounded(geometry.feature_changes(_centres(spark, sf_dir)), "original_mean", "rewrite_mean", "delta", to=5)
+    return rows.withColumn("delta", F.col("delta") + 0.0)
 
 
 _PAIRS_SQL = """
@@ -203,8 +235,7 @@ mp AS (SELECT condition, feature, alpha, my - alpha * mx AS shift, my - mx AS tr
 
 
 def _mapping_pairs(spark, sf_dir):
-    rows = standard(spark, sf_dir, True).where("outer = 0")
-    centres = rows.groupBy("condition", "work", "feature", "train").agg(F.avg("z").alias("c"))
+    centres = _long(spark, sf_dir).groupBy("condition", "work", "feature", "train").agg(F.avg("z").alias("c"))
     base = centres.where("condition = 'original'").select("work", "feature", F.col("c").alias("x"))
     return centres.where("condition <> 'original'").join(base, ["work", "feature"]).select("condition", "work", "feature", "train", "x", F.col("c").alias("y"))
 

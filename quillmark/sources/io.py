@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 from io import BytesIO
@@ -19,6 +21,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df, computed once and kept as Parquet below spark.checkpoint.dir; where that is unset, in a temporary folder if all runs in one process, and else an error.
+
+    Plans that read it several times don't compute it again, and know its size, by which Spark broadcasts it or not.
+    """
+    spark = df.sparkSession
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="quillmark-")
+        spark.sparkContext.setCheckpointDir(top)
+    path = f"{top.rstrip('/')}/settled-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def unix_newlines(text: Column) -> Column:
     """CR LF and CR as LF."""
     return F.regexp_replace(text, "\r\n?", "\n")
