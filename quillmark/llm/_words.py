@@ -13,7 +13,7 @@ U64 = np.uint64
 #: Bytes handled at once; a longer text is handled alone.
 BLOCK = 2_000_000
 #: Distinct words whose hashes a worker remembers; when full it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -63,13 +63,21 @@ _hashes = _Hashes()
 
 
 def _hashed(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Hashes of words: of up to eight bytes from bytes and size by a scramble that cannot be run backwards, of more by digests of the distinct ones."""
+    """Hashes of words: of up to 16 bytes from bytes and size by scrambles that cannot be run backwards, of more by digests of the distinct ones."""
     if not len(start):
         return np.zeros(0, U64)
-    eights = np.ndarray(len(data), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    eights = np.ndarray(len(data), "<u8", np.concatenate([data, np.zeros(16, np.uint8)]), strides=(1,))
     short = np.minimum(size, 8).astype(U64)
     packed = (eights[start] << (U64(64) - U64(8) * short)) + np.where(short < 8, short, U64(0))
-    hashes, long = packed + mix(packed), np.flatnonzero((size > 8) | (size == 8) & (data[start] < 8))
+    hashes = packed + mix(packed)
+    # eight bytes that could be taken for fewer go with the longer words
+    middle = np.flatnonzero((size > 8) & (size <= 16) | (size == 8) & (data[start] < 8))
+    if len(middle):
+        at, more = start[middle], (size[middle] - 8).astype(U64)
+        first, second = eights[at], np.where(more > 0, eights[np.minimum(at + 8, len(data) - 1)] << ((U64(64) - U64(8) * more) & U64(63)), U64(0))
+        inner = mix(first + (more + U64(1)) * U64(_BASE)) + second
+        hashes[middle] = mix(inner) + second + (first << U64(29)) + (first >> U64(35))
+    long = np.flatnonzero(size > 16)
     if len(long):
         place = np.concatenate([[0], np.cumsum(size[long])])
         at = np.arange(place[-1]) + np.repeat(start[long] - place[:-1], size[long])
