@@ -24,7 +24,7 @@ SLOTS, HASHES = 1 << 20, 3
 #: A text of which a smaller share of n-grams is known in its best language is in none of the learned ones.
 LEAST_SCORE = 0.2
 #: Characters handled at once.
-BLOCK = 1_000_000
+BLOCK = 250_000
 
 
 @lru_cache(1)
