@@ -11,7 +11,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes handled at once; a longer text is handled alone.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 #: Distinct words whose hashes a worker remembers; when full it starts anew.
 REMEMBERED = 200_000
 _BASE = 0x9E3779B97F4A7C15
