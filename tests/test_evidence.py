@@ -1,6 +1,5 @@
 """Literal cases of checks, places in texts, packets and connectors."""
 
-import io
 import zipfile
 
 import pytest
@@ -91,4 +90,4 @@ def test_json_lines_keep_their_numbers(spark, tmp_path):
     got = [(r.line, r.row and r.row.k, r.corrupt) for r in sources.numbered_jsonl(spark, str(tmp_path / "a.jsonl"), schema).orderBy("line").collect()]
     assert got[0] == (1, 1, None) and got[1] == (3, None, '{"k": ') and got[2] == (4, 2, None)
     sources.write_json(spark.createDataFrame([(1, None)], "a int, b string"), str(tmp_path / "out"))
-    assert next(io.open(p).read() for p in (tmp_path / "out").glob("part*")).strip() == '{"a":1,"b":null}'
+    assert "".join(p.read_text() for p in (tmp_path / "out").glob("part*")).strip() == '{"a":1,"b":null}'
