@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillmark.llm._store import table
 
-#: Chunks, pairs of tokens, and halves of pieces of at most so many bytes, remembered by a worker, twice over.
-REMEMBERED, SHORT = 250_000, 8
+#: Pieces and pairs of tokens that a worker remembers, and chunks and halves of pieces of at most SHORT bytes; twice over.
+PIECES, PAIRS, CHUNKS, PARTS, SHORT = 150_000, 125_000, 100_000, 30_000, 8
 #: Neighbours that a node of a tree joins where nothing has to be encoded again.
 FAN = 16
 #: Cuts a text before a blank or newline after anything but white space: no piece of public_tokenizers.PATTERN goes over that.
@@ -42,8 +42,8 @@ class Bpe:
         self.token = {v: k for k, v in self.ranks.items()}
         self.split = regex.compile(pattern).findall
         self.chunks = _CHUNKS.findall if pattern == public_tokenizers.PATTERN else lambda text: [text]
-        self.pairs = _Memory(lambda pair: self.merge(self.token[pair[0]] + self.token[pair[1]]))
-        self.parts = _Memory(self._halves)
+        self.pairs = _Memory(self._pair, PAIRS)
+        self.parts = _Memory(self._halves, PARTS)
         self.joins = 0
 
     def merge(self, data: bytes) -> list[int]:
@@ -70,16 +70,20 @@ class Bpe:
                 heapq.heappush(heap, (r, before[i], stop))
         return [ranks[data[i : end[i]]] for i in range(n) if alive[i]]
 
+    def _pair(self, key: int) -> list[int] | tuple[()]:
+        a, b = key >> 32, key & 0xFFFFFFFF
+        both = self.merge(self.token[a] + self.token[b])
+        return () if both == [a, b] else both
+
     def settled(self, a: int, b: int) -> bool:
         """Whether a and b side by side stay as they are; a sequence all of whose neighbours do is the encoding."""
-        both = self.pairs[a, b]
-        return len(both) == 2 and both[0] == a
+        return not self.pairs[a << 32 | b]
 
     def join(self, a: list[int], b: list[int]) -> list[int]:
         """The tokens of two neighbours: the window at their boundary grows on each side until its edge has settled."""
         self.joins += 1
-        i, j, middle = 1, 1, self.pairs[a[-1], b[0]]
-        if len(middle) == 2 and middle[0] == a[-1]:
+        i, j, middle = 1, 1, self.pairs[a[-1] << 32 | b[0]]
+        if not middle:
             return a + b
         while True:
             left = i >= len(a) or self.settled(a[-i - 1], middle[0])
@@ -115,13 +119,8 @@ class Bpe:
         two pieces, nor pieces over that of two chunks, so that nothing there has to be encoded again. What it
         remembers serves all tasks of a worker.
         """
-        pieces = _Memory(lambda piece: self.piece(piece.encode()))
-
-        def made(chunk: str) -> bytes:
-            split = self.split(chunk)
-            return self.piece(chunk.encode()) if len(split) == 1 else tree([pieces[p] for p in split])
-
-        known = _Memory(made).__getitem__
+        pieces = _Memory(lambda piece: self.piece(piece.encode()), PIECES)
+        known = _Memory(lambda chunk: tree([pieces[p] for p in self.split(chunk)]), CHUNKS).__getitem__
         return lambda text: tree(list(map(known, self.chunks(text))))
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -130,16 +129,16 @@ class Bpe:
 
 
 class _Memory(dict):
-    """Remembers what make returned, the least REMEMBERED of late and twice that at most."""
+    """Remembers what make returned, the last size keys at least and twice that at most."""
 
-    def __init__(self, make: Callable):
+    def __init__(self, make: Callable, size: int):
         super().__init__()
-        self.make, self.older = make, {}
+        self.make, self.size, self.older = make, size, {}
 
     def __missing__(self, key):
         if (made := self.older.get(key)) is None:
             made = self.make(key)
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.size:
             self.older = dict(self)
             self.clear()
         self[key] = made
