@@ -18,6 +18,7 @@ from quillmark.llm.pii import op10_pii
 from quillmark.llm.substrings import op6_substring_dedup
 from quillmark.llm.trie import OP12_SQL, op12_conversation_trie
 from quillmark.llm.urls import OP5_SQL, op5_url_filter
+from quillmark.llm.variants import OP13_SQL, op13_spelling_variants
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_media_columns, op3_ngram_jaccard, op4_decontaminate, op5_url_filter, op6_substring_dedup, op7_lm_scoring, op8_byte_bpe, op9_line_dedup, op10_pii, op11_embedding_near_dedup, op12_conversation_trie)}
-ORACLE_SQL = {"op5_url_filter": OP5_SQL, "op9_line_dedup": OP9_SQL, "op11_embedding_near_dedup": OP11_SQL, "op12_conversation_trie": OP12_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_media_columns, op3_ngram_jaccard, op4_decontaminate, op5_url_filter, op6_substring_dedup, op7_lm_scoring, op8_byte_bpe, op9_line_dedup, op10_pii, op11_embedding_near_dedup, op12_conversation_trie, op13_spelling_variants)}
+ORACLE_SQL = {"op5_url_filter": OP5_SQL, "op9_line_dedup": OP9_SQL, "op11_embedding_near_dedup": OP11_SQL, "op12_conversation_trie": OP12_SQL, "op13_spelling_variants": OP13_SQL}

@@ -22,7 +22,28 @@ def texts() -> list[str | None]:
     ]
 
 
-def write(spark, folder, docs, items, pages):
+VECTORS = "vec_id long, embedding array<float>, label int, node string, key int, links long"
+TALKS = "conv_id long, turn long, role string, text string, block int, segment string, n long"
+
+
+def vectors():
+    one = [0.5, 1.0, -2.0, 0.25]
+    near = [0.5, 1.0, -2.0, 0.3]
+    rows = [(3, one, 1), (1, near, 1), (2, one, 1), (2, one, 1), (4, one, 2), (5, one, None), (None, one, 1), (6, [0.0] * 4, 1), (7, [None, 1.0, 2.0, 3.0], 1), (8, [float("nan"), 1.0, 2.0, 3.0], 1), (9, [float("inf"), 1.0, 2.0, 3.0], 1)]
+    rows += [(10, [], 1), (11, None, 1), (12, [2e38 * x for x in one], 1), (13, [-x for x in one], 1), (14, one[:3], 1), (-1, [1e-38 * x for x in near], 2)]
+    return rows + [(100 + i, [1.0 + 0.002 * i, 0.001 * (i % 7), 1.0, 0.0], 3) for i in range(60)]
+
+
+def talks():
+    hot = [("u", "first"), ("a", None), ("u", "third é😀"), (None, "fourth"), ("u", ""), ("a", "sixth"), ("u", "seventh")]
+    rows = [(c, None if k == 0 and c % 3 == 0 else k, *hot[k]) for c in range(120) for k in range(1 + c * 5 % 7)]
+    rows += [(c, k, "u" if k % 2 else "a", f"turn {min(k, c)}") for c in (200, 201, 305, 1007) for k in range(9 + c % 3)]
+    return rows + [(7, 0, "u", "again"), (7, 0, "u", "again"), (None, 1, "u", "none"), (400, None, None, None), (401, 5, "u", "x" * 5000), (-3, 0, "u", "below zero"), *((500 + c, k, "u", f"long {k}") for c in range(3) for k in range(300 + c % 2 * 300))]
+
+
+def write(spark, folder, docs, items, pages, vectors=(), talks=()):
+    spark.createDataFrame([(*r, "n", 1, 2) for r in vectors], VECTORS).repartition(3).write.parquet(f"{folder}/embeddings.parquet")
+    spark.createDataFrame([(*r, 1, "s", 2) for r in talks], TALKS).repartition(3).write.parquet(f"{folder}/conversations.parquet")
     clash = {"n": F.lit(5).cast("long"), "key": F.lit("k"), "part": F.lit("p"), "rep": F.lit(1).cast("long"), "hits": F.lit("h"), "anchors": F.lit(2).cast("long"), "score": F.lit("s"), "spans": F.lit("t")}
     rows = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").withColumns(clash)
     rows.repartition(3).write.parquet(f"{folder}/documents.parquet")
@@ -43,7 +64,7 @@ def edge_dir(spark, tmp_path_factory):
         (3, "http://ok.com/fr/p", link.format("https://mirror.net/x#y")), (4, "http://free.net/a", None), (5, None, link.format("http://b.com/de/")), (6, "no scheme", ""), (7, "http://org", ""), (8, "http://www.example.org/en/12", ""),
         (9, "http://x.net/p", "<link href=/q rel='canonical'>"), (10, "http://x.net/q", "<link rel=canonical href=//bad.com/de/1>"), (10, "http://x.net/q", ""), (11, "://x.org/", ""),
     ]
-    return write(spark, str(tmp_path_factory.mktemp("edge")), docs, items, pages)
+    return write(spark, str(tmp_path_factory.mktemp("edge")), docs, items, pages, vectors(), talks())
 
 
 @pytest.fixture(scope="session")
