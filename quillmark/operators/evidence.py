@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -217,11 +219,20 @@ def paired_sensitivity(predictions: DataFrame, chosen: Column, by: list[str], la
     return rows.select(*by, F.lit(selection).alias("selection"), "rows", "excluded", F.when(whole, "estimable").otherwise("not_estimable").alias("status"), a.alias("original_macro_f1"), b.alias("rewrite_macro_f1"), (a - b).alias("macro_f1_loss"))
 
 
-def transfer_contrasts(cells: DataFrame, base: str = "original") -> DataFrame:
-    """domain, contrast, difference from cells (train, test, score): transfer_loss, adaptation_gain and within_domain_gap of every other domain."""
-    wide = cells.where((F.col("train") == base) & (F.col("test") == base)).select(F.col("score").alias("home"))
-    there = cells.where((F.col("train") == base) & (F.col("test") != base)).select(F.col("test").alias("domain"), F.col("score").alias("moved"))
-    own = cells.where((F.col("train") == F.col("test")) & (F.col("train") != base)).select(F.col("train").alias("domain"), F.col("score").alias("own"))
-    rows = there.join(own, "domain").crossJoin(F.broadcast(wide))
+def transfer_contrasts(cells: DataFrame, base: str = "original", by: list[str] | None = None) -> DataFrame:
+    """by, domain, contrast, difference from cells (by, train, test, score): transfer_loss, adaptation_gain and within_domain_gap of every other domain.
+
+    Cells are counted up within by, so that all contrasts take one aggregation and a join on by; one that lacks a cell is
+    left out. Null keys are a group of their own.
+    """
+    by = by or []
+    other = F.when(F.col("train") == base, F.col("test")).otherwise(F.col("train"))
+    used = cells.where((F.col("train") == base) | (F.col("train") == F.col("test"))).withColumn("domain", other)
+    of = lambda held: F.max(F.when(held, F.col("score")))
+    wide = used.groupBy(*by, "domain").agg(of(F.col("train") == base).alias("moved"), of(F.col("train") == F.col("test")).alias("own"))
+    home = wide.where(F.col("domain") == base).select(*(F.col(c).alias(f"__{c}") for c in by), F.col("own").alias("home"))
+    same = reduce(lambda a, c: a & F.col(c).eqNullSafe(F.col(f"__{c}")), by, F.lit(True))
+    rows = wide.where(F.col("domain") != base).join(home, same)
     named = {"transfer_loss": F.col("home") - F.col("moved"), "adaptation_gain": F.col("own") - F.col("moved"), "within_domain_gap": F.col("home") - F.col("own")}
-    return rows.select("domain", F.explode(F.array(*(F.struct(F.lit(k).alias("contrast"), v.alias("difference")) for k, v in named.items()))).alias("x")).select("domain", "x.*")
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("contrast"), v.alias("difference")) for k, v in named.items())))
+    return rows.select(*by, "domain", each.alias("x")).select(*by, "domain", "x.*").where("difference is not null")

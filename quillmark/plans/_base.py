@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
@@ -35,10 +35,15 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.col("lang").alias("author"), F.concat_ws("/", "lang", "source").alias("work"), "text")
 
 
-def conditioned(texts: DataFrame) -> DataFrame:
-    """texts under every condition: as they are, their first half, and without the commonest words."""
+def versions(name: str) -> Column:
+    """An array of (name, text): the column text as it is, its first half, and without the commonest words."""
     variants = {"original": F.col("text"), "half": F.substring("text", F.lit(1), F.floor(F.length("text") / 2).cast("int")), "plain": F.regexp_replace("text", r" (the|of|and|de|la|le|und|der) ", " ")}
-    listed = F.array(*(F.struct(F.lit(k).alias("condition"), v.alias("text")) for k, v in variants.items()))
+    return F.array(*(F.struct(F.lit(k).alias(name), v.alias("text")) for k, v in variants.items()))
+
+
+def conditioned(texts: DataFrame) -> DataFrame:
+    """texts under every condition."""
+    listed = versions("condition")
     return texts.withColumn("__v", F.explode_outer(listed)).select(*(c for c in texts.columns if c != "text"), "__v.condition", "__v.text")
 
 

@@ -366,15 +366,6 @@ def anchored_bounds(spark, sf_dir):
     return rows.select("page_id", F.col("b.begin").cast("long").alias("begin"), F.col("b.stop").cast("long").alias("stop"))
 
 
-@query("""WITH c AS (SELECT train, test, avg(value) AS score FROM (SELECT CASE user_id % 3 WHEN 0 THEN 'original' WHEN 1 THEN 'plain' ELSE 'short' END AS train, CASE event_id % 3 WHEN 0 THEN 'original' WHEN 1 THEN 'plain' ELSE 'short' END AS test, value FROM events) GROUP BY ALL),
-k AS (SELECT o.test AS domain, h.score AS home, o.score AS moved, d.score AS own FROM c o JOIN c d ON d.train = o.test AND d.test = o.test CROSS JOIN c h WHERE o.train = 'original' AND o.test <> 'original' AND h.train = 'original' AND h.test = 'original')
-SELECT domain, 'transfer_loss' AS contrast, round(home - moved, 6) AS difference FROM k UNION ALL SELECT domain, 'adaptation_gain', round(own - moved, 6) FROM k UNION ALL SELECT domain, 'within_domain_gap', round(home - own, 6) FROM k""")
-def domain_contrasts(spark, sf_dir):
-    name = lambda c: F.when(F.col(c) % 3 == 0, "original").when(F.col(c) % 3 == 1, "plain").otherwise("short")
-    cells = table(spark, sf_dir, "events").groupBy(name("user_id").alias("train"), name("event_id").alias("test")).agg(F.avg("value").alias("score"))
-    return evidence.transfer_contrasts(cells).withColumn("difference", F.round("difference", 6))
-
-
 @query("""WITH r AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'old' END AS reused, CASE WHEN doc_id % 6 <> 0 THEN 'new' END AS made FROM documents)
 SELECT doc_id, coalesce(made, reused) AS outcome FROM r""")
 def reused_or_new(spark, sf_dir):
