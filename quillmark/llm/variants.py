@@ -60,21 +60,29 @@ def near_pairs(words: DataFrame) -> DataFrame:
     order of all letters is then compared (edit distance of 1). Null words match nothing; no words give no pairs.
     """
     letters = F.split("word", "")
-    spelled = words.where("word is not null").select("word", "n", F.length("word").alias("size"), anagram_hash(letters).alias("hash"), F.array_distinct(letters).alias("letters"))
-    whole = F.array(F.struct(F.lit("").alias("letter"), F.col("hash"), F.col("size").alias("left")))
-    less = F.transform("letters", lambda x: F.struct(x.alias("letter"), F.pmod(F.col("hash") - letter_value(x), F.lit(MODULUS)).alias("hash"), (F.col("size") - 1).alias("left")))
-    stood = spelled.select("word", "n", F.explode(F.concat(whole, less)).alias("at")).select("word", "n", "at.*")
-    half = F.floor(F.col("left") / 2).cast("int")
-    head = F.substring("word", F.lit(1), half)
-    tail = F.col("word").substr(F.length("word") - (F.col("left") - half) + 1, F.col("left") - half)
-    sides = F.array(F.struct(F.lit(0).alias("side"), head.alias("shared")), F.struct(F.lit(1).alias("side"), tail.alias("shared")))
-    placed = stood.select("word", "n", "letter", "hash", "left", head.alias("head"), F.explode(sides).alias("s")).select("word", "n", "letter", "hash", "left", "head", "s.*")
-    other = placed.select(*(F.col(c).alias(f"near_{c}") if c in ("word", "n", "letter", "head") else F.col(c) for c in placed.columns))
-    met = placed.join(other, ["hash", "left", "side", "shared"]).where("letter <> near_letter")
-    once = met.where("side = 0 or head <> near_head").where(F.levenshtein("word", "near_word", 1) == 1)
+    # written, since the variables of higher-order functions keep Spark from dealing out both sides of the join as one
+    spelled = written(words.where("word is not null").select("word", "n", anagram_hash(letters).alias("hash")))
+    stood = spelled.withColumn("letter", F.explode(F.concat(F.array(F.lit("")), F.array_distinct(letters)))).withColumn("hash", F.pmod(F.col("hash") - letter_value(F.col("letter")), F.lit(MODULUS)))
+    sides = F.explode(F.array(F.lit(0), F.lit(1)))
+    placed = stood.withColumn("side", sides).select(F.xxhash64("hash", "side", _half("word", "letter", F.col("side"))).alias("key"), "word", "n", "letter", "side")
+    both = placed.alias("a").join(placed.alias("b"), F.expr("a.key = b.key and a.side = b.side and a.letter <> b.letter"))
+    met = both.select("a.word", "a.n", "a.letter", "a.side", *(F.col(f"b.{c}").alias(f"near_{c}") for c in ("word", "n", "letter"))).where(F.levenshtein("word", "near_word", 1) == 1)
+    # a key of 64 bits may stand for two things: the letters that it left out must be those that the words don't share
+    has = lambda w, x: F.length(w) - F.length(F.replace(F.col(w), F.col(x)))
+    lost = [(F.col(x) == "") | (has(w, x) == has(v, x) + 1) for w, v, x in (("word", "near_word", "letter"), ("near_word", "word", "near_letter"))]
+    halves = [[_half(w, x, F.lit(side)) for w, x in (("word", "letter"), ("near_word", "near_letter"))] for side in (0, 1)]
+    first = halves[0][0] == halves[0][1]
+    once = met.where(lost[0] & lost[1]).where(F.when(F.col("side") == 0, first).otherwise((halves[1][0] == halves[1][1]) & ~first))
     return once.select("word", "n", F.col("near_word").alias("near"), "near_n")
 
 
+def _half(word: str, letter: str, side: Column) -> Column:
+    """The first (side 0) or last half of as many letters as word has without letter, where there is one."""
+    left = F.length(word) - F.length(letter)
+    half = F.floor(left / 2).cast("int")
+    return F.when(side == 0, F.substring(word, F.lit(1), half)).otherwise(F.col(word).substr(F.length(word) - (left - half) + 1, left - half))
+
+
 def spelling_variants(docs: DataFrame, garbled: int = 31) -> DataFrame:
     """word, form, root, n, n_near and form_n of the words of docs, as op13_spelling_variants states them.
 
@@ -82,10 +90,10 @@ def spelling_variants(docs: DataFrame, garbled: int = 31) -> DataFrame:
     by doubling the steps over the words that have a form. Nulls as in word_counts; no words give no rows.
     """
     words = written(word_counts(docs, garbled))
-    best = near_pairs(words).groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near").alias("form"))).alias("best"))
-    told = words.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.col("best.form").alias("form"), (-F.col("best.less")).alias("form_n"))
-    follows = F.col("form_n") >= TIMES * F.col("n")
-    told = written(told.withColumns({"form": F.when(follows, F.col("form")), "form_n": F.when(follows, F.col("form_n"))}))
+    best = near_pairs(words).groupBy("word").agg(F.max("n").alias("own"), F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near").alias("form"))).alias("best"))
+    told = words.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.col("best.form").alias("form"), (-F.col("best.less")).alias("form_n"), (-F.col("best.less") >= TIMES * F.col("own")).alias("follows"))
+    follows = F.col("follows")
+    told = written(told.withColumns({"form": F.when(follows, F.col("form")), "form_n": F.when(follows, F.col("form_n"))}).drop("follows"))
     steps = written(told.where("form is not null").select("word", F.col("form").alias("root")))
     while True:
         on = steps.select(F.col("word").alias("root"), F.col("root").alias("next"))

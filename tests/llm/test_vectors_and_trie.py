@@ -76,7 +76,7 @@ def test_variants_equal_brute_force(spark, data_dir):
 
 
 def test_variants_follow_forms_of_forms(spark):
-    words = {"abcdefgh": 300, "abcdefg": 30, "abcxefg": 3, "abcxefgé": 2, "hgfedcba": 2, "abdcefgh": 2, "ÀBCDEFGH": 40, "ccccccc": 2, "cccccccc": 2, "a" * 3000: 2, "a" * 2999 + "b": 20}
+    words = {"abcdefgh": 300, "abcdefg": 30, "abcxefg": 2, "abcxefgé": 2, "hgfedcba": 2, "abdcefgh": 2, "ÀBCDEFGH": 40, "ccccccc": 2, "cccccccc": 2, "a" * 3000: 2, "a" * 2999 + "b": 20}
     docs = [(i, f"{w} 1{w}2 " * (n // 2)) for i, (w, n) in enumerate(words.items())] + [(50, None), (None, "abcdefg " * 5), (51, ""), (52, "short ab")]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("word", variants.F.lit("clash")).withColumn("n", variants.F.lit(1))
     got = {r.word: r for r in variants.spelling_variants(df, garbled=1 << 40).collect()}
