@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.operators.ranks import positions
+from quillmark.sources.io import settled
+
 
 def macro_f1(confusion: np.ndarray) -> np.ndarray:
     """Of a stack of confusion matrices: the mean F1 of all labels, 0 for one that neither occurs nor is predicted."""
@@ -68,32 +73,148 @@ def paired_inference(pairs: DataFrame, by: list[str], labels: list[str], works:
     return pairs.groupBy(*by).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in by) + f", status string, {FIELDS}")
 
 
-def bootstrap_weights(passages: DataFrame, replicates: int, seed: int = 20260922) -> DataFrame:
+def _generator(seed: int, *node) -> np.random.Generator:
+    return np.random.default_rng([seed, int.from_bytes(blake2b(repr(node).encode(), digest_size=16).digest(), "little")])
+
+
+def tree_counts(total: np.ndarray, n: int, wanted: np.ndarray, seed: int, *tag) -> Iterator[tuple[int, np.ndarray]]:
+    """(place, counts) of the wanted places (ascending) when total draws, one number a replicate, fall on n places alike.
+
+    Each node of a binary tree over the places splits its draws by binomials that its own name seeds, so that whoever
+    asks for a place, and with whichever others, gets the same exact multinomial counts in a logarithmic number of steps.
+    """
+    stack = [(0, n, total, wanted)]
+    while stack:
+        low, high, count, asked = stack.pop()
+        if not len(asked):
+            continue
+        if high - low == 1:
+            yield low, count
+            continue
+        middle = (low + high) // 2
+        left = _generator(seed, *tag, low, high).binomial(count, (middle - low) / (high - low))
+        stack.append((middle, high, count - left, asked[asked >= middle]))
+        stack.append((low, middle, left, asked[asked < middle]))
+
+
+def passage_weights(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, weights of all replicates) of placed passages, as bootstrap_weights places them."""
+    if not batch.num_rows:
+        return
+    replicates, seed = batch.column("replicates")[0].as_py(), batch.column("seed")[0].as_py()
+    columns = {c: batch.column(c).to_pylist() for c in ("author", "work", "place", "size", "work_place", "works")}
+    authors: dict = {}
+    for i, (author, work) in enumerate(zip(columns["author"], columns["work"])):
+        authors.setdefault(author, {}).setdefault((columns["work_place"][i] - 1, work), []).append(i)
+    for author, works in authors.items():
+        n = columns["works"][next(iter(works.values()))[0]]
+        named = {place: (work, rows) for (place, work), rows in works.items()}
+        for place, draws in tree_counts(np.full(replicates, n), n, np.array(sorted(named)), seed, "works", author):
+            work, rows = named[place]
+            at: dict[int, list[int]] = {}
+            for i in rows:
+                at.setdefault(columns["place"][i] - 1, []).append(i)
+            size = columns["size"][rows[0]]
+            for own, weights in tree_counts(draws * size, size, np.array(sorted(at)), seed, "passages", author, work):
+                for i in at[own]:
+                    yield i, weights
+
+
+def bootstrap_weights(passages: DataFrame, replicates: int, seed: int = 20260922, placed: bool = False) -> DataFrame:
     """(replicate, doc_id, weight): how often each passage of (author, work, doc_id) is drawn, works first, then passages.
 
-    Every replicate seeds its own generator, so that replicates spread over tasks and a lost one can be made again; the
-    same weights serve all comparisons of the passages.
+    Of an author's works as many are drawn as there are, and for each draw as many of its passages as it has. With placed,
+    instead of a row for every draw, one a passage: its place in its work, its work's among the author's and how many
+    there are, from which weighted_f1 draws the weights in the task that holds the passage. The weights depend on these
+    places, replicates and seed alone, not on how rows are dealt; no row or task holds a whole work. Places go by doc_id
+    and work; a doc_id that occurs twice has two places.
     """
-    listed = passages.groupBy("author", "work").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
-    cohort = listed.groupBy("author").agg(F.array_sort(F.collect_list(F.struct("work", "ids"))).alias("works")).agg(F.array_sort(F.collect_list(F.struct("author", "works"))).alias("cohort"))
-    jobs = passages.sparkSession.range(replicates).crossJoin(F.broadcast(cohort))
+    rows = positions(passages.select("author", "work", "doc_id"), ["doc_id"], ["author", "work"], "place")
+    sizes = settled(rows.groupBy("author", "work").agg(F.count("*").alias("size")))
+    counts = sizes.groupBy("author").agg(F.count("*").alias("works")).select(F.col("author").alias("__a"), "works")
+    works = positions(sizes, ["work"], ["author"], "work_place").join(counts, F.col("author").eqNullSafe(F.col("__a"))).select(F.col("author").alias("__a"), F.col("work").alias("__w"), "size", "work_place", "works")
+    recipe = rows.join(works, F.col("author").eqNullSafe(F.col("__a")) & F.col("work").eqNullSafe(F.col("__w"))).drop("__a", "__w").withColumns({"replicates": F.lit(replicates), "seed": F.lit(seed).cast("long")})
+    if placed:
+        return recipe
+    kind = dict(recipe.dtypes)["doc_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id")
+            for i, weights in passage_weights(batch):
+                drawn = np.flatnonzero(weights)
+                yield pa.RecordBatch.from_arrays([pa.array(drawn, pa.int64()), ids.take(pa.array(np.full(len(drawn), i))), pa.array(weights[drawn], pa.int64())], ["replicate", "doc_id", "weight"])
+
+    return recipe.mapInArrow(run, f"replicate long, doc_id {kind}, weight long")
+
+
+def summed_arrays(parts: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """keys and the sums, element by element, of the arrays of column; a task holds one array a key at a time."""
+    fields = ", ".join(f"`{c}` {t}" for c, t in parts.select(*keys, column).dtypes)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = whole = None
+        out = lambda: pa.RecordBatch.from_arrays([*(c.slice(0, 1) for c in now.columns[:-1]), pa.array([whole], now.schema.field(column).type)], schema=now.schema)
         for batch in batches:
-            for replicate, cohort in zip(batch["id"], batch["cohort"], strict=True):
-                rng, drawn = np.random.default_rng([seed, int(replicate)]), []
-                for author in cohort:
-                    for w in rng.integers(0, len(author["works"]), size=len(author["works"])):
-                        ids = np.asarray(author["works"][w]["ids"])
-                        drawn.append(rng.choice(ids, size=len(ids)))
-                ids, n = np.unique(np.concatenate(drawn), return_counts=True)
-                yield pd.DataFrame({"replicate": replicate, "doc_id": ids, "weight": n})
+            named = list(zip(*(batch.column(k).to_pylist() for k in keys))) if keys else [()] * batch.num_rows
+            for i, key in enumerate(named):
+                values = np.asarray(batch.column(column)[i].values)
+                if now is not None and key == held:
+                    whole = whole + values
+                else:
+                    if now is not None:
+                        yield out()
+                    now, whole, held = batch.slice(i, 1), values, key
+        if now is not None:
+            yield out()
+
+    rows = parts.select(*keys, column)
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys) if keys else rows.coalesce(1)
+    return dealt.mapInArrow(run, fields)
+
+
+def weighted_confusions(predictions: DataFrame, placed: DataFrame, by: list[str]) -> DataFrame:
+    """by, author, predicted and sums: in each replicate, the weights of the passages so predicted.
+
+    A passage's weights are drawn once for all its predictions, and each task adds up its passages before anything is
+    dealt: what moves is an array a replicate long for every pair of labels, never a row for a draw.
+    """
+    kinds = dict(predictions.dtypes)
+    cells = predictions.groupBy("doc_id").agg(F.collect_list(F.struct(*by, F.col("author").alias("author"), "predicted")).alias("cells"))
+    rows = placed.join(cells, "doc_id")
+    names = [*by, "author", "predicted"]
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", sums array<long>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
 
-    return jobs.mapInPandas(run, "replicate long, doc_id long, weight long")
+        def out():
+            made = list(zip(*sums)) or [()] * len(names)
+            arrays = [pa.array(list(v), t) for v, t in zip(made, types)]
+            return pa.RecordBatch.from_arrays([*arrays, pa.array(list(sums.values()), pa.list_(pa.int64()))], [*names, "sums"])
+
+        types = None
+        for batch in batches:
+            fields = batch.schema.field("cells").type.value_type
+            types = [fields.field(c).type for c in names]
+            listed = batch.column("cells").to_pylist()
+            for i, weights in passage_weights(batch):
+                for cell in listed[i]:
+                    key = tuple(cell[c] for c in names)
+                    sums[key] = sums[key] + weights if key in sums else weights.astype(np.int64)
+            if len(sums) > 2000:
+                yield out()
+                sums.clear()
+        if sums:
+            yield out()
+
+    return summed_arrays(rows.mapInArrow(run, schema), names, "sums")
 
 
 def weighted_f1(predictions: DataFrame, weights: DataFrame, by: list[str], labels: int) -> DataFrame:
-    """by, replicate, macro_f1: the replicates' scores from sums of weights, without drawing rows."""
+    """by, replicate, macro_f1: the replicates' scores from sums of weights, without drawing rows; weights as rows or as placed passages."""
+    if "place" in weights.columns:
+        return _f1_of(weighted_confusions(predictions, weights, by), by, labels)
     cells = predictions.join(weights, "doc_id").groupBy(*by, "replicate", "author", "predicted").agg(F.sum("weight").alias("n"))
     truth = cells.groupBy(*by, "replicate", F.col("author").alias("label")).agg(F.sum("n").alias("size"), F.sum(F.when(F.col("author") == F.col("predicted"), F.col("n")).otherwise(0)).alias("tp"))
     called = cells.groupBy(*by, "replicate", F.col("predicted").alias("label")).agg(F.sum("n").alias("size"), F.lit(0).cast("long").alias("tp"))
@@ -101,5 +222,23 @@ def weighted_f1(predictions: DataFrame, weights: DataFrame, by: list[str], label
     return each.groupBy(*by, "replicate").agg((F.sum("f1") / labels).alias("macro_f1"))
 
 
+def _f1_of(confusions: DataFrame, by: list[str], labels: int) -> DataFrame:
+    """by, replicate, macro_f1 of weighted_confusions: a task holds one group's arrays, a pair of labels each."""
+    kinds = dict(confusions.dtypes)
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        size: dict[str, np.ndarray] = {}
+        hit: dict[str, np.ndarray] = {}
+        for author, predicted, sums in zip(group["author"], group["predicted"], group["sums"], strict=True):
+            for label in (author, predicted):
+                size[label] = size.get(label, 0) + sums
+            if author == predicted:
+                hit[author] = sums
+        f1 = sum(2 * hit[a] / np.maximum(size[a], 1) for a in hit) / labels if hit else np.zeros(len(group["sums"].iloc[0]))
+        return pd.DataFrame({**{c: group[c].iloc[0] for c in by}, "replicate": np.arange(len(f1)), "macro_f1": f1})
+
+    return confusions.groupBy(*by).applyInPandas(run, "".join(f"`{c}` {kinds[c]}, " for c in by) + "replicate long, macro_f1 double")
+
+
 def interval(replicates: DataFrame, by: list[str], value: str) -> DataFrame:
     return replicates.groupBy(*by).agg(F.percentile(value, F.lit(0.025)).alias("ci_low"), F.percentile(value, F.lit(0.975)).alias("ci_high"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
-from quillmark.operators import geometry, inference, metrics, models, style
-from quillmark.plans._base import CENTROID_SQL, CONDITIONS, FOLDED_SQL, LABELS_SQL, MEASURED_ALL_SQL, PASSAGES_SQL, Z_ALL_SQL, Z_SQL, matrix, measured, named, passages, query, scores_sql, standard
+from quillmark.operators import geometry, inference, mapping, metrics, models, sparse, style
+from quillmark.plans._base import CENTROID_SQL, CONDITIONS, FOLDED_SQL, LABELS_SQL, MEASURED_ALL_SQL, PASSAGES_SQL, Z_ALL_SQL, Z_SQL, folded, matrix, measured, named, passages, query, scores_sql, standard
 from quillmark.sources.io import settled, table
 
 KEYS = ["doc_id", "work"]
@@ -111,7 +111,13 @@ def shrinkage_lda(spark, sf_dir):
 
 @query()
 def linear_svm(spark, sf_dir):
-    return models.by_kernel(standard(spark, sf_dir)[0], "linear_svm", ["outer"])
+    """Support vectors over TF-IDF of 3- to 5-grams, fitted over all partitions: tests hold them to dense solutions."""
+    keys = ["group", "fold", *KEYS, "author"]
+    texts = folded(spark, sf_dir).withColumn("group", F.lit("original"))
+    vocabulary = sparse.vocabularies(texts, 3)
+    rows = sparse.sparse_rows(texts, keys, vocabulary)
+    fitted = sparse.fit_svm(rows, vocabulary, sorted(r.author for r in _labels(texts).collect()))
+    return sparse.predict(rows, fitted, keys).select(F.col("fold").alias("outer"), "doc_id", "author", "predicted")
 
 
 @query(f"""{Z_ALL_SQL}, {CENTROID_SQL}, {scores_sql('condition')}
@@ -262,6 +268,42 @@ def mapping_errors_held_out(spark, sf_dir):
     return _rounded(geometry.mapping_errors(pairs.where("not train"), mapping, ["condition"]), "identity", "translation", "scalar_affine")
 
 
+#: Function words stand in a row among the measures.
+_FW = [i for i, n in enumerate(style.BASE) if n.startswith("fw_")]
+SPANS = {"all_features": None, "function_words": (_FW[0], _FW[-1] + 1)}
+_ALL_PAIRS_SQL = """
+wc AS (SELECT outer_fold, condition, work, feature, train, avg(z) AS c FROM z GROUP BY ALL),
+fm(family) AS (VALUES ('all_features'), ('function_words')),
+pr AS (SELECT b.outer_fold, b.condition, family, b.work, b.feature, b.train, a.c AS x, b.c AS y FROM wc b JOIN wc a ON a.outer_fold = b.outer_fold AND a.condition = 'original' AND a.work = b.work AND a.feature = b.feature JOIN fm ON family = 'all_features' OR b.feature LIKE 'fw_%' WHERE b.condition <> 'original'),
+m AS (SELECT outer_fold, condition, family, feature, avg(x) AS mx, avg(y) AS my, covar_pop(x, y) AS xy, var_pop(x) AS xx FROM pr WHERE train GROUP BY ALL),
+al AS (SELECT outer_fold, condition, family, sum(xy) / sum(xx) AS alpha FROM m GROUP BY ALL),
+mp AS (SELECT outer_fold, condition, family, feature, alpha, my - alpha * mx AS shift, my - mx AS translation FROM m JOIN al USING (outer_fold, condition, family)),
+er AS (SELECT condition, family, work, avg(power(y - x, 2)) AS i, avg(power(y - x - translation, 2)) AS t, avg(power(y - alpha * x - shift, 2)) AS a FROM pr JOIN mp USING (outer_fold, condition, family, feature) WHERE NOT train GROUP BY ALL)"""
+
+
+def _held_out_works(spark, sf_dir):
+    pairs = mapping.work_pairs(standard(spark, sf_dir, True)[0], SPANS)
+    return mapping.held_out(pairs, mapping.fitted(pairs))
+
+
+@query(f"""{Z_ALL_SQL}, {_ALL_PAIRS_SQL} SELECT condition, family, work, round(i, 6) AS identity, round(t, 6) AS translation, round(a, 6) AS scalar_affine FROM er""")
+def unseen_work_errors(spark, sf_dir):
+    """Errors of three mappings for every work, each fitted on the works of the other outer folds."""
+    return _rounded(_held_out_works(spark, sf_dir).select("condition", "family", "work", *mapping.MAPPINGS), *mapping.MAPPINGS)
+
+
+@query()
+def mapping_intervals(spark, sf_dir):
+    """What each mapping's error is over all unseen works and what it improves, with intervals over drawn works."""
+    return mapping.error_intervals(_held_out_works(spark, sf_dir), REPLICATES)
+
+
+@query()
+def dispersion_intervals(spark, sf_dir):
+    """How the spread of unseen works' centroids is made up, with intervals over drawn works."""
+    return mapping.dispersion_intervals(_held_out_works(spark, sf_dir), REPLICATES)
+
+
 @query()
 def paired_bootstrap(spark, sf_dir):
     """Loss of macro F1 with interval and permutation p-value, of whole works; Holm over all comparisons."""
@@ -278,7 +320,7 @@ def paired_bootstrap(spark, sf_dir):
 def weighted_bootstrap(spark, sf_dir):
     """Intervals of every condition from the same drawn weights."""
     rows = _by_condition(spark, sf_dir).select("condition", "author", "work", "doc_id", "predicted")
-    weights = inference.bootstrap_weights(rows.where("condition = 'original'").select("author", "work", "doc_id"), REPLICATES)
+    weights = inference.bootstrap_weights(rows.where("condition = 'original'").select("author", "work", "doc_id"), REPLICATES, placed=True)
     return inference.interval(inference.weighted_f1(rows, weights, ["condition"], _labels(rows).count()), ["condition"], "macro_f1")
 
 
