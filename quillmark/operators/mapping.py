@@ -151,21 +151,21 @@ def dispersion_of(sums: np.ndarray, features: float, alpha: float) -> np.ndarray
     return np.stack([original, rewrite, alpha**2 * original, residual, 2 * alpha * cross], axis=1)
 
 
-def dispersion_intervals(held: DataFrame, replicates: int, seed: int = 20260922) -> DataFrame:
+def dispersion_intervals(held: DataFrame, replicates: int, seed: int = 20260922, block: int = BLOCK) -> DataFrame:
     """condition, family, component, value, ci_low, ci_high: how the spread of held-out works' centroids in a condition is made up, meaned over outer folds.
 
     The matrix of counts (replicates by works) is multiplied into that of centroids (works by features) in blocks of
-    BLOCK replicates; a task multiplies its own works and passes on one array a block. The first replicate is the works
+    replicates; a task multiplies its own works and passes on one array a block. The first replicate is the works
     as they are. Groups whose mapping has no alpha are left out.
     """
-    blocks = -(-replicates // BLOCK)
+    blocks = -(-replicates // block)
 
     def make(row):
         x, y, e = (np.asarray(row[c]) for c in "xye")
         counts = next(c for _, c in tree_counts(np.full(replicates, row["works"]), row["works"], np.array([row["work_place"] - 1]), seed, "works", row["author"]))
         line = np.concatenate([[1.0, x @ x, y @ y, e @ e, x @ e], x, y, e])
         parts = [((-1,), line)]
-        return parts + [((b,), np.outer(counts[b * BLOCK : (b + 1) * BLOCK], line).ravel()) for b in range(blocks)]
+        return parts + [((b,), np.outer(counts[b * block : (b + 1) * block], line).ravel()) for b in range(blocks)]
 
     rows = placed_works(held.where("alpha is not null")).withColumn("features", F.col("features").cast("long"))
     sums = _sums_of(rows, [*GROUP, "features", "alpha"], ["author", "work_place", "works", "x", "y", "e"], make, "block long")
@@ -174,9 +174,9 @@ def dispersion_intervals(held: DataFrame, replicates: int, seed: int = 20260922)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                width = 5 + 3 * _width(row["sums"], row["block"], replicates)
+                width = 5 + 3 * _width(row["sums"], row["block"], replicates, block)
                 found = dispersion_of(np.asarray(row["sums"]).reshape(-1, width), row["features"], row["alpha"])
-                at = np.arange(len(found)) + (row["block"] * BLOCK if row["block"] >= 0 else -1)
+                at = np.arange(len(found)) + (row["block"] * block if row["block"] >= 0 else -1)
                 n = len(found)
                 yield pa.RecordBatch.from_arrays([pa.array([row["outer"]] * n, batch.schema.field("outer").type), pa.array([row["condition"]] * n, pa.string()), pa.array([row["family"]] * n, pa.string()), pa.array(at, pa.int64()), *(pa.array(found[:, k]) for k in range(len(COMPONENTS)))], ["outer", "condition", "family", "replicate", *COMPONENTS])
 
@@ -187,7 +187,7 @@ def dispersion_intervals(held: DataFrame, replicates: int, seed: int = 20260922)
     return long.groupBy("condition", "family", "component").agg(F.max(F.when(F.col("replicate") < 0, F.col("v"))).alias("value"), drawn(0.025).alias("ci_low"), drawn(0.975).alias("ci_high"))
 
 
-def _width(sums: list, block: int, replicates: int) -> int:
-    """Features in a row of sums of a block."""
-    rows = 1 if block < 0 else min(BLOCK, replicates - block * BLOCK)
+def _width(sums: list, at: int, replicates: int, block: int) -> int:
+    """Features in the sums of the block at that place."""
+    rows = 1 if at < 0 else min(block, replicates - at * block)
     return (len(sums) // rows - 5) // 3

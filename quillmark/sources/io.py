@@ -21,10 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settled(df: DataFrame) -> DataFrame:
+def settled(df: DataFrame, block: int | None = None) -> DataFrame:
     """df, computed once and kept as Parquet below spark.checkpoint.dir; where that is unset, in a temporary folder if all runs in one process, and else an error.
 
     Plans that read it several times don't compute it again, and know its size, by which Spark broadcasts it or not.
+    block is how many bytes make a row group, which is the least that one task reads: small for rows that take long.
     """
     spark = df.sparkSession
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -34,7 +35,8 @@ def settled(df: DataFrame) -> DataFrame:
         top = "file://" + tempfile.mkdtemp(prefix="quillmark-")
         spark.sparkContext.setCheckpointDir(top)
     path = f"{top.rstrip('/')}/settled-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write if block is None else df.write.option("parquet.block.size", block)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
