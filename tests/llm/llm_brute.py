@@ -129,20 +129,29 @@ def encoded(docs):
     return out
 
 
+def line_chunks(text):
+    """Lists of lines: boundaries by the rolling hash outside runs of equal lines, runs in pairs, no chunk of one line among several."""
+    lines = text.split("\n")
+    h = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in lines]
+    ends, i = {len(lines)}, 0
+    while i < len(lines):
+        j = i
+        while j + 1 < len(lines) and h[j + 1] == h[i]:
+            j += 1
+        if j > i:
+            ends |= {i, *range(i + 2, j, 2), j + 1}
+        elif ((h[i - 2] if i > 1 else 0) * 1103515245 + (h[i - 1] if i else 0) * 1664525 + h[i] * 69069) % 2147483647 % 4 == 0:
+            ends.add(i + 1)
+        i = j + 1
+    kept = sorted(e for e in ends if e == len(lines) or e > 1 and e + 1 not in ends)
+    return [lines[a:b] for a, b in zip([0, *kept], kept)]
+
+
 def deduped_lines(docs):
     """doc_id to the text left; documents of equal doc_id must have equal texts."""
-    chunks, first = {}, {}
-    for d in docs:
-        if d["text"] is not None and d["doc_id"] is not None:
-            own, last = [[]], 0
-            for line in d["text"].split("\n"):
-                now = int(hashlib.md5(line.encode()).hexdigest()[:8], 16)
-                own[-1].append(line)
-                if (31 * last + now) % 4 == 0:
-                    own.append([])
-                last = now
-            chunks[d["doc_id"]] = [c for c in own if c]
+    chunks = {d["doc_id"]: line_chunks(d["text"]) for d in docs if d["text"] is not None and d["doc_id"] is not None}
+    first = {}
     for i in sorted(chunks):
         for k, c in enumerate(chunks[i]):
             first.setdefault(tuple(c), (i, k))
-    return {i: "\n".join("\n".join(c) for k, c in enumerate(own) if len(c) < 2 or first[tuple(c)] == (i, k)) for i, own in chunks.items()}
+    return {i: "\n".join("\n".join(c) for k, c in enumerate(own) if c == [""] or first[tuple(c)] == (i, k)) for i, own in chunks.items()}
