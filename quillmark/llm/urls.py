@@ -42,8 +42,29 @@ def by_rule(host: Column, path: Column, rules: tuple[Rule, ...], field: str) ->
     return F.coalesce(*out) if out else F.lit(None).cast("string")
 
 
-#: Character references that are read in links, the ampersand's last.
-REFERENCES = (("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&"))
+#: Character references that are read in links, each once: what one gives is not read again.
+REFERENCES = (("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"))
+AMPERSANDS = ("&amp;", "&#38;", "&#x26;")
+#: An attribute: its name, and its value, quoted or not, if it has one.
+ATTRIBUTE = r"""(?s)([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?"""
+
+
+def referenced(value: Column) -> Column:
+    """value with its character references read."""
+    held = F.replace(value, F.lit("\0"), F.lit("�"))
+    for name in AMPERSANDS:
+        held = F.replace(held, F.lit(name), F.lit("\0"))
+    for name, sign in REFERENCES:
+        held = F.replace(held, F.lit(name), F.lit(sign))
+    return F.replace(held, F.lit("\0"), F.lit("&"))
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's first attribute of that name (in any case), without quotes and with references read; empty if it has none."""
+    names = F.transform(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(1)), lambda n: F.lower(n))
+    raw = F.get(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(2)), (F.array_position(names, name) - 1).cast("int"))
+    bare = F.when(raw.startswith('"') | raw.startswith("'"), F.substr(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
+    return F.coalesce(referenced(bare), F.lit(""))
 
 
 def without_dots(path: Column) -> Column:
@@ -76,16 +97,22 @@ def same_url(url: Column) -> Column:
 def alias_edges(pages: DataFrame) -> DataFrame:
     """(from_url, to_url), by same_url, of the canonical links and refresh redirects in html, relative ones resolved.
 
-    Pages without url or html, and links to the page itself, give no rows; equal edges give one; no pages give none.
+    A link counts if canonical is one of its rel words, a meta tag if its http-equiv is refresh and its content names a
+    url. Tags are read attribute by attribute, so that neither other names that end alike nor text in other values count;
+    what stands in comments doesn't. Pages without url or html, and links to the page itself, give no rows; equal edges
+    give one; no pages give none.
     """
-    tags = F.regexp_extract_all("html", F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
-    kinds = F.filter(tags, lambda t: t.rlike(r"(?is)\brel\s*=\s*[\"']?canonical\b") | t.rlike(r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh\b"))
-    found = pages.where("url is not null and html is not null").select("url", F.explode_outer(kinds).alias("tag")).where("tag is not null")
-    link = F.coalesce(*(F.nullif(F.regexp_extract("tag", p, 1), F.lit("")) for p in (r"(?is)\bhref\s*=\s*\"([^\"]*)\"", r"(?is)\bhref\s*=\s*'([^']*)'", r"(?is)\bhref\s*=\s*([^\s\"'>]+)", r"(?is)\burl\s*=\s*[\"']?([^\"'>]+)")))
-    href = F.trim(link)
-    for name, sign in REFERENCES:
-        href = F.replace(href, F.lit(name), F.lit(sign))
-    found = found.withColumn("href", href).where("href is not null")
+    shown = pages.where("url is not null and html is not null").select("url", F.regexp_replace("html", r"(?s)<!--.*?(?:-->|\z)", "").alias("html"))
+    tags = shown.select("url", F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<(?:link|meta)[\s/][^>]*>"), F.lit(0))).alias("tag"))
+    is_link = F.lower(F.substring("tag", 2, 4)) == "link"
+    rel = F.split(F.lower(attribute(F.col("tag"), "rel")), r"\s+")
+    refresh = F.lower(F.trim(attribute(F.col("tag"), "http-equiv"))) == "refresh"
+    # 0; url=x, with quotes around x or without
+    content = attribute(F.col("tag"), "content")
+    named = F.regexp_extract(content, r"(?is)^\s*[0-9.]*\s*[;,]?\s*url\s*=\s*(.*)$", 1)
+    target = F.when(named.startswith('"') | named.startswith("'"), F.regexp_extract(named, r"""(?s)^["']([^"']*)""", 1)).otherwise(named)
+    href = F.trim(F.when(is_link & F.array_contains(rel, "canonical"), attribute(F.col("tag"), "href")).when(~is_link & refresh, target))
+    found = tags.withColumn("href", F.nullif(href, F.lit(""))).where("href is not null")
     edges = found.select(same_url(F.col("url")).alias("from_url"), same_url(resolved(F.col("href"), F.col("url"))).alias("to_url"))
     return edges.where("to_url is not null and to_url <> from_url").distinct()
 
@@ -122,15 +149,22 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = r"""
-WITH RECURSIVE tags AS (
-  SELECT DISTINCT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM pages WHERE url IS NOT NULL),
+WITH RECURSIVE shown AS (
+  SELECT DISTINCT url, string_split(html, '<!--')[1] || array_to_string(list_transform(string_split(html, '<!--')[2:], lambda x: CASE WHEN contains(x, '-->') THEN substr(x, strpos(x, '-->') + 3) ELSE '' END), '') AS html FROM pages WHERE url IS NOT NULL),
+tags AS (SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)[\s/][^>]*>')) AS tag FROM shown),
+pairs AS (
+  SELECT url, lower(tag[2:5]) AS kind, list_transform(regexp_extract_all(tag, '(?s)([^\s"''<>/=]+)(?:\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+))?', 1), lambda x: lower(x)) AS names,
+    list_transform(regexp_extract_all(tag, '(?s)([^\s"''<>/=]+)(?:\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+))?', 2), lambda x: CASE WHEN left(x, 1) IN ('"', chr(39)) THEN substr(x, 2, length(x) - 2) ELSE x END) AS held FROM tags),
+read AS (
+  SELECT url, kind, names, list_transform(held, lambda x: array_to_string(list_transform(regexp_extract_all(x, '&(?:amp|#38|#x26|quot|#34|#39|apos|lt|gt);|&|[^&]+'),
+    lambda y: CASE WHEN y IN ('&amp;', '&#38;', '&#x26;') THEN '&' WHEN y IN ('&quot;', '&#34;') THEN '"' WHEN y IN ('&#39;', '&apos;') THEN chr(39) WHEN y = '&lt;' THEN '<' WHEN y = '&gt;' THEN '>' ELSE y END), '')) AS held FROM pairs),
 links AS (
-  SELECT url, trim(coalesce(nullif(regexp_extract(tag, '(?is)\bhref\s*=\s*"([^"]*)"', 1), ''), nullif(regexp_extract(tag, '(?is)\bhref\s*=\s*''([^'']*)''', 1), ''),
-    nullif(regexp_extract(tag, '(?is)\bhref\s*=\s*([^\s"''>]+)', 1), ''), nullif(regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''>]+)', 1), ''))) AS raw
-  FROM tags WHERE regexp_matches(tag, '(?is)\brel\s*=\s*["'']?canonical\b') OR regexp_matches(tag, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b')),
+  SELECT url, trim(CASE WHEN kind = 'link' AND list_contains(regexp_split_to_array(lower(held[list_position(names, 'rel')]), '\s+'), 'canonical') THEN held[list_position(names, 'href')]
+    WHEN kind = 'meta' AND lower(trim(held[list_position(names, 'http-equiv')])) = 'refresh'
+    THEN regexp_replace(regexp_extract(held[list_position(names, 'content')], '(?is)^\s*[0-9.]*\s*[;,]?\s*url\s*=\s*(.*)$', 1), '(?s)^["'']([^"'']*).*$', '\1') END) AS href FROM read),
 hrefs AS (
-  SELECT row_number() OVER () AS k, url, replace(replace(replace(replace(replace(replace(replace(replace(replace(raw, '&quot;', '"'), '&#34;', '"'), '&#39;', chr(39)), '&apos;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&#38;', '&'), '&#x26;', '&'), '&amp;', '&') AS href,
-    regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) AS site, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS own FROM links WHERE raw IS NOT NULL),
+  SELECT row_number() OVER () AS k, url, href,
+    regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) AS site, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS own FROM links WHERE href <> ''),
 split AS MATERIALIZED (
   SELECT *, regexp_extract(href, '(?s)^[^?#]*') AS reference, regexp_extract(href, '(?s)^[^?#]*(\?[^#]*)', 1) AS query, regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') AS schemed FROM hrefs),
 walk AS (

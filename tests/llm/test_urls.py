@@ -1,6 +1,7 @@
 """URL filters against the standard library's url joining and plain connected components."""
 
 import re
+from html.parser import HTMLParser
 from urllib.parse import urldefrag, urljoin, urlsplit
 
 import duckdb
@@ -68,6 +69,52 @@ def test_blocks_reach_aliases_over_chains_of_relative_links(spark, tmp_path):
     assert sorted(want.fetchall(), key=repr) == sorted((tuple(r[c] for c in want.columns) for r in got), key=repr)
 
 
+TAGS = [
+    '<link data-href="http://c.net/z" rel="canonical" href="http://c.net/q">', '<!-- <link rel="canonical" href="http://c.net/no"> -->', "<link rel=alternate href=http://c.net/no2>",
+    "<LINK REL='nofollow Canonical' HREF='/a?b=1&amp;amp;c=2' title=\"href=http://c.net/no3\">", "<link title='rel=\"canonical\"' href=\"http://c.net/no4\">", "<link rel=canonical href=/u?x=&#38;amp;y />",
+    '<meta http-equiv="Refresh" content="0; url=http://c.net/r">', "<meta content='5;URL=&quot;/quoted&quot;' http-equiv=refresh>", '<meta name="refresh" content="0;url=/no5">', "<meta http-equiv=refresh content=30>",
+    "<linkx rel=canonical href=/no6>", '<link rel="canonical">', '<link rel="canonical" href="">', '<link rel=canonical\nhref = "/lines">', '<link href="/first" href="/second" rel=canonical>', "<!-- open <link rel=canonical href=/no7>",
+]
+
+
+class Reader(HTMLParser):
+    def __init__(self, html):
+        super().__init__()
+        self.found = []
+        self.feed(html)
+
+    def handle_starttag(self, tag, attrs):
+        first = {}
+        for k, v in attrs:
+            first.setdefault(k, v or "")
+        if tag == "link" and "canonical" in first.get("rel", "").lower().split():
+            self.found.append(first.get("href", ""))
+        if tag == "meta" and first.get("http-equiv", "").lower() == "refresh" and "=" in first.get("content", ""):
+            self.found.append(first["content"].split("=", 1)[1].strip("\"'"))
+
+
+def test_tags_are_read_like_the_standard_library(spark):
+    pages, want = [], set()
+    for i, tag in enumerate(TAGS):
+        page = f"http://c.net/page{i}"
+        pages += [(i, page, f"<p>{tag}</p>"), (-1 - i, None, tag), (1000 + i, "http://c.net/other", None)]
+        want |= {(page, own(urljoin(page, h))) for h in Reader(f"<p>{tag}</p>").found if h}
+    got = urls.alias_edges(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {tuple(r) for r in got} == want and len(want) == 7
+
+
+def test_the_sql_reads_the_same_tags(spark, tmp_path):
+    blocked = [t.replace("http://c.net/", "http://x.com/de/").replace("=/", "=http://x.com/de/").replace('"/', '"http://x.com/de/').replace("'/", "'http://x.com/de/").replace(";/", ";http://x.com/de/") for t in TAGS]
+    pages = [(i, f"http://s{i}.net/", f"<html>{t}</html>") for i, t in enumerate([*TAGS, *blocked])]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.verdict for r in urls.op5_url_filter(spark, str(tmp_path)).collect()}
+    database = duckdb.connect()
+    database.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert {r[0]: r[1] for r in database.sql(f"SELECT page_id, verdict FROM ({urls.OP5_SQL})").fetchall()} == got
+    for i, t in enumerate(blocked):
+        assert got[len(TAGS) + i] == ("block" if any(Reader(f"<html>{t}</html>").found) else "allow"), t
+
+
 def test_given_edges(spark):
     pages = spark.createDataFrame([(1, "http://a.net/1", None), (2, "http://a.net/2", None), (3, None, None)], "page_id long, url string, html string")
     edges = spark.createDataFrame([("HTTP://A.net/1", "http://x.com/de/", 1), (None, "http://a.net/2", 2), ("http://a.net/2", None, 3)], "from_url string, to_url string, n int")
