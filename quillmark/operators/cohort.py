@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmark.operators.ranks import positions
+from quillmark.sources.io import settled
+
 
 def distinct_texts(docs: DataFrame) -> DataFrame:
     """The rows with a text, of equal texts the one of least doc_id; texts meet by digest, not by content."""
@@ -20,32 +25,43 @@ def folds_by_work(works: DataFrame, author: str, work: str, k: int = 3, seed: st
 
 
 def hash_ranked(df: DataFrame, cell: list[str], key: Column, most: int | None = None, seed: str = "20260922") -> DataFrame:
-    """df with rank: its place by a seeded hash of key within its cell (of all rows if cell is empty), at most `most`."""
+    """df with rank: its place by a seeded hash of key within its cell (of all rows if cell is empty), at most `most`.
+
+    Tasks keep `most` rows of a cell before any is dealt; without a limit, places are counted over ranges.
+    """
     order = F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string")), 256)
-    ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(*cell).orderBy(order)))
+    if most is None or not cell:
+        ranked = positions(df.withColumn("__hash", order), ["__hash"], cell, "rank").drop("__hash")
+    else:
+        ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(*cell).orderBy(order)))
     return ranked if most is None else ranked.where(F.col("rank") <= most)
 
 
+def _placed(df: DataFrame, cell: list[str], order: list[str]) -> DataFrame:
+    """df with at, its place from 0 in its cell, and rows, how many the cell has; null cells are a cell."""
+    placed = settled(positions(df, order, cell, "at"))
+    counts = placed.groupBy(*cell).agg(F.max("at").alias("rows")).select(*(F.col(c).alias(f"__{c}") for c in cell), "rows")
+    same = reduce(lambda a, c: a & F.col(c).eqNullSafe(F.col(f"__{c}")), cell, F.lit(True))
+    return placed.join(counts, same).drop(*(f"__{c}" for c in cell)).withColumn("at", (F.col("at") - 1).cast("int"))
+
+
 def evenly_spread(df: DataFrame, cell: list[str], order: list[str], n: int) -> DataFrame:
     """n rows of each cell, at the places round(i * (rows - 1) / (n - 1)), halves to even; all of a smaller cell."""
-    w = Window.partitionBy(*cell)
-    placed = df.withColumns({"at": F.row_number().over(w.orderBy(*order)) - 1, "rows": F.count("*").over(w)})
     wanted = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.bround(i * (F.col("rows") - 1) / (n - 1), 0).cast("int"))
-    return placed.where((F.col("rows") <= n) | F.array_contains(wanted, F.col("at"))).drop("rows")
+    return _placed(df, cell, order).where((F.col("rows") <= n) | F.array_contains(wanted, F.col("at"))).drop("rows")
 
 
 def midpoint_spread(df: DataFrame, cell: list[str], order: list[str], n: int) -> DataFrame:
     """n rows of each cell of n or more, at the places floor((i + 1/2) * rows / n)."""
-    w = Window.partitionBy(*cell)
-    placed = df.withColumns({"at": F.row_number().over(w.orderBy(*order)) - 1, "rows": F.count("*").over(w)}).where(F.col("rows") >= n)
-    return placed.where(F.array_contains(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor((i + 0.5) * F.col("rows") / n).cast("int")), F.col("at"))).drop("rows")
+    wanted = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor((i + 0.5) * F.col("rows") / n).cast("int"))
+    return _placed(df, cell, order).where(F.col("rows") >= n).where(F.array_contains(wanted, F.col("at"))).drop("rows")
 
 
 def split_in_order(df: DataFrame, cell: list[str], order: list[str], train: float = 0.7, validation: float = 0.15) -> DataFrame:
     """df with split: the first share of each cell is train, the next validation, the rest test."""
-    w = Window.partitionBy(*cell)
-    at, n = F.row_number().over(w.orderBy(*order)), F.count("*").over(w)
-    return df.withColumn("split", F.when(at <= F.floor(n * train), "train").when(at <= F.floor(n * (train + validation)), "validation").otherwise("test"))
+    at, n = F.col("at") + 1, F.col("rows")
+    split = F.when(at <= F.floor(n * train), "train").when(at <= F.floor(n * (train + validation)), "validation").otherwise("test")
+    return _placed(df, cell, order).withColumn("split", split).drop("at", "rows")
 
 
 def aligned(originals: DataFrame, rewrites: DataFrame, conditions: list[str], key: str = "doc_id", status: str = "qc_status") -> DataFrame:
@@ -87,9 +103,15 @@ def overlapping(spans: DataFrame, by: list[str], key: str, start: str = "start",
 
 
 def contained(points: DataFrame, spans: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
-    """points (at) with the first span (by start) of the same group that holds them: an equi-join with a range filter."""
-    joined = points.join(spans, by).where((F.col("at") >= F.col(start)) & (F.col("at") < F.col(end)))
-    return joined.withColumn("k", F.row_number().over(Window.partitionBy(*points.columns).orderBy(start, end))).where("k = 1").drop("k")
+    """points (at) with the first span (by start) of the same group that holds them: an equi-join with a range filter.
+
+    Points are numbered first, so that equal points stay apart.
+    """
+    numbered = settled(points.withColumn("__point", F.monotonically_increasing_id()))
+    joined = numbered.join(spans, by).where((F.col("at") >= F.col(start)) & (F.col("at") < F.col(end)))
+    rest = [c for c in spans.columns if c not in by]
+    first = joined.groupBy("__point").agg(F.min(F.struct(F.col(start).alias("__s"), F.col(end).alias("__e"), *(F.col(c) for c in rest))).alias("__first"))
+    return numbered.join(first, "__point").select(*points.columns, *(F.col(f"__first.{c}").alias(c) for c in rest))
 
 
 def same_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmark.operators.ranks import order_statistics, positions
+from quillmark.sources.io import settled
+
 
 def one_to_one(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """keys, left_rows, right_rows of the keys that do not stand exactly once on both sides; no rows: a join by keys is one to one."""
@@ -50,18 +53,15 @@ def leases(requests: DataFrame, issued: DataFrame, released: DataFrame, done: Da
 
     A request is reserved if it stands in an issued batch (batch, worker, request_id), which was released or not; it is
     pending while its batch was not released and it is not done. Workers share the free requests in the order of their
-    names; places are handed out by a rank within blocks of the ids, so that no task ranks all requests.
+    names; places are counted over ranges of the ids, of any kind, so that no task ranks all requests.
     """
     open_ = issued.join(released.select("batch").distinct(), "batch", "left_anti").join(done.select("request_id").distinct(), "request_id", "left_anti")
     pending = open_.select("worker", "request_id", "batch").withColumn("fresh", F.lit(False))
     idle = workers.select("worker").distinct().join(pending.select("worker").distinct(), "worker", "left_anti")
     free = requests.select("request_id").distinct().join(issued.select("request_id").distinct(), "request_id", "left_anti").join(done.select("request_id").distinct(), "request_id", "left_anti")
-    blocks = free.withColumn("block", F.floor(F.col("request_id") / 1024))
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = blocks.groupBy("block").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    placed = blocks.join(sizes, "block").withColumn("at", F.col("before") + F.row_number().over(Window.partitionBy("block").orderBy("request_id")) - 1)
-    ranked = idle.withColumn("turn", F.row_number().over(Window.orderBy("worker")) - 1)
-    dealt = placed.withColumn("turn", F.floor(F.col("at") / size)).join(ranked, "turn")
+    placed = positions(free, ["request_id"], name="at")
+    ranked = positions(idle, ["worker"], name="turn").withColumn("turn", F.col("turn") - 1)
+    dealt = placed.withColumn("turn", F.floor((F.col("at") - 1) / size)).join(ranked, "turn")
     ids = F.sort_array(F.collect_list(F.col("request_id")).over(Window.partitionBy("worker")))
     batch = F.substring(F.sha2(F.concat(F.col("worker"), F.lit(":"), F.array_join(F.transform(ids, lambda i: i.cast("string")), ":")), 256), 1, 20)
     return pending.unionByName(dealt.select("worker", "request_id", batch.alias("batch"), F.lit(True).alias("fresh")))
@@ -107,9 +107,9 @@ def overlapping(spans: DataFrame, by: list[str], start: str, end: str) -> DataFr
 
 
 def recomputed(stored: DataFrame, again: DataFrame, keys: list[str], columns: list[str], tolerance: float = 0.0) -> DataFrame:
-    """keys, problem: missing, unexpected, or the first of columns whose stored and recomputed values differ by more than tolerance; null only equals null."""
+    """keys, problem: missing, unexpected, or the first of columns whose stored and recomputed values differ by more than tolerance; null only equals null, in keys too."""
     a = stored.select(*keys, F.struct(*columns).alias("__a"))
-    b = again.select(*keys, F.struct(*columns).alias("__b"))
+    b = again.select(*(F.col(k).alias(f"__{k}") for k in keys), F.struct(*columns).alias("__b"))
     kinds = dict(stored.dtypes)
 
     def differs(c: str) -> Column:
@@ -119,7 +119,9 @@ def recomputed(stored: DataFrame, again: DataFrame, keys: list[str], columns: li
     problem = F.when(F.col("__a").isNull(), "unexpected").when(F.col("__b").isNull(), "missing")
     for c in columns:
         problem = problem.when(differs(c), c)
-    return a.join(b, keys, "full_outer").select(*keys, problem.alias("problem")).where("problem is not null")
+    same = reduce(lambda x, k: x & F.col(k).eqNullSafe(F.col(f"__{k}")), keys, F.lit(True))
+    named = [F.when(F.col("__a").isNull(), F.col(f"__{k}")).otherwise(F.col(k)).alias(k) for k in keys]
+    return a.join(b, same, "full_outer").select(*named, problem.alias("problem")).where("problem is not null")
 
 
 def linked(manifest: DataFrame, files: DataFrame) -> DataFrame:
@@ -181,20 +183,27 @@ def interval_table(estimates: DataFrame, intervals: DataFrame, keys: list[str],
 
 
 def looked_up(lines: DataFrame, cells: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Every line of a report with the value of its cell by all keys; found tells whether there is one; cells must be unique by keys."""
-    return lines.join(cells.select(*keys, F.col(value), F.lit(True).alias("found")), keys, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    """Every line of a report with the value of its cell by all keys; found tells whether there is one. Cells that aren't unique by keys are an error when they are read."""
+    once = cells.groupBy(*keys).agg(F.count("*").alias("__n"), F.any_value(value).alias(value))
+    checked = F.when(F.col("__n") > 1, F.raise_error(F.concat_ws(" ", F.lit("more than one cell for"), *(F.col(k).cast("string") for k in keys))).cast(dict(cells.dtypes)[value])).otherwise(F.col(value))
+    return lines.join(once.select(*keys, checked.alias(value), F.lit(True).alias("found")), keys, "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
 def replicate_bounds(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """by, linear and cut bounds of 95 %: percentiles between neighbours, and the places 0.025 n and 0.975 n - 1, cut to whole numbers, of the sorted values.
 
-    For groups of replicates, whose number a caller chooses: one group's values meet in one array.
+    The few values that are needed are selected from counts; no group is sorted or gathered. Nulls and NaN count for
+    nothing; a place before the first value is null.
     """
-    values = F.array_sort(F.collect_list(value))
-    n = F.count(value)
-    grouped = rows.groupBy(*by).agg(F.percentile(value, [0.025, 0.975]).alias("p"), values.alias("v"), n.alias("n"))
-    at = lambda k: F.get("v", k.cast("int"))
-    return grouped.select(*by, F.get("p", F.lit(0)).alias("linear_low"), F.get("p", F.lit(1)).alias("linear_high"), at(F.floor(F.col("n") * 0.025)).alias("cut_low"), at(F.floor(F.col("n") * 0.975) - 1).alias("cut_high"))
+    counts = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*by).agg(F.count("*").alias("n"))
+    n, floor = F.col("n"), lambda x: F.floor(x).cast("long")
+    places = {"a": floor((n - 1) * 0.025), "b": floor((n - 1) * 0.025) + 1, "c": floor((n - 1) * 0.975), "d": floor((n - 1) * 0.975) + 1, "cut_low": floor(n * 0.025), "cut_high": floor(n * 0.975) - 1}
+    listed = F.explode(F.array(*(F.struct(F.lit(k).alias("name"), v.alias("rank")) for k, v in places.items())))
+    asked = settled(counts.select(*by, "n", listed.alias("x")).select(*by, "n", "x.*"))
+    found = asked.join(order_statistics(rows, by, value, asked), [*by, "rank"], "left")
+    wide = found.groupBy(*by, "n").agg(*(F.max(F.when(F.col("name") == k, F.col("value"))).alias(k) for k in places))
+    between = lambda x, y, share: F.col(x) + (F.coalesce(F.col(y), F.col(x)) - F.col(x)) * ((n - 1) * share - floor((n - 1) * share))
+    return wide.select(*by, between("a", "b", 0.025).alias("linear_low"), between("c", "d", 0.975).alias("linear_high"), "cut_low", "cut_high")
 
 
 def paired_sensitivity(predictions: DataFrame, chosen: Column, by: list[str], labels: DataFrame, selection: str) -> DataFrame:

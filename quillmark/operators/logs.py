@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmark.operators.ranks import positions
+
 
 def first_per_key(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key; later ones never replace it."""
@@ -38,15 +40,23 @@ def merge_logs(a: DataFrame, b: DataFrame, keys: list[str]) -> tuple[DataFrame,
     return both, both.groupBy(*keys).agg(F.count("*").alias("versions")).where("versions > 1")
 
 
+def merged(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of both logs, each once; an error that names a few of them if keys stand for different rows."""
+    both, conflicts = merge_logs(a, b, keys)
+    if named := conflicts.orderBy(*keys).limit(5).collect():
+        raise ValueError("the logs conflict on " + "; ".join(", ".join(f"{c}={r[c]}" for c in keys) for r in named))
+    return both
+
+
 def in_batches(rows: DataFrame, order: list[str], size: int, by: list[str] | None = None) -> DataFrame:
-    return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*(by or [])).orderBy(*order)) - 1) / size))
+    return positions(rows, order, by or [], "batch").withColumn("batch", F.floor((F.col("batch") - 1) / size))
 
 
 def round_robin(rows: DataFrame, cell: list[str], order: list[str], blocks: int = 4) -> DataFrame:
-    """rows with block: (number of the cell + place within it) modulo blocks, so that cells spread evenly."""
-    cells = rows.select(*cell).distinct().withColumn("__c", F.row_number().over(Window.orderBy(*cell)) - 1)
-    place = F.row_number().over(Window.partitionBy(*cell).orderBy(*order)) - 1
-    return rows.join(F.broadcast(cells), cell).withColumn("block", (F.col("__c") + place) % blocks).drop("__c")
+    """rows with block: (number of the cell + place within it) modulo blocks, so that cells spread evenly; a row with a null in its cell has none and is left out."""
+    cells = positions(rows.select(*cell).distinct(), cell, name="__c")
+    placed = positions(rows, order, cell, "__place").join(cells, cell)
+    return placed.withColumn("block", (F.col("__c") + F.col("__place") - 2) % blocks).drop("__c", "__place")
 
 
 def ledger(log: DataFrame, model: str, charge: str, settled: str) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quillmark.functions.passages import pack_parts
 from quillmark.operators import cohort, logs, metrics
+from quillmark.operators.ranks import packed
 from quillmark.plans._base import query
-from quillmark.sources.io import table
+from quillmark.sources.io import sorted_digest, table
 
 
 @query("SELECT doc_id, lang, source, rank FROM (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY sha256('20260922:' || doc_id)) AS rank FROM documents) WHERE rank <= 5")
@@ -230,9 +230,9 @@ def top_sources(spark, sf_dir):
 
 @query("SELECT sha256(string_agg(h, chr(10) ORDER BY h)) AS digest FROM (SELECT doc_id || ':' || sha256(text) AS h FROM documents)")
 def contract_hash(spark, sf_dir):
-    """One digest over the sorted id and text digests, as the contract prescribes: one row, made in one task."""
+    """One digest over the sorted id and text digests, as the contract prescribes."""
     line = F.concat_ws(":", "doc_id", F.sha2("text", 256))
-    return table(spark, sf_dir, "documents").select(line.alias("h")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256).alias("digest"))
+    return sorted_digest(table(spark, sf_dir, "documents").select(line.alias("h")), "h")
 
 
 @query("SELECT text_hash, copies FROM (SELECT sha256(text) AS text_hash, count(*) AS copies FROM documents GROUP BY text) WHERE copies > 1")
@@ -240,11 +240,13 @@ def duplicate_texts(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("text_hash")).agg(F.count("*").alias("copies")).where("copies > 1")
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k, coalesce(strlen(text), 0) AS bytes FROM documents WHERE lang IS NOT NULL),
+p(lang, k, part, used) AS (SELECT lang, 1::BIGINT, 0, bytes FROM d WHERE k = 1 UNION ALL SELECT p.lang, d.k, part + (used + d.bytes > 850000)::INT, CASE WHEN used + d.bytes > 850000 THEN d.bytes ELSE used + d.bytes END FROM p JOIN d ON d.lang = p.lang AND d.k = p.k + 1)
+SELECT d.doc_id, d.lang, d.bytes::BIGINT AS bytes, p.part FROM p JOIN d USING (lang, k)""")
 def packed_parts(spark, sf_dir):
     """Documents of each language in order, packed into parts of at most 850,000 bytes."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.octet_length("text").alias("bytes"))
-    return pack_parts(docs, ["lang"], ["doc_id"], "bytes")
+    docs = table(spark, sf_dir, "documents").where("lang is not null").select("doc_id", "lang", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"))
+    return packed(docs, ["lang"], ["doc_id"], "bytes")
 
 
 @query("SELECT event_type, date_trunc('day', ts) AS day, count(*) AS n FROM events GROUP BY ALL")

@@ -278,10 +278,10 @@ def report_lookup(spark, sf_dir):
     return evidence.looked_up(lines, cells, ["r", "s", "n", "y"], "total")
 
 
-@query("""WITH r AS (SELECT event_type, list_sort(list(value)) AS v, quantile_cont(value, 0.025) AS a, quantile_cont(value, 0.975) AS b FROM events WHERE user_id < 20 GROUP BY event_type)
+@query("""WITH r AS (SELECT event_type, list_sort(list(value)) AS v, quantile_cont(value, 0.025) AS a, quantile_cont(value, 0.975) AS b FROM events GROUP BY event_type)
 SELECT event_type, round(a, 6) AS linear_low, round(b, 6) AS linear_high, v[floor(len(v) * 0.025::DOUBLE)::INT + 1] AS cut_low, v[floor(len(v) * 0.975::DOUBLE)::INT] AS cut_high FROM r""")
 def replicate_bounds(spark, sf_dir):
-    rows = evidence.replicate_bounds(table(spark, sf_dir, "events").where("user_id < 20"), ["event_type"], "value")
+    rows = evidence.replicate_bounds(table(spark, sf_dir, "events"), ["event_type"], "value")
     return rows.withColumns({c: F.round(c, 6) for c in ("linear_low", "linear_high")})
 
 

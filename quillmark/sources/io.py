@@ -6,6 +6,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from hashlib import sha256
 from io import BytesIO
 
 import pyarrow as pa
@@ -174,3 +175,23 @@ def table_digest(df: DataFrame, *columns: str) -> DataFrame:
     row = F.sha2(F.concat_ws("\u001f", *(F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in columns or df.columns)), 256)
     buckets = df.select(row.alias("h")).groupBy(F.substring("h", 1, 4).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256).alias("h"))
     return buckets.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x.h), "\n"), 256).alias("digest"))
+
+
+def sorted_digest(df: DataFrame, column: str) -> DataFrame:
+    """One row, digest: SHA-256 over the values of a string column (nulls left out), sorted and joined by newlines.
+
+    Ranges of values are dealt out and sorted; one task then streams through them in order, holding the digest's state and
+    a batch, since such a digest cannot be put together from parts (table_digest can). No rows give null.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, some = sha256(), False
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                state.update((f"\n{value}" if some else value).encode())
+                some = True
+        yield pa.RecordBatch.from_arrays([pa.array([state.hexdigest() if some else None], pa.string())], ["digest"])
+
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    rows = df.select(column).where(F.col(column).isNotNull())
+    return rows.repartitionByRange(n, column).sortWithinPartitions(column).coalesce(1).mapInArrow(run, "digest string")
