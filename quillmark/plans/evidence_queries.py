@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillmark.functions import spans as S
 from quillmark.functions import text as T
 from quillmark.operators import evidence, qc
-from quillmark.plans._base import query
+from quillmark.plans._base import _COUNTS, query
 from quillmark.plans.text_queries import SENTENCES, WORD
 from quillmark.sources.io import table
 
@@ -285,58 +285,22 @@ def replicate_bounds(spark, sf_dir):
     return rows.withColumns({c: F.round(c, 6) for c in ("linear_low", "linear_high")})
 
 
-_GUESSED = """p AS (SELECT doc_id, lang AS author, source, CASE WHEN doc_id % 7 = 0 THEN 'en' ELSE lang END AS original, CASE WHEN doc_id % 3 = 0 THEN 'de' ELSE lang END AS rewrite, CASE WHEN doc_id % 4 = 0 THEN 'warning' ELSE 'pass' END AS qc_status, doc_id % 2 AS condition FROM documents),
-lab AS (SELECT DISTINCT lang AS author FROM documents WHERE lang IS NOT NULL)"""
-
-
-def _guessed(spark, sf_dir):
-    i, docs = F.col("doc_id"), table(spark, sf_dir, "documents")
-    rows = docs.select("doc_id", F.col("lang").alias("author"), "source", F.when(i % 7 == 0, "en").otherwise(F.col("lang")).alias("original"), F.when(i % 3 == 0, "de").otherwise(F.col("lang")).alias("rewrite"), F.when(i % 4 == 0, "warning").otherwise("pass").alias("qc_status"), (i % 2).alias("condition"))
-    return rows, docs.where("lang is not null").select(F.col("lang").alias("author")).distinct()
-
-
-def _sensitivity_sql(chosen: str, selection: str) -> str:
-    return f"""c AS (SELECT *, coalesce({chosen}, false) AS inside FROM s), n AS (SELECT condition, count(*) FILTER (inside) AS rows, count(*) FILTER (NOT inside) AS excluded, count(DISTINCT author) FILTER (inside) AS present FROM c GROUP BY ALL),
-each AS (SELECT n.condition, l.author, count(*) FILTER (c.author = l.author) AS own, count(*) FILTER (c.original = l.author) AS a, count(*) FILTER (c.rewrite = l.author) AS b, count(*) FILTER (c.author = l.author AND c.original = l.author) AS ta, count(*) FILTER (c.author = l.author AND c.rewrite = l.author) AS tb
-  FROM n CROSS JOIN lab l LEFT JOIN c ON c.condition = n.condition AND inside GROUP BY ALL),
-f AS (SELECT condition, avg(CASE WHEN own + a > 0 THEN 2.0::DOUBLE * ta / (own + a) ELSE 0 END) AS x, avg(CASE WHEN own + b > 0 THEN 2.0::DOUBLE * tb / (own + b) ELSE 0 END) AS y FROM each GROUP BY ALL)
-SELECT condition, '{selection}' AS selection, rows, excluded, CASE WHEN present = k THEN 'estimable' ELSE 'not_estimable' END AS status, CASE WHEN present = k THEN round(x, 6) END AS original_macro_f1, CASE WHEN present = k THEN round(y, 6) END AS rewrite_macro_f1, CASE WHEN present = k THEN round(x - y, 6) END AS macro_f1_loss
-FROM n JOIN f USING (condition) CROSS JOIN (SELECT count(*) AS k FROM lab)"""
-
-
-def _figures(df):
-    return df.withColumns({c: F.round(c, 6) for c in ("original_macro_f1", "rewrite_macro_f1", "macro_f1_loss")})
-
-
-@query(f"WITH {_GUESSED}, s AS (SELECT p.*, quality + toxic AS risk FROM p JOIN labels l ON l.doc_id = p.doc_id), {_sensitivity_sql('risk = 0 OR risk = 1', 'without_risk')}")
-def semantic_sensitivity(spark, sf_dir):
-    """Loss over the audited pairs that no reviewer holds for risky; not estimable once an author is gone."""
-    rows, labels = _guessed(spark, sf_dir)
-    audited = rows.join(table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") + F.col("toxic")).alias("risk")), "doc_id")
-    return _figures(evidence.paired_sensitivity(audited, F.col("risk") <= 1, ["condition"], labels, "without_risk"))
-
-
-@query(f"WITH {_GUESSED}, s AS (SELECT * FROM p), {_sensitivity_sql(chr(113) + 'c_status = ' + chr(39) + 'pass' + chr(39) + ' AND (condition = 0 OR author <> ' + chr(39) + 'fr' + chr(39) + ')', 'warning_free')}")
-def warning_free_sensitivity(spark, sf_dir):
-    rows, labels = _guessed(spark, sf_dir)
-    chosen = (F.col("qc_status") == "pass") & ((F.col("condition") == 0) | (F.col("author") != "fr"))
-    return _figures(evidence.paired_sensitivity(rows, chosen, ["condition"], labels, "warning_free"))
-
-
-@query(f"""WITH t AS (SELECT doc_id, text, regexp_extract_all(lower(text), '{WORD}') AS tok, {SENTENCES} AS s FROM documents), f AS (SELECT *, len(tok)::DOUBLE AS n, len(s)::DOUBLE AS k FROM t)
+@query(f"""WITH t AS (SELECT doc_id, text, regexp_extract_all(lower(text), '{WORD}') AS tok, {SENTENCES} AS s, string_split(text, '') AS ch FROM documents), f AS (SELECT *, len(tok)::DOUBLE AS n, len(s)::DOUBLE AS k FROM t)
 SELECT doc_id, n::BIGINT AS word_count, k::BIGINT AS sentence_count, round(CASE WHEN k > 0 THEN list_sum(s) / k ELSE 0 END, 3) AS mean_sentence_words, round(CASE WHEN k > 0 THEN len(list_filter(s, lambda x: x >= 40)) / k ELSE 0 END, 6) AS long_sentence_ratio,
 round(CASE WHEN n > 0 THEN len(regexp_extract_all(text, {_ANY})) * 1000.0 / n ELSE 0 END, 3) AS punctuation_per_1000w, round(CASE WHEN n > 0 THEN (length(text) - length(replace(text, ';', ''))) * 1000.0 / n ELSE 0 END, 3) AS semicolon_per_1000w, len(regexp_extract_all(text, '["“”‘’]'))::BIGINT AS dialogue_marker_count,
 round(CASE WHEN n > 0 THEN (length(text) - length(replace(replace(text, chr(39), ''), '’', ''))) * 1000.0 / n ELSE 0 END, 3) AS apostrophe_per_1000w, round(CASE WHEN n > 0 THEN len(regexp_extract_all(text, '["“”‘’]')) * 1000.0 / n ELSE 0 END, 3) AS dialogue_marker_per_1000w,
+round(CASE WHEN n > 0 THEN {_COUNTS['dash']} * 1000.0 / n ELSE 0 END, 3) AS dash_per_1000w,
 len(list_filter(regexp_split_to_array(trim(text, e' \\t\\n\\r'), '\\n\\s*\\n'), lambda x: trim(x) <> ''))::BIGINT AS paragraph_count FROM f""")
 def passage_measures(spark, sf_dir):
-    """Ten of the eleven measures of a candidate passage (no dash stands in the tables)."""
+    """The eleven measures of a candidate passage."""
     t = table(spark, sf_dir, "documents").select("doc_id", "text", T.words(F.lower("text")).alias("tokens"), T.sentence_lengths(F.col("text")).alias("lens"))
     made = S.passage_metrics(F.col("text"), F.col("tokens"), F.col("lens"))
-    return t.select("doc_id", *(v.alias(k) for k, v in made.items() if k != "dash_per_1000w"))
+    return t.select("doc_id", *(v.alias(k) for k, v in made.items()))
 
 
-@query(f"""WITH t AS (SELECT doc_id, text, regexp_extract_all(lower(text), '{WORD}') AS tok, {SENTENCES} AS s FROM documents), f AS (SELECT *, len(tok)::DOUBLE AS n, len(s)::DOUBLE AS k FROM t)
+@query(f"""WITH t AS (SELECT doc_id, text, regexp_extract_all(lower(text), '{WORD}') AS tok, {SENTENCES} AS s, string_split(text, '') AS ch FROM documents), f AS (SELECT *, len(tok)::DOUBLE AS n, len(s)::DOUBLE AS k FROM t)
 SELECT doc_id, n::BIGINT AS word_count, k::BIGINT AS sentence_count, round(CASE WHEN k > 0 THEN list_sum(s) / k ELSE 0 END, 3) AS mean_sentence_words, round(CASE WHEN k > 0 THEN list_median(s) ELSE 0 END, 3) AS median_sentence_words, round(CASE WHEN k > 1 THEN list_stddev_pop(s) ELSE 0 END, 3) AS std_sentence_words,
+round(CASE WHEN k > 0 THEN len(list_filter(s, lambda x: x >= 40)) / k ELSE 0 END, 6) AS long_sentence_ratio, round(CASE WHEN n > 0 THEN {_COUNTS['punctuation']} * 1000.0 / n ELSE 0 END, 3) AS punctuation_per_1000w, round(CASE WHEN n > 0 THEN {_COUNTS['semicolon']} * 1000.0 / n ELSE 0 END, 3) AS semicolon_per_1000w, round(CASE WHEN n > 0 THEN {_COUNTS['dash']} * 1000.0 / n ELSE 0 END, 3) AS dash_per_1000w, round(CASE WHEN n > 0 THEN {_COUNTS['quote_mark']} * 1000.0 / n ELSE 0 END, 3) AS quote_mark_per_1000w, round(CASE WHEN n > 0 THEN {_COUNTS['apostrophe']} * 1000.0 / n ELSE 0 END, 3) AS apostrophe_per_1000w, round(CASE WHEN n > 0 THEN {_COUNTS['ellipsis']} * 1000.0 / n ELSE 0 END, 3) AS ellipsis_per_1000w,
 round(CASE WHEN k > 0 THEN len(list_filter(s, lambda x: x <= 10)) / k ELSE 0 END, 6) AS short_sentence_ratio, round(CASE WHEN n > 0 THEN (length(text) - length(replace(text, ',', ''))) * 1000.0 / n ELSE 0 END, 3) AS comma_per_1000w,
 round(CASE WHEN n > 0 THEN (length(text) - length(replace(text, ':', ''))) * 1000.0 / n ELSE 0 END, 3) AS colon_per_1000w, round(CASE WHEN n > 0 THEN (length(text) - length(replace(text, '?', ''))) * 1000.0 / n ELSE 0 END, 3) AS question_per_1000w, round(CASE WHEN n > 0 THEN (length(text) - length(replace(text, '!', ''))) * 1000.0 / n ELSE 0 END, 3) AS exclamation_per_1000w,
 round(CASE WHEN n > 0 THEN len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+[’''][\\p{{L}}\\p{{N}}_]+')) * 1000.0 / n ELSE 0 END, 3) AS contraction_per_1000w,
@@ -345,16 +309,15 @@ round(CASE WHEN n > 0 THEN len(list_filter(regexp_extract_all(lower(text), '[\\p
 def validation_measures(spark, sf_dir):
     t = table(spark, sf_dir, "documents").select("doc_id", "text", T.words(F.lower("text")).alias("tokens"), T.sentence_lengths(F.col("text")).alias("lens"))
     made = S.validation_metrics(F.col("text"), F.col("tokens"), F.col("lens"))
-    named = ("word_count", "sentence_count", "mean_sentence_words", "median_sentence_words", "std_sentence_words", "short_sentence_ratio", *(f"{k}_per_1000w" for k in ("comma", "colon", "question", "exclamation", "contraction", "abstract_suffix", "archaic_marker")))
-    return t.select("doc_id", *(made[k].alias(k) for k in named))
+    return t.select("doc_id", *(v.alias(k) for k, v in made.items()))
 
 
 @query(f"""WITH a AS (SELECT doc_id, text, (length(text) // 3)::INT AS x, (length(text) // 2)::INT AS y FROM documents)
-SELECT doc_id, sha256(substring(text, greatest(x - 40, 0) + 1, x - greatest(x - 40, 0))) AS before, sha256(substring(text, x + 1, y - x)) AS span, sha256(substring(text, y + 1, 40)) AS after, len(regexp_extract_all(substring(text, 1, x), '{WORD}'))::BIGINT AS words_before FROM a WHERE x < y""")
+SELECT doc_id, sha256(substring(text, greatest(x - 2500, 0) + 1, x - greatest(x - 2500, 0))) AS before, sha256(substring(text, x + 1, y - x)) AS span, sha256(substring(text, y + 1, 2500)) AS after, len(regexp_extract_all(substring(text, 1, x), '{WORD}'))::BIGINT AS words_before FROM a WHERE x < y""")
 def contexts(spark, sf_dir):
-    """What stands within 40 characters of a span, and how many words begin before it."""
+    """What stands within 2,500 characters of a span, and how many words begin before it."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.floor(F.length("text") / 3).cast("int").alias("x"), F.floor(F.length("text") / 2).cast("int").alias("y"))
-    rows = rows.select("doc_id", S.context(F.col("text"), F.col("x"), F.col("y"), 40).alias("c"), S.word_index(F.col("text"), F.col("x")).cast("long").alias("words_before"))
+    rows = rows.select("doc_id", S.context(F.col("text"), F.col("x"), F.col("y"), 2500).alias("c"), S.word_index(F.col("text"), F.col("x")).cast("long").alias("words_before"))
     return rows.where("c is not null").select("doc_id", *(F.sha2(f"c.{k}", 256).alias(k) for k in ("before", "span", "after")), "words_before")
 
 

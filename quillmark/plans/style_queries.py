@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
-from quillmark.operators import geometry, inference, mapping, metrics, models, sparse, style
-from quillmark.plans._base import CENTROID_SQL, CONDITIONS, FOLDED_SQL, LABELS_SQL, MEASURED_ALL_SQL, PASSAGES_SQL, Z_ALL_SQL, Z_SQL, folded, matrix, measured, named, passages, query, scores_sql, standard
+from quillmark.operators import evidence, geometry, inference, mapping, metrics, models, qc, sparse, style
+from quillmark.plans._base import CENTROID_SQL, CONDITIONS, FOLDED_SQL, LABELS_SQL, MEASURED_ALL_SQL, PASSAGES_SQL, Z_ALL_SQL, Z_SQL, conditioned, folded, matrix, measured, named, passages, query, scores_sql, standard
+from quillmark.plans.text_queries import WORD
 from quillmark.sources.io import settled, table
 
 KEYS = ["doc_id", "work"]
@@ -324,6 +325,58 @@ def weighted_bootstrap(spark, sf_dir):
     return inference.interval(inference.weighted_f1(rows, weights, ["condition"], _labels(rows).count()), ["condition"], "macro_f1")
 
 
+_PAIRED_SQL = "q AS (SELECT b.doc_id, b.author, b.condition, a.predicted AS original, b.predicted AS rewrite FROM pred b JOIN pred a ON a.doc_id = b.doc_id AND a.condition = 'original' WHERE b.condition <> 'original')"
+
+
+def _paired(spark, sf_dir):
+    """The held-out predictions of each passage as it is and under each other condition, and the authors."""
+    rows = _by_condition(spark, sf_dir)
+    base = rows.where("condition = 'original'").select("doc_id", F.col("predicted").alias("original"))
+    return rows.where("condition <> 'original'").join(base, "doc_id").withColumnRenamed("predicted", "rewrite"), _labels(rows)
+
+
+def _sensitivity_sql(source: str, chosen: str, selection: str) -> str:
+    """The figures of source's rows, of those where chosen holds."""
+    return f"""SELECT condition, '{selection}' AS selection, rows, excluded, CASE WHEN present = k THEN 'estimable' ELSE 'not_estimable' END AS status, CASE WHEN present = k THEN round(x, 6) END AS original_macro_f1, CASE WHEN present = k THEN round(y, 6) END AS rewrite_macro_f1, CASE WHEN present = k THEN round(x - y, 6) END AS macro_f1_loss
+FROM (SELECT condition, count(*) FILTER ({chosen}) AS rows, count(*) FILTER (NOT ({chosen})) AS excluded, count(DISTINCT author) FILTER ({chosen}) AS present FROM {source} GROUP BY ALL)
+JOIN (SELECT condition, avg(CASE WHEN own + a > 0 THEN 2.0::DOUBLE * ta / (own + a) ELSE 0 END) AS x, avg(CASE WHEN own + b > 0 THEN 2.0::DOUBLE * tb / (own + b) ELSE 0 END) AS y FROM (
+  SELECT n.condition, l.author, count(*) FILTER (c.author = l.author) AS own, count(*) FILTER (c.original = l.author) AS a, count(*) FILTER (c.rewrite = l.author) AS b, count(*) FILTER (c.author = l.author AND c.original = l.author) AS ta, count(*) FILTER (c.author = l.author AND c.rewrite = l.author) AS tb
+  FROM (SELECT DISTINCT condition FROM {source}) n CROSS JOIN labels l LEFT JOIN (SELECT * FROM {source} WHERE {chosen}) c ON c.condition = n.condition GROUP BY ALL) GROUP BY condition) USING (condition) CROSS JOIN (SELECT count(*) AS k FROM labels)"""
+
+
+def _figures(df):
+    return _rounded(df, "original_macro_f1", "rewrite_macro_f1", "macro_f1_loss")
+
+
+_AUDITED_SQL = f"{Z_ALL_SQL.replace('WITH ', 'WITH audited AS (SELECT doc_id, toxic FROM labels), ', 1)}, {CENTROID_SQL}, {_PAIRED_SQL}, sn AS MATERIALIZED (SELECT q.*, toxic AS risk FROM q JOIN audited USING (doc_id))"
+
+
+@query(f"{_AUDITED_SQL} {_sensitivity_sql('sn', 'true', 'all_audited_pairs')} UNION ALL {_sensitivity_sql('sn', 'risk = 0', 'without_risk')}")
+def semantic_sensitivity(spark, sf_dir):
+    """Loss of the held-out predictions over the audited pairs, all and those that no reviewer holds for risky; not estimable once an author is gone."""
+    rows, labels = _paired(spark, sf_dir)
+    audited = settled(rows.join(table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("risk")), "doc_id"))
+    every = evidence.paired_sensitivity(audited, F.lit(True), ["condition"], labels, "all_audited_pairs")
+    return _figures(every.unionByName(evidence.paired_sensitivity(audited, F.col("risk") == 0, ["condition"], labels, "without_risk")))
+
+
+#: What must not stand in a rewrite.
+LEAKED = "as an ai|here is the"
+_QC_SQL = rf"""qcs AS (SELECT v.doc_id, v.condition, CASE WHEN trim(v.text) = '' OR regexp_matches(v.text, '(?i){LEAKED}') OR regexp_matches(v.text, '(?m)^\s*(?:[-*#]|[0-9]+\.)\s') THEN 'fail'
+  WHEN n > 0 AND (m / n < 0.85 OR m / n > 1.15) OR len(list_filter(regexp_split_to_array(trim(regexp_replace(v.text, '\s+', ' ', 'g')), '[.!?]+'), lambda x: trim(x) <> '')) < 3 THEN 'warning' ELSE 'pass' END AS qc_status
+  FROM v JOIN (SELECT a.doc_id, b.condition, len(regexp_extract_all(a.text, '{{}}'))::DOUBLE AS n, len(regexp_extract_all(b.text, '{{}}'))::DOUBLE AS m FROM v a JOIN v b USING (doc_id) WHERE a.condition = 'original') USING (doc_id, condition))""".replace("{}", WORD)
+
+
+@query(f"{Z_ALL_SQL}, {CENTROID_SQL}, {_PAIRED_SQL}, {_QC_SQL}, sn AS MATERIALIZED (SELECT q.*, qc_status FROM q JOIN qcs USING (doc_id, condition)) {_sensitivity_sql('sn', chr(113) + 'c_status = ' + chr(39) + 'pass' + chr(39), 'warning_free')}")
+def warning_free_sensitivity(spark, sf_dir):
+    """Loss of the held-out predictions over the pairs whose rewriting the simple rules find nothing against."""
+    rows, labels = _paired(spark, sf_dir)
+    texts = passages(spark, sf_dir)
+    pairs = conditioned(texts).where("condition <> 'original'").withColumnRenamed("text", "rewritten").join(texts.select("doc_id", F.col("text").alias("original")), "doc_id")
+    judged = qc.rewrite_qc_simple(pairs, list(CONDITIONS), LEAKED).select("doc_id", "condition", "qc_status")
+    return _figures(evidence.paired_sensitivity(settled(rows.join(judged, ["doc_id", "condition"])), F.col("qc_status") == "pass", ["condition"], labels, "warning_free"))
+
+
 _E = """WITH e AS (SELECT vec_id, label, (vec_id % 3)::INT AS fold, unnest(embedding)::DOUBLE AS z, generate_subscripts(embedding, 1) AS feature FROM embeddings),
 c AS (SELECT k AS outer_fold, label AS candidate, feature, avg(z) AS centre FROM e CROSS JOIN range(3) r(k) WHERE fold <> k GROUP BY ALL),
 a AS (SELECT vec_id, label, candidate, round(sum(power(z - centre, 2)), 6) AS d FROM e JOIN c ON c.outer_fold = e.fold AND c.feature = e.feature GROUP BY ALL)"""
@@ -358,6 +411,17 @@ def tfidf_trigrams(spark, sf_dir):
     return weights.groupBy("doc_id").agg(F.count("*").alias("grams"), F.round(F.sum("weight"), 5).alias("total"), F.round(F.max("weight"), 6).alias("heaviest"))
 
 
+@query(f"""WITH {PASSAGES_SQL}, f AS (SELECT doc_id, fold, string_split({_GRAM}, '') AS c FROM p JOIN folds USING (work)),
+gr AS (SELECT doc_id, fold, unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) AS gram FROM f UNION ALL SELECT doc_id, fold, unnest(list_transform(range(1, len(c) - 2), lambda i: c[i] || c[i + 1] || c[i + 2] || c[i + 3])) AS gram FROM f UNION ALL SELECT doc_id, fold, unnest(list_transform(range(1, len(c) - 3), lambda i: c[i] || c[i + 1] || c[i + 2] || c[i + 3] || c[i + 4])) AS gram FROM f),
+tf AS (SELECT doc_id, fold, gram, count(*) AS tf FROM gr GROUP BY ALL), df AS (SELECT k AS outer_, gram, count(*) AS df, sum(tf) AS total FROM tf CROSS JOIN range(3) r(k) WHERE fold <> k GROUP BY ALL HAVING count(*) >= 2),
+n AS (SELECT k AS outer_, count(*) AS n FROM f CROSS JOIN range(3) r(k) WHERE fold <> k GROUP BY ALL)
+SELECT outer_::INT AS outer, gram, df, round(ln((1 + n)::DOUBLE / (1 + df)) + 1, 6) AS idf FROM df JOIN n USING (outer_) QUALIFY row_number() OVER (PARTITION BY outer_ ORDER BY total DESC, gram) <= 30000""")
+def ngram_vocabularies(spark, sf_dir):
+    """The 3- to 5-grams of each outer fold's training texts, with what each weighs."""
+    texts = folded(spark, sf_dir).withColumn("group", F.lit("original"))
+    return sparse.vocabulary_table(texts, 3).select("outer", "gram", "df", F.round("idf", 6).alias("idf"))
+
+
 @query(f"""{MEASURED_ALL_SQL} SELECT condition, feature, count(*) AS rows, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd FROM x GROUP BY ALL""")
 def feature_summary(spark, sf_dir):
     return _rounded(measured(spark, sf_dir, True).groupBy("condition", "feature").agg(F.count("*").alias("rows"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd")), "mean", "sd")
