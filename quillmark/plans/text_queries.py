@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import passages as P
 from quillmark.functions import text as T
-from quillmark.operators import qc, style
+from quillmark.operators import locate, qc, style
 from quillmark.plans._base import query
 from quillmark.sources.io import table, text_digest
 
@@ -150,14 +150,22 @@ def secret_scan(spark, sf_dir):
 
 @query("SELECT item_id, count(doc_id) AS documents, min(doc_id) AS first_document, min(instr(d.text, b.text))::BIGINT AS first_place FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY item_id")
 def exact_text_location(spark, sf_dir):
-    """Where each (stated, bounded) query text stands verbatim, against all documents."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
-    held = F.broadcast(items) if items.limit(10_001).count() <= 10_000 else items
-    found = _docs(spark, sf_dir).join(held, F.col("text").contains(F.col("item"))).select("item_id", "doc_id", F.instr("text", F.col("item")).cast("long").alias("at"))
+    """Where each item stands verbatim, against all documents."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    found = locate.first_places(_docs(spark, sf_dir), items, "doc_id", "item_id")
     hits = found.groupBy("item_id").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_document"), F.min("at").alias("first_place"))
     return items.select("item_id").join(hits, "item_id", "left").fillna(0, ["documents"])
 
 
+@query("""SELECT item_id, min(doc_id) AS doc_id, arg_min(instr(d.text, b.text), doc_id)::BIGINT AS at, CASE WHEN min(doc_id) IS NULL OR any_value(length(b.text)) < 200 THEN 'exclude_or_review' ELSE 'eligible_body' END AS disposition,
+  CASE WHEN min(doc_id) IS NULL THEN 'no_exact_match_in_archived_edition' WHEN any_value(length(b.text)) < 200 THEN 'under_200_characters' ELSE 'exact_source_match_within_verified_work_body' END AS reason FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY item_id""")
+def text_location_audit(spark, sf_dir):
+    """Whether each item may be used: where it first stands, and what speaks against it."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    places = locate.first_places(_docs(spark, sf_dir), items, "doc_id", "item_id")
+    return locate.audited(items, places, "item_id", "doc_id", qc.flags_of({"under_200_characters": F.length("text") < 200}))
+
+
 @query()
 def passage_windows(spark, sf_dir):
     """Windows of 450 to 650 words on guarded sentence ends: a scan with state, held by tests to its invariants."""

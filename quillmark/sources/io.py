@@ -22,6 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_top(spark: SparkSession) -> str:
+    """The folder that the driver and all tasks share: spark.checkpoint.dir; where that is unset, a temporary folder if all runs in one process, and else an error."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="quillmark-")
+        spark.sparkContext.setCheckpointDir(top)
+    return top
+
+
 def settled(df: DataFrame, block: int | None = None) -> DataFrame:
     """df, computed once and kept as Parquet below spark.checkpoint.dir; where that is unset, in a temporary folder if all runs in one process, and else an error.
 
@@ -29,12 +40,7 @@ def settled(df: DataFrame, block: int | None = None) -> DataFrame:
     block is how many bytes make a row group, which is the least that one task reads: small for rows that take long.
     """
     spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not top:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        top = "file://" + tempfile.mkdtemp(prefix="quillmark-")
-        spark.sparkContext.setCheckpointDir(top)
+    top = shared_top(spark)
     path = f"{top.rstrip('/')}/settled-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     writer = df.write if block is None else df.write.option("parquet.block.size", block)
     writer.parquet(path)
