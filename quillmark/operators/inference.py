@@ -148,23 +148,39 @@ def bootstrap_weights(passages: DataFrame, replicates: int, seed: int = 20260922
     return recipe.mapInArrow(run, f"replicate long, doc_id {kind}, weight long")
 
 
-def summed_arrays(parts: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """keys and the sums, element by element, of the arrays of column; a task holds one array a key at a time."""
+def halves(values: np.ndarray) -> np.ndarray:
+    """Extended doubles as the nearest doubles, and after them what these leave."""
+    high = values.astype(float)
+    return np.concatenate([high, (values - high).astype(float)])
+
+
+def whole(values: np.ndarray) -> np.ndarray:
+    """What halves took apart."""
+    high, low = np.split(np.asarray(values), 2)
+    return high.astype(np.longdouble) + low
+
+
+def summed_arrays(parts: DataFrame, keys: list[str], column: str, extended: bool = False) -> DataFrame:
+    """keys and the sums, element by element, of the arrays of column; a task holds one array a key at a time.
+
+    extended: the arrays are halves, and so are the sums, which then hardly depend on the order of their parts.
+    """
     fields = ", ".join(f"`{c}` {t}" for c, t in parts.select(*keys, column).dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = whole = None
-        out = lambda: pa.RecordBatch.from_arrays([*(c.slice(0, 1) for c in now.columns[:-1]), pa.array([whole], now.schema.field(column).type)], schema=now.schema)
+        now = total = None
+        out = lambda: pa.RecordBatch.from_arrays([*(c.slice(0, 1) for c in now.columns[:-1]), pa.array([halves(total) if extended else total], now.schema.field(column).type)], schema=now.schema)
         for batch in batches:
             named = list(zip(*(batch.column(k).to_pylist() for k in keys))) if keys else [()] * batch.num_rows
             for i, key in enumerate(named):
                 values = np.asarray(batch.column(column)[i].values)
+                values = whole(values) if extended else values
                 if now is not None and key == held:
-                    whole = whole + values
+                    total = total + values
                 else:
                     if now is not None:
                         yield out()
-                    now, whole, held = batch.slice(i, 1), values, key
+                    now, total, held = batch.slice(i, 1), values, key
         if now is not None:
             yield out()
 

@@ -9,8 +9,6 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +16,7 @@ from quillmark.functions import measures as M
 from quillmark.functions import passages as P
 from quillmark.functions import text as T
 from quillmark.operators import metrics, style
+from quillmark.operators.inference import halves, summed_arrays, whole
 from quillmark.sources.io import settled
 
 
@@ -110,11 +109,45 @@ def measured_views(views: DataFrame, panels: tuple[Panel, ...] = PANELS, size: i
     return Measured(settled(rows.select("panel", *KEYS, "domain", F.concat("base", "rates").alias("values"))), grams, vocabulary)
 
 
+CELL = ["panel", "fold", "domain", "author"]
+
+
 def cell_moments(measured: Measured) -> DataFrame:
-    """panel, fold, domain, author, n, mean and square (sum of squared distances from the mean) of the values: all that models need, in one pass."""
-    seen = measured.rows.groupBy("panel", "fold", "domain", "author").agg(Summarizer.metrics("mean", "variance", "count").summary(array_to_vector("values")).alias("s"))
-    n = F.col("s.count")
-    return seen.select("panel", "fold", "domain", "author", n.alias("n"), vector_to_array("s.mean").alias("mean"), F.transform(vector_to_array("s.variance"), lambda v: v * (n - 1)).alias("square"))
+    """CELL, n, mean and square (sum of squared distances from the mean) of the values: all that models need, in one pass.
+
+    Sums are extended doubles, taken apart into two where they are dealt, so that a refit over other partitions gives the
+    same moments but for the last place.
+    """
+    kept = measured.rows.select(*CELL, "values")
+    kinds = ", ".join(f"{c} {t}" for c, t in kept.dtypes if c != "values")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        types = None
+        for batch in batches:
+            types = [batch.schema.field(c).type for c in CELL]
+            named = list(zip(*(batch.column(c).to_pylist() for c in CELL)))
+            values = np.asarray(batch.column("values").flatten()).reshape(len(named), -1).astype(np.longdouble) if named else ()
+            for key, x in zip(named, values):
+                line = np.concatenate([np.ones(1, np.longdouble), x, x * x])
+                sums[key] = sums[key] + line if key in sums else line
+        if sums:
+            yield pa.RecordBatch.from_arrays([*(pa.array(list(k), t) for k, t in zip(zip(*sums), types)), pa.array([halves(v) for v in sums.values()], pa.list_(pa.float64()))], [*CELL, "sums"])
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, mean, square = [], [], []
+            for row in batch.column("sums"):
+                line = whole(row.values)
+                first, second = np.split(line[1:], 2)
+                n.append(int(line[0]))
+                mean.append((first / line[0]).astype(float))
+                square.append(np.maximum(second - first * first / line[0], 0).astype(float))
+            doubles = pa.list_(pa.float64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in CELL), pa.array(n, pa.int64()), pa.array(mean, doubles), pa.array(square, doubles)], [*CELL, "n", "mean", "square"])
+
+    parts = kept.mapInArrow(run, f"{kinds}, sums array<double>")
+    return summed_arrays(parts, CELL, "sums", extended=True).mapInArrow(moments, f"{kinds}, n long, mean array<double>, square array<double>")
 
 
 def pooled(n: np.ndarray, mean: np.ndarray, square: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
@@ -224,3 +257,63 @@ def cell_scores(predictions: DataFrame, labels: DataFrame) -> DataFrame:
     """panel, pipeline, train_domain, test_domain, n, accuracy and macro_f1 of each cell."""
     by = ["panel", "pipeline", "train_domain", "test_domain"]
     return metrics.scores(predictions, by, labels).select(*by, "n", "accuracy", "macro_f1")
+
+
+STATE = ["panel", "outer", "kind", "name"]
+
+
+def fit_state(views: DataFrame, measured: Measured, models: DataFrame) -> DataFrame:
+    """STATE and value: what each panel's and outer fold's models were fitted on, a row an entry.
+
+    kind: mean and scale of each kept feature (name), training_text (doc_id and digest of each base view in training) and
+    sample_count. Rows say all that predictions depend on but the centres, which follow from them; their order and
+    partitions mean nothing, so that a digest of the table is a digest of the fit.
+    """
+    names = [*style.BASE, *(f"char3::{g}" for g in measured.grams)]
+    one = models.groupBy("panel", "outer").agg(F.any_value("shift").alias("shift"), F.any_value("scale").alias("scale"))
+    listed = F.explode(F.arrays_zip(F.array(*map(F.lit, names)).alias("name"), "shift", "scale"))
+    kept = one.select("panel", "outer", listed.alias("x")).where("x.scale > 0").select("panel", "outer", "x.*")
+    scaled = kept.select("panel", "outer", F.explode(F.array(F.struct(F.lit("mean").alias("kind"), F.col("shift").alias("value")), F.struct(F.lit("scale").alias("kind"), (1 / F.col("scale")).alias("value")))).alias("x"), "name").select("panel", "outer", "x.kind", "name", "x.value")
+    base = views.where(F.col("domain") == BASE_DOMAIN).join(one.select("panel").distinct(), "panel", "left_semi")
+    training = base.withColumn("outer", F.explode(F.array(*map(F.lit, range(FOLDS))))).where("outer <> fold")
+    texts = training.select("panel", "outer", F.lit("training_text").alias("kind"), F.concat_ws(":", "doc_id", F.sha2("text", 256)).alias("name"), F.lit(None).cast("double").alias("value"))
+    counts = training.groupBy("panel", "outer").agg(F.count("*").cast("double").alias("value")).select("panel", "outer", F.lit("sample_count").alias("kind"), F.lit("").alias("name"), "value")
+    return scaled.unionByName(texts).unionByName(counts)
+
+
+def _places(values: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of doubles, one apart where doubles are neighbours; both zeros are 0."""
+    bits = values.view(np.int64)
+    return np.where(bits < 0, np.int64(-(2**63)) - bits, bits)
+
+
+def changed_state(stored: DataFrame, again: DataFrame, ulps: int = 8) -> DataFrame:
+    """STATE, problem and ulps of the entries of two fits that don't agree: missing (from again), unexpected, or differs.
+
+    Values may lie so many doubles apart (null and NaN only equal themselves), since sums depend on how rows were dealt.
+    No rows: it is the same fit.
+    """
+    a = stored.select(*STATE, F.col("value").alias("a"), F.lit(True).alias("in_a"))
+    b = again.select(*(F.col(c).alias(f"__{c}") for c in STATE), F.col("value").alias("b"), F.lit(True).alias("in_b"))
+    same = F.lit(True)
+    for c in STATE:
+        same &= F.col(c).eqNullSafe(F.col(f"__{c}"))
+    both = a.join(b, same, "full_outer").select(*(F.when(F.col("in_a"), F.col(c)).otherwise(F.col(f"__{c}")).alias(c) for c in STATE), "a", "b", "in_a", "in_b")
+    kinds = dict(both.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(c) for c in "ab")
+            known = np.asarray(x.is_valid()) & np.asarray(y.is_valid())
+            p, q = (np.asarray(v.fill_null(0.0).to_numpy(zero_copy_only=False), float) for v in (x, y))
+            apart = np.abs(_places(p).astype(object) - _places(q).astype(object))
+            nan = np.isnan(p) | np.isnan(q)
+            fine = np.where(nan, np.isnan(p) & np.isnan(q), apart <= ulps) & known | ~np.asarray(x.is_valid()) & ~np.asarray(y.is_valid())
+            here, there = (np.asarray(batch.column(c).fill_null(False)) for c in ("in_a", "in_b"))
+            problem = np.where(~here, "unexpected", np.where(~there, "missing", np.where(fine, "", "differs")))
+            keep = np.flatnonzero(problem != "")
+            rows = batch.take(pa.array(keep))
+            steps = [min(int(apart[k]), 2**63 - 1) if problem[k] == "differs" and known[k] and not nan[k] else None for k in keep]
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in STATE), pa.array(problem[keep].tolist(), pa.string()), pa.array(steps, pa.int64())], [*STATE, "problem", "ulps"])
+
+    return both.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in STATE) + ", problem string, ulps long")

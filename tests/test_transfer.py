@@ -11,6 +11,7 @@ from quillmark.functions import passages as P
 from quillmark.operators import mapping, models, sparse, transfer
 from quillmark.operators.evidence import transfer_contrasts
 from quillmark.operators.inference import tree_counts
+from quillmark.sources.io import settled, table_digest
 
 RNG = np.random.default_rng(11)
 WORDS = {a: [f"{a}{w}" for w in ("lo", "mi", "nar", "tes", "vu", "ko")] + ["the", "and", "of"] for a in ("ba", "do", "ri")}
@@ -149,3 +150,29 @@ def test_intervals_equal_those_of_explicitly_drawn_works(spark):
             spread[r, b] = chosen.var(axis=0).sum() / own[0].features
     found = {r.component: r for r in mapping.dispersion_intervals(held, n, block=7).collect()}
     assert [found["between_rewrite"].ci_low, found["between_rewrite"].ci_high] == pytest.approx(np.quantile(spread.mean(axis=0), [0.025, 0.975]))
+
+
+def state(spark, rows, partitions):
+    panels = (transfer.Panel("all", 0, 0, "full"),)
+    views = transfer.panel_views(texts(spark, rows=rows).repartition(partitions), panels)
+    measured = transfer.measured_views(views, panels)
+    return transfer.fit_state(views, measured, transfer.fold_models(transfer.cell_moments(measured), measured))
+
+
+def test_a_refit_is_the_same_and_a_changed_fit_is_named(spark):
+    first, again = (settled(state(spark, TOY, n)) for n in (1, 6))
+    assert transfer.changed_state(first, again).collect() == [] and {r.kind for r in first.select("kind").distinct().collect()} == {"mean", "scale", "training_text", "sample_count"}
+    assert table_digest(first.where("kind = 'training_text'")).first() == table_digest(again.where("kind = 'training_text'")).first()
+    other = state(spark, [(*TOY[0][:4], TOY[0][4] + " the the"), *TOY[1:]], 2)
+    problems = transfer.changed_state(first, other).collect()
+    assert {r.outer for r in problems} == {1, 2} and {r.problem for r in problems if r.kind == "training_text"} == {"missing", "unexpected"}
+    assert ("mean", "fw_the_per_1000w") in {(r.kind, r.name) for r in problems if r.problem == "differs"}
+
+
+def test_values_are_compared_in_units_of_the_last_place(spark):
+    far = 1.0
+    for _ in range(9):
+        far = float(np.nextafter(far, 2))
+    values = [("same", 1.0, 1.0), ("near", 1.0, float(np.nextafter(1.0, 2))), ("far", 1.0, far), ("zero", 0.0, -0.0), ("across", 5e-324, -5e-324), ("sign", 1.0, -1.0), ("none", None, None), ("lost", 1.0, None), ("nan", float("nan"), float("nan"))]
+    a, b = (spark.createDataFrame([("p", 0, "mean", n, v[k]) for n, *v in values], "panel string, outer int, kind string, name string, value double") for k in (0, 1))
+    assert {r.name: r.ulps for r in transfer.changed_state(a, b).collect()} == {"far": 9, "sign": 2 * 0x3FF0000000000000 if 2 * 0x3FF0000000000000 < 2**63 else 2**63 - 1, "lost": None}
