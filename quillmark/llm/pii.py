@@ -102,9 +102,10 @@ def free_words(column: pa.Array, spans: list[list[tuple[str, int, int]]], wanted
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             r = int(row[a])
             s, e = start[a:b] - first[r], end[a:b] - first[r]
-            free = np.ones(b - a, bool)
-            for _, lo, hi in spans[block.row + r]:
-                free &= (e <= lo) | (s >= hi)
+            # of the spans that begin before a word ends, none may reach beyond its start
+            own = sorted((lo, hi) for _, lo, hi in spans[block.row + r])
+            reach = np.maximum.accumulate(np.array([-1, *(hi for _, hi in own)]))
+            free = reach[np.searchsorted(np.array([lo for lo, _ in own], np.int64), e, "left")] <= s
             yield block.row + r, block.hashes[hit[a:b]][free], s[free], e[free]
 
 
