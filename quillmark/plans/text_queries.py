@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import passages as P
 from quillmark.functions import text as T
-from quillmark.operators import locate, qc, style
+from quillmark.operators import assembly, locate, qc, style
 from quillmark.plans._base import query
 from quillmark.sources.io import table, text_digest
 
@@ -172,6 +172,12 @@ def passage_windows(spark, sf_dir):
     return P.windows(_docs(spark, sf_dir), "doc_id").drop("passage")
 
 
+@query()
+def prose_windows(spark, sf_dir):
+    """Windows of 450 to 650 cleaned words in unblocked runs of paragraphs; tests hold them to a version that cleans and counts every candidate anew."""
+    return assembly.prose_windows(_docs(spark, sf_dir), "doc_id").drop("passage")
+
+
 @query()
 def gapped_passage_windows(spark, sf_dir):
     return P.windows(_docs(spark, sf_dir), "doc_id", 450, 650, preferred=550, gap=150).drop("passage")
