@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmark.operators.inference import summed_arrays
 from quillmark.sources.io import settled
 
 
@@ -79,6 +81,14 @@ def _moments(rows: DataFrame, by: list[str], z: str = "z") -> DataFrame:
     return seen.select(*by, vector_to_array("s.mean").alias("m"), F.transform(sample, lambda v: v * (n - 1) / n).alias("v"), n.alias("n"))
 
 
+def mean_vectors(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by and z: the mean of the arrays z of each group, an element that is null in all of a group's rows staying null; written once."""
+    known = F.transform("z", lambda v: F.when(v.isNotNull(), F.lit(1.0)).otherwise(F.lit(0.0)))
+    share, mean = (_moments(r, by).select(*by, F.col("m").alias(c)) for r, c in ((rows.withColumn("z", known), "share"), (rows, "mean")))
+    both = settled(mean).join(settled(share), by)
+    return settled(both.select(*by, F.zip_with("mean", "share", lambda m, k: F.when(k > 0, m / k)).alias("z")))
+
+
 def standard_vectors(rows: DataFrame, by: list[str], fit: Column) -> DataFrame:
     """rows with z in place of the array values, by means and deviations of the rows of each group of by where fit holds; elements that don't vary there are null."""
     stats = settled(_moments(rows.where(fit), by, "values"))
@@ -129,12 +139,17 @@ def attributed(rows: DataFrame, by: list[str], keys: list[str], kind: str = "cen
 
 def ledoit_wolf(x: np.ndarray) -> np.ndarray:
     """The shrunk covariance of the rows of x (Ledoit and Wolf 2004), shrunk towards its mean variance."""
-    n, p = x.shape
+    n = len(x)
     x = x - x.mean(axis=0)
-    sample = x.T @ x / n
+    return shrunk(x.T @ x / n, ((x**2).sum(axis=1) ** 2).sum() / n, n)
+
+
+def shrunk(sample: np.ndarray, fourth: float, n: float) -> np.ndarray:
+    """ledoit_wolf from the covariance of n rows and the mean of their squared squared distances from the mean."""
+    p = len(sample)
     mu = np.trace(sample) / p
     delta = ((sample - mu * np.eye(p)) ** 2).sum() / p
-    beta = (((x**2).T @ (x**2)).sum() / n - (sample**2).sum()) / (n * p)
+    beta = (fourth - (sample**2).sum()) / (n * p)
     shrink = 0.0 if delta == 0 else min(beta, delta) / delta
     return (1 - shrink) * sample + shrink * mu * np.eye(p)
 
@@ -181,20 +196,72 @@ def linear_svm(x: np.ndarray, y: np.ndarray, new: np.ndarray, c: float = 1.0, ro
     return labels[np.argmax(scores, axis=0)]
 
 
-KERNELS: dict[str, Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]] = {"shrinkage_lda": shrinkage_lda, "linear_svm": linear_svm}
 
 
-def by_kernel(rows: DataFrame, kernel: str, by: list[str], key: str = "doc_id", label: str = "author") -> DataFrame:
-    """by, key, label, predicted by a dense kernel over the arrays z (null as 0); a group of by (one fold of one panel) is one matrix, which bounds its size."""
-    fit = KERNELS[kernel]
+def _scatters(rows: DataFrame, by: list[str], label: str) -> DataFrame:
+    """by, label, n, scatter (sum of u u' over the label's rows, u being z in units of the label's mean and deviations) and fourth (sum of the squared squared lengths of u), from rows with z, m and v: tasks add up their own."""
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    wide = rows.select(*by, key, label, "train", F.transform("z", lambda x: F.coalesce(x, F.lit(0.0))).alias("vector"))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(key)
-        x, train = np.stack(group["vector"].to_numpy()), group["train"].to_numpy()
-        out = group.loc[~train, [*by, key, label]].copy()
-        out["predicted"] = fit(x[train], group[label].to_numpy()[train].astype(str), x[~train]) if train.any() and (~train).any() else None
-        return out
-
-    return wide.groupBy(*by).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in (*by, key, label)) + ", predicted string")
+    keys = [*by, label]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, list] = {}
+        types = None
+        for batch in batches:
+            types = [batch.schema.field(c).type for c in keys]
+            named = list(zip(*(batch.column(c).to_pylist() for c in keys)))
+            z, m, v = (np.asarray(batch.column(c).flatten()).reshape(batch.num_rows, -1) for c in ("z", "m", "v"))
+            for key in set(named):
+                at = np.array([k == key for k in named])
+                scale = np.sqrt(v[at])
+                u = (z[at] - m[at]) / np.where(scale > 0, scale, 1)
+                part = [at.sum(), u.T @ u, ((u * u).sum(axis=1) ** 2).sum()]
+                sums[key] = [a + b for a, b in zip(sums[key], part)] if key in sums else part
+        if sums:
+            yield pa.RecordBatch.from_arrays([*(pa.array(list(k), t) for k, t in zip(zip(*sums), types)), pa.array([np.concatenate([[n, fourth], scatter.ravel()]) for n, scatter, fourth in sums.values()], pa.list_(pa.float64()))], [*keys, "sums"])
+
+    parts = rows.select(*keys, "z", "m", "v").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", sums array<double>")
+    return summed_arrays(parts, keys, "sums")
+
+
+def shrinkage_lda_by(rows: DataFrame, by: list[str], key: str = "doc_id", label: str = "author") -> DataFrame:
+    """by, key, label, predicted of the rows not in training, by the model of shrinkage_lda, from sums: what moves is a square matrix a label, and no task holds a group's rows.
+
+    A group of by without training rows predicts null.
+    """
+    filled = rows.withColumn("z", F.transform("z", lambda x: F.coalesce(x, F.lit(0.0))))
+    train = filled.where("train")
+    stats = settled(_moments(train, [*by, label]))
+    fitted: dict[tuple, dict] = {}
+    scatters = {tuple(r[:-1]): np.asarray(r["sums"]) for r in _scatters(train.join(F.broadcast(stats), [*by, label]), by, label).collect()}
+    for r in stats.collect():
+        own = tuple(r[c] for c in (*by, label))
+        n, fourth, scatter = scatters[own][0], scatters[own][1], scatters[own][2:]
+        p = math.isqrt(len(scatter))
+        sample = scatter.reshape(p, p) / n
+        scale = np.sqrt(np.asarray(r["v"]))
+        scale[scale == 0] = 1
+        model = fitted.setdefault(own[: len(by)], {"labels": [], "means": [], "shared": 0.0})
+        model["labels"].append(str(own[-1]))
+        model["means"].append(np.asarray(r["m"]))
+        model["shared"] = model["shared"] + shrunk(sample, fourth / n, n) * np.outer(scale, scale)
+    for model in fitted.values():
+        order = np.argsort(model["labels"])
+        means = np.array(model["means"])[order]
+        weights = np.linalg.lstsq(model["shared"] / len(order), means.T, rcond=None)[0]
+        model.update(labels=np.array(model["labels"], object)[order], weights=weights, bias=-0.5 * np.einsum("kp,pk->k", means, weights))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    sent = rows.sparkSession.sparkContext.broadcast({k: (m["labels"], m["weights"], m["bias"]) for k, m in fitted.items()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            named = list(zip(*(batch.column(c).to_pylist() for c in by)))
+            z = np.asarray(batch.column("z").flatten()).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 0))
+            said = np.full(batch.num_rows, None, object)
+            for group in set(named) & sent.value.keys():
+                at = np.array([k == group for k in named])
+                labels, weights, bias = sent.value[group]
+                said[at] = labels[(z[at] @ weights + bias).argmax(axis=1)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*by, key, label)), pa.array(said.tolist(), pa.string())], [*by, key, label, "predicted"])
+
+    kept = filled.where("not train").select(*by, key, label, "z")
+    return kept.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in (*by, key, label)) + ", predicted string")

@@ -106,8 +106,8 @@ def diagonal_lda(spark, sf_dir):
 
 @query()
 def shrinkage_lda(spark, sf_dir):
-    """Ledoit-Wolf discriminant in numpy, one task a fold: tests hold it to invariants."""
-    return models.by_kernel(standard(spark, sf_dir)[0], "shrinkage_lda", ["outer"])
+    """Ledoit-Wolf discriminant from sums of squares over all partitions: tests hold it to the dense solution."""
+    return models.shrinkage_lda_by(standard(spark, sf_dir)[0], ["outer"])
 
 
 @query()
@@ -195,8 +195,14 @@ def single_family_models(spark, sf_dir):
 _CENTRES_ALL = "c AS (SELECT condition, author, feature, avg(z) AS centre FROM z WHERE outer_fold = 0 GROUP BY ALL)"
 
 
+def _means(spark, sf_dir, by, value, fold=0):
+    """by, feature and the mean z of every group of by under every condition, added up as arrays: no passage's measures become rows."""
+    rows, names = standard(spark, sf_dir, True)
+    return named(models.mean_vectors(rows.where(F.col("outer") == fold), ["outer", *by]), names, "z", value, fold).drop("outer")
+
+
 def _centres(spark, sf_dir):
-    return models.centroids(_long(spark, sf_dir), ["condition"])
+    return _means(spark, sf_dir, ["condition", "author"], "centre")
 
 
 @query(f"""{Z_ALL_SQL}, {_CENTRES_ALL} SELECT a.condition, a.author AS a, b.author AS b, round(avg(abs(a.centre - b.centre)), 6) AS delta, round(sqrt(sum(power(a.centre - b.centre, 2))), 6) AS euclid
@@ -242,7 +248,7 @@ mp AS (SELECT condition, feature, alpha, my - alpha * mx AS shift, my - mx AS tr
 
 
 def _mapping_pairs(spark, sf_dir):
-    centres = _long(spark, sf_dir).groupBy("condition", "work", "feature", "train").agg(F.avg("z").alias("c"))
+    centres = _means(spark, sf_dir, ["condition", "work", "train"], "c")
     base = centres.where("condition = 'original'").select("work", "feature", F.col("c").alias("x"))
     return centres.where("condition <> 'original'").join(base, ["work", "feature"]).select("condition", "work", "feature", "train", "x", F.col("c").alias("y"))
 
