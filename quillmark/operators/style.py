@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions import measures as M
 from quillmark.functions import text as T
+from quillmark.operators import sparse
 
 
 #: The measures of a text that need no vocabulary, in the order of the array that measures() gives.
@@ -56,26 +61,32 @@ def fold_vocabularies(texts: DataFrame, k: int = 3, size: int = 120) -> list[lis
     return [[r.gram for r in rows if r.outer == o] for o in range(k)]
 
 
-def gram_counts(texts: DataFrame, keys: list[str], low: int = 3, high: int = 5, column: str = "text") -> DataFrame:
-    grams = F.flatten(F.array(*(T.char_grams(F.col(column), n) for n in range(low, high + 1))))
-    return texts.select(*keys, F.explode_outer(grams).alias("gram")).where("gram is not null").groupBy(*keys, "gram").agg(F.count("*").alias("tf"))
-
-
 def tfidf(texts: DataFrame, key: str, train: Column, low: int = 3, high: int = 5, least: int = 2, most: int = 30_000, column: str = "text") -> DataFrame:
     """key, gram, weight: (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), scaled to length 1.
 
     The vocabulary and document frequencies come from the rows where train holds: grams in `least` of them at least,
-    and of those the `most` with the largest total count, ties by the gram.
+    and of those the `most` with the largest total count, ties by the gram; they come to the driver. Grams are counted
+    within a text, so that no task groups those of its texts.
     """
-    flagged = texts.withColumn("__train", train)
-    counts = gram_counts(flagged, [key, "__train"], low, high, column)
-    n = flagged.agg(F.count_if("__train").alias("docs"))
-    df = counts.where("__train").groupBy("gram").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= least)
-    vocabulary = df.orderBy(F.desc("total"), "gram").limit(most).crossJoin(F.broadcast(n))
-    idf = vocabulary.select("gram", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = counts.join(idf, "gram").select(key, "gram", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, key).select(key, "gram", (F.col("w") / F.col("norm")).alias("weight"))
+    rows = texts.select(key, F.lit("").alias("group"), F.when(train, 1).otherwise(0).alias("fold"), F.coalesce(F.col(column), F.lit("")).alias("text"))
+    vocabulary = sparse.vocabularies(rows, 1, low, high, least, most)
+    kind = dict(rows.dtypes)[key]
+    if not vocabulary.grams:
+        return rows.where("false").select(key, F.lit("").alias("gram"), F.lit(0.0).alias("weight"))
+    sent = rows.sparkSession.sparkContext.broadcast((vocabulary.grams, vocabulary.idf[0]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, idf = pa.array(sent.value[0]), sent.value[1]
+        finder = sparse.Finder(sent.value[0])
+        for batch in batches:
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                places, n = finder.found(M.flat(text.lower()), low, high)
+                weights = (1 + np.log(n)) * idf[places]
+                if len(places):
+                    keys = batch.column(0).take(pa.array(np.full(len(places), i)))
+                    yield pa.RecordBatch.from_arrays([keys, grams.take(pa.array(places)), pa.array(weights / np.sqrt(weights @ weights))], [key, "gram", "weight"])
+
+    return rows.select(key, "text").mapInArrow(run, f"`{key}` {kind}, gram string, weight double")
 
 
 def scaler(features: DataFrame, by: list[str]) -> DataFrame:
