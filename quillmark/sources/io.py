@@ -189,18 +189,25 @@ def table_digest(df: DataFrame, *columns: str) -> DataFrame:
 def sorted_digest(df: DataFrame, column: str) -> DataFrame:
     """One row, digest: SHA-256 over the values of a string column (nulls left out), sorted and joined by newlines.
 
-    Ranges of values are dealt out and sorted; one task then streams through them in order, holding the digest's state and
-    a batch, since such a digest cannot be put together from parts (table_digest can). No rows give null.
+    Ranges of values are dealt out and sorted, each by its own task, and kept below spark.checkpoint.dir; one task then
+    streams through them in order, holding the digest's state and a batch but sorting nothing, since such a digest cannot
+    be put together from parts (table_digest can). Values that come out of order are an error. No rows give null.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, some = sha256(), False
+        state, last = sha256(), None
         for batch in batches:
             for value in batch.column(0).to_pylist():
-                state.update((f"\n{value}" if some else value).encode())
-                some = True
-        yield pa.RecordBatch.from_arrays([pa.array([state.hexdigest() if some else None], pa.string())], ["digest"])
+                value = value.encode()
+                if last is not None and value < last:
+                    raise ValueError("the ranges of sorted_digest were not read in order")
+                state.update(value if last is None else b"\n" + value)
+                last = value
+        yield pa.RecordBatch.from_arrays([pa.array([None if last is None else state.hexdigest()], pa.string())], ["digest"])
 
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     rows = df.select(column).where(F.col(column).isNotNull())
-    return rows.repartitionByRange(n, column).sortWithinPartitions(column).coalesce(1).mapInArrow(run, "digest string")
+    top = shared_top(df.sparkSession)
+    if not df.sparkSession.sparkContext.getCheckpointDir():
+        df.sparkSession.sparkContext.setCheckpointDir(top)
+    return rows.repartitionByRange(n, column).sortWithinPartitions(column).checkpoint().coalesce(1).mapInArrow(run, "digest string")

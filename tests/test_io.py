@@ -65,3 +65,15 @@ def test_stream_equals_batch(spark, tmp_path, sf_dir):
     outcomes.run_available(outcomes.first_outcomes(stream, "user_id", "ts", "60 days"), f"{tmp_path}/out", f"{tmp_path}/state")
     got = spark.read.parquet(f"{tmp_path}/out")
     assert got.count() == got.select("user_id").distinct().count() == events.select("user_id").distinct().count()
+
+
+def test_a_sorted_digest_sorts_nothing_in_its_one_task(spark):
+    from hashlib import sha256
+
+    from quillmark.sources.io import sorted_digest
+
+    values = [f"{i * 7919 % 1000}:é{i}" for i in range(1000)]
+    made = sorted_digest(spark.createDataFrame([(v,) for v in [*values, None]], "h string"), "h")
+    assert made.first().digest == sha256("\n".join(sorted(values)).encode()).hexdigest()
+    assert "Sort" not in made._jdf.queryExecution().toString()
+    assert sorted_digest(spark.createDataFrame([(None,)], "h string"), "h").first().digest is None
