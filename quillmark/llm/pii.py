@@ -20,6 +20,8 @@ KINDS = ("email", "ip", "card", "phone", "term")
 #: the entity is so large, and if seeing the term raises the entity's probability by so many bits. SMOOTH is the weight,
 #: in documents, of the entity's overall probability: at 0.5 one document proves nothing, and two that agree suffice.
 SHARE, BITS, SMOOTH = 0.8, 5.0, 0.5
+#: One in so many documents is counted first: terms that these alone show to be too common are not counted in the others.
+FIRST = 8
 #: Pairs of document and word that a task counts before it merges equal words.
 BUFFER = 4_000_000
 
@@ -178,6 +180,25 @@ def together(scanned: DataFrame, able: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "entity string, term long, both long").groupBy("entity", "term").agg(F.sum("both").alias("both"))
 
 
+def seen_terms(scanned: DataFrame) -> DataFrame:
+    """(term, seen): how many of the scanned documents have each term outside their matches, at most the number of all that have it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+        for batch in batches:
+            for terms in batch.column(0).to_pylist():
+                held.append(np.unique(np.frombuffer(terms, U64)))
+                size += len(held[-1])
+                if size > BUFFER:
+                    yield from _counted(*_merged(held, [np.ones(len(x), np.int64) for x in held]))
+                    held, size = [], 0
+        yield from _counted(*_merged([np.zeros(0, U64), *held], [np.zeros(0, np.int64), *(np.ones(len(x), np.int64) for x in held)]))
+
+    rows = scanned.select("doc_id", "terms").dropDuplicates(["doc_id"]).select("terms")
+    return rows.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("seen"))
+
+
 def disclosing(docs: DataFrame, share: float = SHARE, bits: float = BITS, smooth: float = SMOOTH) -> DataFrame:
     """(entity, term): every term, as its hash, that gives away an entity or a class of them; see find_pii."""
     total = docs.count()
@@ -188,10 +209,16 @@ def disclosing(docs: DataFrame, share: float = SHARE, bits: float = BITS, smooth
     enough = lambda p: (p >= share) & (F.log2(p / prior) >= bits)
     # a term of all the entity's documents and of no other is the best there can be
     able = written(entities.where(enough(share_of(F.col("have"), F.col("have")))))
+    # more documents with a term only lower its share, so that each count that is known so far can rule it out
     pairs = together(scanned, able).join(able, "entity").where(enough(share_of(F.col("both"), F.col("both"))))
-    pairs = written(pairs)
-    counts = term_counts(docs, *keep_terms(pairs))
-    return pairs.join(counts, "term").where(enough(share_of(F.col("both"), F.greatest("n", "both")))).select("entity", "term")
+    pairs = written(pairs.join(seen_terms(scanned), "term").where(enough(share_of(F.col("both"), F.greatest("seen", "both")))))
+    early = F.pmod(F.xxhash64("text"), F.lit(FIRST)) == 0
+    first = term_counts(docs.where(early), *keep_terms(pairs)).withColumnRenamed("n", "first")
+    pairs = pairs.join(first, "term", "left").withColumn("first", F.coalesce("first", F.lit(0)))
+    pairs = written(pairs.where(enough(share_of(F.col("both"), F.greatest("first", "both")))))
+    rest = term_counts(docs.where(~early), *keep_terms(pairs))
+    n = F.col("first") + F.coalesce("n", F.lit(0))
+    return pairs.join(rest, "term", "left").where(enough(share_of(F.col("both"), F.greatest(n, F.col("both"))))).select("entity", "term")
 
 
 def keep_terms(terms: DataFrame) -> tuple[str, int]:

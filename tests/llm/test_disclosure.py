@@ -57,3 +57,17 @@ def test_a_text_of_addresses_takes_time_in_proportion():
     began = time.process_time()
     (found,) = pii.free_words(pa.array([text]), [pii.base_spans(text)])
     assert len(found[1]) == 200_000 and time.process_time() - began < 30
+
+
+def test_common_words_are_ruled_out_before_all_documents_are_counted(spark, monkeypatch):
+    kept, keep = [], pii.keep_terms
+
+    def noted(terms):
+        kept.append(terms.select("term").distinct().count())
+        return keep(terms)
+
+    monkeypatch.setattr(pii, "keep_terms", noted)
+    texts = [f"mailbox{FAR} a{i}@x.org" for i in range(4)] + PLAIN
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.entity for r in pii.disclosing(made).collect()} == {"email:"}
+    assert kept[-1] == 1
