@@ -189,6 +189,57 @@ def summed_arrays(parts: DataFrame, keys: list[str], column: str, extended: bool
     return dealt.mapInArrow(run, fields)
 
 
+def added_up(batches: Iterator[pa.RecordBatch], keys: list[str], most: int = 64 << 20) -> Iterator[pa.RecordBatch]:
+    """keys and sums (halves of the number of rows, of their values and of their squares, as extended doubles) of batches of keys and values, arrays of one length; given out whenever they reach `most` bytes."""
+    sums: dict[tuple, np.ndarray] = {}
+    types: list[pa.DataType] = []
+    out = lambda: pa.RecordBatch.from_arrays([*(pa.array(list(k), t) for k, t in zip(zip(*sums), types)), pa.array([halves(v) for v in sums.values()], pa.list_(pa.float64()))], [*keys, "sums"])
+    held = 0
+    for batch in batches:
+        types = [batch.schema.field(c).type for c in keys]
+        named = list(zip(*(batch.column(c).to_pylist() for c in keys)))
+        values = np.asarray(batch.column("values").flatten()).reshape(len(named), -1).astype(np.longdouble) if named else ()
+        for key, x in zip(named, values):
+            line = np.concatenate([np.ones(1, np.longdouble), x, x * x])
+            if key in sums:
+                sums[key] += line
+            else:
+                sums[key] = line
+                held += line.nbytes
+        if held > most:
+            yield out()
+            sums.clear()
+            held = 0
+    if sums:
+        yield out()
+
+
+def moments_of(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n, mean and square (sum of squared distances from the mean) from the sums of added_up, of those keys or of more."""
+    kinds = "".join(f"`{c}` {t}, " for c, t in parts.select(*keys).dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, mean, square = [], [], []
+            for row in batch.column("sums"):
+                line = whole(row.values)
+                first, second = np.split(line[1:], 2)
+                n.append(int(line[0]))
+                mean.append((first / line[0]).astype(float))
+                square.append(np.maximum(second - first * first / line[0], 0).astype(float))
+            doubles = pa.list_(pa.float64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), pa.array(n, pa.int64()), pa.array(mean, doubles), pa.array(square, doubles)], [*keys, "n", "mean", "square"])
+
+    return summed_arrays(parts, keys, "sums", extended=True).mapInArrow(run, f"{kinds}n long, mean array<double>, square array<double>")
+
+
+def pooled(n: np.ndarray, mean: np.ndarray, square: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """n, mean and square of groups as of one group."""
+    total = n.sum()
+    whole = n @ mean / total
+    return total, whole, square.sum(axis=0) + n @ (mean - whole) ** 2
+
+
 def weighted_confusions(predictions: DataFrame, placed: DataFrame, by: list[str]) -> DataFrame:
     """by, author, predicted and sums: in each replicate, the weights of the passages so predicted.
 

@@ -97,6 +97,26 @@ def standard_vectors(rows: DataFrame, by: list[str], fit: Column) -> DataFrame:
     return joined.withColumn("z", z).drop("values", "m", "v", "n")
 
 
+def mean_z(moments: DataFrame, fits: list[tuple[np.ndarray, np.ndarray]], seen: list[list[int]]) -> DataFrame:
+    """The columns of moments but n, mean and square, with outer and z: for each of fits (means and variances of an outer fold's training rows) the standardised mean of the elements that it has (seen), null for those that don't vary."""
+    keys = [c for c in moments.columns if c not in ("n", "mean", "square")]
+    kinds = ", ".join(f"`{c}` {t}" for c, t in moments.select(*keys).dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            means = np.asarray(batch.column("mean").flatten()).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 0))
+            for outer, ((m, v), own) in enumerate(zip(fits, seen)):
+                if not batch.num_rows:
+                    continue
+                varies = v[own] > 1e-12
+                z = np.where(varies, (means[:, own] - m[own]) / np.sqrt(np.where(varies, v[own], 1)), 0)
+                flat = pa.array(z.ravel(), mask=np.tile(~varies, batch.num_rows))
+                listed = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * len(own), pa.int32()), flat)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), pa.array([outer] * batch.num_rows, pa.int32()), listed], [*keys, "outer", "z"])
+
+    return moments.mapInArrow(run, f"{kinds}, outer int, z array<double>")
+
+
 def candidates(train: DataFrame, by: list[str], kind: str = "centroid", label: str = "author") -> DataFrame:
     """by, candidate, centre, weight, bias of every label: what is best has the largest bias - sum of weight * (z - centre)^2.
 

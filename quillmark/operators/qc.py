@@ -58,9 +58,12 @@ def length_rules(ratio: Column) -> dict[str, Column]:
 
 
 def rewrite_qc_simple(pairs: DataFrame, conditions: list[str], forbidden: str) -> DataFrame:
-    """Judges pairs (original, rewritten, condition): length, sentence count, list marks and leaked phrases."""
-    n, m = F.size(T.words(F.col("original"))), F.size(T.words(F.col("rewritten")))
-    rows = pairs.withColumns({"original_words": n, "rewrite_words": m, "sentences": F.size(T.split_sentences(F.col("rewritten")))})
+    """Judges pairs (original, rewritten, condition): length, sentence count, list marks and leaked phrases.
+
+    pairs may bring original_words in place of original, counted once for all rewritings of a text.
+    """
+    rows = pairs if "original_words" in pairs.columns else pairs.withColumn("original_words", F.size(T.words(F.col("original"))))
+    rows = rows.withColumns({"rewrite_words": F.size(T.words(F.col("rewritten"))), "sentences": T.sentence_count(F.col("rewritten"))})
     rows = rows.withColumn("length_ratio", T.ratio(F.col("rewrite_words"), F.col("original_words")))
     failing = {
         "invalid_condition": ~F.col("condition").isin(conditions),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quillmark.functions import measures as M
 from quillmark.functions import text as T
 from quillmark.operators import sparse
+from quillmark.operators.inference import added_up
 
 
 #: The measures of a text that need no vocabulary, in the order of the array that measures() gives.
@@ -32,6 +33,26 @@ def measures(texts: DataFrame, keys: list[str], grams: list[str] = (), column: s
     return kept.mapInArrow(M.measured(list(keys), list(grams)), f"{kinds}, base array<double>, rates array<double>")
 
 
+def measure_sums(texts: DataFrame, by: list[str], grams: list[str] = (), column: str = "text") -> DataFrame:
+    """by and sums, as inference.moments_of takes them, of the BASE measures and rates of grams of the texts of each group of by.
+
+    A task measures and adds up its texts in one pass, so that no text's measures are written or dealt; null texts are
+    left out.
+    """
+    kept = texts.where(F.col(column).isNotNull()).select(*by, F.col(column).alias("__text"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[: len(by)])
+    measure = M.measured(list(by), list(grams))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return added_up(map(joined, measure(batches)), by)
+
+    def joined(batch: pa.RecordBatch) -> pa.RecordBatch:
+        values = np.concatenate([np.asarray(batch.column(c).flatten()).reshape(batch.num_rows, -1) for c in ("base", "rates")], axis=1) if batch.num_rows else np.zeros((0, 0))
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in by), M.lists(values)], [*by, "values"])
+
+    return kept.mapInArrow(run, f"{kinds}, sums array<double>")
+
+
 def hapax_ratio(texts: DataFrame, keys: list[str], column: str = "text") -> DataFrame:
     """keys, feature, value: the share of words that occur once."""
     tokens = texts.select(*keys, T.words(F.lower(column)).alias("tokens"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
 from quillmark.operators import evidence, geometry, inference, mapping, metrics, models, qc, sparse, style
-from quillmark.plans._base import CENTROID_SQL, CONDITIONS, FOLDED_SQL, LABELS_SQL, MEASURED_ALL_SQL, PASSAGES_SQL, Z_ALL_SQL, Z_SQL, conditioned, folded, matrix, measured, named, passages, query, scores_sql, standard
+from quillmark.plans._base import CENTROID_SQL, CONDITIONS, FOLDED_SQL, LABELS_SQL, MEASURED_ALL_SQL, PASSAGES_SQL, Z_ALL_SQL, Z_SQL, conditioned, folded, held_out, matrix, measured, moments, named, passages, query, scores_sql, standard, work_means
 from quillmark.plans.text_queries import WORD
 from quillmark.sources.io import settled, table
 
@@ -21,15 +21,16 @@ def _labels(rows):
 
 def _predicted(spark, sf_dir, kind="centroid"):
     """Predictions of every passage in the fold that its work is held out of, and the labels, written once."""
+    if kind == "centroid":
+        return held_out(folded(spark, sf_dir)).withColumnRenamed("outer", "fold").drop("condition")
     rows, _ = standard(spark, sf_dir)
-    found = models.attributed(rows, ["outer"], KEYS, kind, digits=9 if kind == "centroid" else 6)
+    found = models.attributed(rows, ["outer"], KEYS, kind)
     return settled(found.withColumnRenamed("outer", "fold"))
 
 
 def _by_condition(spark, sf_dir):
     """Predictions under every condition by centroids of the training originals, written once."""
-    rows, _ = standard(spark, sf_dir, True)
-    return settled(models.attributed(rows, ["outer"], [*KEYS, "condition"], train=F.col("train") & (F.col("condition") == "original"), digits=9))
+    return held_out(folded(spark, sf_dir), True)
 
 
 def _long(spark, sf_dir, fold=0):
@@ -196,9 +197,10 @@ _CENTRES_ALL = "c AS (SELECT condition, author, feature, avg(z) AS centre FROM z
 
 
 def _means(spark, sf_dir, by, value, fold=0):
-    """by, feature and the mean z of every group of by under every condition, added up as arrays: no passage's measures become rows."""
-    rows, names = standard(spark, sf_dir, True)
-    return named(models.mean_vectors(rows.where(F.col("outer") == fold), ["outer", *by]), names, "z", value, fold).drop("outer")
+    """by, feature and the mean z of every group of by under every condition, from sums of the measures of works."""
+    found = moments(spark, sf_dir)
+    rows = work_means(found, ["fold" if c == "train" else c for c in by])
+    return named(settled(rows.select(*by, "outer", "z")), found.names, "z", value, fold).drop("outer")
 
 
 def _centres(spark, sf_dir):
@@ -289,7 +291,8 @@ er AS (SELECT condition, family, work, avg(power(y - x, 2)) AS i, avg(power(y -
 
 
 def _held_out_works(spark, sf_dir):
-    pairs = mapping.work_pairs(standard(spark, sf_dir, True)[0], SPANS)
+    rows = work_means(moments(spark, sf_dir), ["author", "work", "fold", "condition"])
+    pairs = mapping.work_pairs(settled(rows), SPANS)
     return mapping.held_out(pairs, mapping.fitted(pairs))
 
 
@@ -334,9 +337,9 @@ def weighted_bootstrap(spark, sf_dir):
 _PAIRED_SQL = "q AS (SELECT b.doc_id, b.author, b.condition, a.predicted AS original, b.predicted AS rewrite FROM pred b JOIN pred a ON a.doc_id = b.doc_id AND a.condition = 'original' WHERE b.condition <> 'original')"
 
 
-def _paired(spark, sf_dir):
-    """The held-out predictions of each passage as it is and under each other condition, and the authors."""
-    rows = _by_condition(spark, sf_dir)
+def _paired(texts):
+    """The held-out predictions of each passage of folded texts as it is and under each other condition, and the authors."""
+    rows = held_out(texts, True)
     base = rows.where("condition = 'original'").select("doc_id", F.col("predicted").alias("original"))
     return rows.where("condition <> 'original'").join(base, "doc_id").withColumnRenamed("predicted", "rewrite"), _labels(rows)
 
@@ -360,7 +363,7 @@ _AUDITED_SQL = f"{Z_ALL_SQL.replace('WITH ', 'WITH audited AS (SELECT doc_id, to
 @query(f"{_AUDITED_SQL} {_sensitivity_sql('sn', 'true', 'all_audited_pairs')} UNION ALL {_sensitivity_sql('sn', 'risk = 0', 'without_risk')}")
 def semantic_sensitivity(spark, sf_dir):
     """Loss of the held-out predictions over the audited pairs, all and those that no reviewer holds for risky; not estimable once an author is gone."""
-    rows, labels = _paired(spark, sf_dir)
+    rows, labels = _paired(folded(spark, sf_dir))
     audited = settled(rows.join(table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("risk")), "doc_id"))
     every = evidence.paired_sensitivity(audited, F.lit(True), ["condition"], labels, "all_audited_pairs")
     return _figures(every.unionByName(evidence.paired_sensitivity(audited, F.col("risk") == 0, ["condition"], labels, "without_risk")))
@@ -376,9 +379,9 @@ _QC_SQL = rf"""qcs AS (SELECT v.doc_id, v.condition, CASE WHEN trim(v.text) = ''
 @query(f"{Z_ALL_SQL}, {CENTROID_SQL}, {_PAIRED_SQL}, {_QC_SQL}, sn AS MATERIALIZED (SELECT q.*, qc_status FROM q JOIN qcs USING (doc_id, condition)) {_sensitivity_sql('sn', chr(113) + 'c_status = ' + chr(39) + 'pass' + chr(39), 'warning_free')}")
 def warning_free_sensitivity(spark, sf_dir):
     """Loss of the held-out predictions over the pairs whose rewriting the simple rules find nothing against."""
-    rows, labels = _paired(spark, sf_dir)
-    texts = passages(spark, sf_dir)
-    pairs = conditioned(texts).where("condition <> 'original'").withColumnRenamed("text", "rewritten").join(texts.select("doc_id", F.col("text").alias("original")), "doc_id")
+    texts = folded(spark, sf_dir)
+    rows, labels = _paired(texts)
+    pairs = conditioned(texts.withColumn("original_words", F.size(T.words(F.col("text"))))).where("condition <> 'original'").withColumnRenamed("text", "rewritten")
     judged = qc.rewrite_qc_simple(pairs, list(CONDITIONS), LEAKED).select("doc_id", "condition", "qc_status")
     return _figures(evidence.paired_sensitivity(settled(rows.join(judged, ["doc_id", "condition"])), F.col("qc_status") == "pass", ["condition"], labels, "warning_free"))
 
