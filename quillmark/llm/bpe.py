@@ -5,7 +5,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import re
 import struct
 from collections.abc import Callable, Iterator, Sequence
 from functools import cached_property, lru_cache
@@ -18,12 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillmark.llm._store import table
 
-#: Pieces and pairs of tokens that a worker remembers, and chunks and halves of pieces of at most SHORT bytes; twice over.
-PIECES, PAIRS, CHUNKS, PARTS, SHORT = 150_000, 125_000, 100_000, 30_000, 8
+#: Pieces and pairs of tokens that a worker remembers, and halves of pieces of at most SHORT bytes; twice over.
+PIECES, PAIRS, PARTS, SHORT = 250_000, 125_000, 120_000, 8
 #: Neighbours that a node of a tree joins where nothing has to be encoded again.
-FAN = 16
-#: Cuts a text before a blank or newline after anything but white space: no piece of public_tokenizers.PATTERN goes over that.
-_CHUNKS = re.compile(r"\s*\S+(?:[^\S \n]\s*\S+)*(?:[^\S \n]\s*\Z)?|\s+")
+FAN = 64
+#: Bytes up to which a list finds the pair of lowest rank sooner than a heap, and what is above all ranks.
+FEW, NONE = 32, 1 << 40
 
 
 def tree(parts: list[bytes]) -> bytes:
@@ -41,16 +40,17 @@ class Bpe:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.token = {v: k for k, v in self.ranks.items()}
         self.split = regex.compile(pattern).findall
-        self.chunks = _CHUNKS.findall if pattern == public_tokenizers.PATTERN else lambda text: [text]
         self.pairs = _Memory(self._pair, PAIRS)
         self.parts = _Memory(self._halves, PARTS)
         self.joins = 0
 
     def merge(self, data: bytes) -> list[int]:
-        """The tokens of data by a heap of pairs, each step merging the leftmost pair of lowest rank."""
+        """The tokens of data, each step merging the leftmost pair of lowest rank: from a heap of pairs, or few pairs from a list."""
         n, ranks = len(data), self.ranks
         if n == 1:
             return [ranks[data]]
+        if n <= FEW:
+            return self._merge_few(data)
         end, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
         heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(data[i : i + 2])) is not None]
         heapq.heapify(heap)
@@ -70,6 +70,18 @@ class Bpe:
                 heapq.heappush(heap, (r, before[i], stop))
         return [ranks[data[i : end[i]]] for i in range(n) if alive[i]]
 
+    def _merge_few(self, data: bytes) -> list[int]:
+        rank, n = self.ranks.get, len(data)
+        cuts, found = list(range(n + 1)), [rank(data[i : i + 2], NONE) for i in range(n - 1)]
+        while found and (least := min(found)) != NONE:
+            i = found.index(least)
+            del cuts[i + 1], found[i]
+            if i < len(found):
+                found[i] = rank(data[cuts[i] : cuts[i + 2]], NONE)
+            if i:
+                found[i - 1] = rank(data[cuts[i - 1] : cuts[i + 1]], NONE)
+        return [self.ranks[data[a:b]] for a, b in zip(cuts, cuts[1:])]
+
     def _pair(self, key: int) -> list[int] | tuple[()]:
         a, b = key >> 32, key & 0xFFFFFFFF
         both = self.merge(self.token[a] + self.token[b])
@@ -82,12 +94,14 @@ class Bpe:
     def join(self, a: list[int], b: list[int]) -> list[int]:
         """The tokens of two neighbours: the window at their boundary grows on each side until its edge has settled."""
         self.joins += 1
-        i, j, middle = 1, 1, self.pairs[a[-1] << 32 | b[0]]
+        pairs = self.pairs
+        middle = pairs[a[-1] << 32 | b[0]]
         if not middle:
             return a + b
+        i = j = 1
         while True:
-            left = i >= len(a) or self.settled(a[-i - 1], middle[0])
-            right = j >= len(b) or self.settled(middle[-1], b[j])
+            left = i >= len(a) or not pairs[a[-i - 1] << 32 | middle[0]]
+            right = j >= len(b) or not pairs[middle[-1] << 32 | b[j]]
             if left and right:
                 return a[: max(0, len(a) - i)] + middle + b[j:]
             i, j = (i if left else min(len(a), 2 * i)), (j if right else min(len(b), 2 * j))
@@ -115,13 +129,11 @@ class Bpe:
     def encode(self) -> Callable[[str], bytes]:
         """A function from a text to its ids as little-endian unsigned 32-bit integers.
 
-        A text is a tree of chunks, a chunk one of pieces, and a piece one of bytes. Tokens never go over the boundary of
-        two pieces, nor pieces over that of two chunks, so that nothing there has to be encoded again. What it
-        remembers serves all tasks of a worker.
+        A text is a tree of pieces, and a piece one of bytes. Tokens never go over the boundary of two pieces, so that
+        nothing there has to be encoded again. What it remembers serves all tasks of a worker.
         """
-        pieces = _Memory(lambda piece: self.piece(piece.encode()), PIECES)
-        known = _Memory(lambda chunk: tree([pieces[p] for p in self.split(chunk)]), CHUNKS).__getitem__
-        return lambda text: tree(list(map(known, self.chunks(text))))
+        known, split = _Memory(lambda piece: self.piece(piece.encode()), PIECES).__getitem__, self.split
+        return lambda text: tree(list(map(known, split(text))))
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of ids, concatenated up a tree."""
