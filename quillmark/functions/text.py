@@ -24,6 +24,9 @@ PUNCTUATION = r"[.,;:!?—–\-\"“”‘’'…]"
 QUOTES = r"[\"“”‘’]"
 ARCHAIC = "thou thee thy thine hath doth art wilt shalt ere nay".split()
 ABSTRACT = "tion sion ity ness ment ance ence".split()
+#: What a plain text lacks where blanks stand around it.
+LEFT_OUT = "the of and de la le und der".split()
+LEFT_OUT_PATTERN = f" ({'|'.join(LEFT_OUT)}) "
 CONTAMINATION = {"think_open": "<think>", "think_close": "</think>", "as_an_ai": r"\bas an ai\b", "i_cannot": r"\bi cannot\b", "here_is": r"\bhere is\b", "below_is": r"\bbelow is\b", "the_rewritten": r"\bthe rewritten\b", "json_literal": r"\bjson\b"}
 WORD = r"[\p{L}\p{N}_]+(?:[’'-]+[\p{L}\p{N}_]+)*"
 SENTENCE = "[^.!?]+(?:[.!?]+[\"”’]*|\\z)"

@@ -23,34 +23,37 @@ BASE = (
 ).split() + [f"fw_{w}_per_1000w" for w in T.FUNCTION_WORDS]
 
 
-def measures(texts: DataFrame, keys: list[str], grams: list[str] = (), column: str = "text") -> DataFrame:
+def measures(texts: DataFrame, keys: list[str], grams: list[str] = (), column: str = "text", versions: str | None = None) -> DataFrame:
     """keys, base (the BASE measures as one array) and rates (per 1000 trigrams of the text, one for each of grams) of every text.
 
-    Texts do not leave their partition. A null text has null measures, an empty one zeros.
+    Texts do not leave their partition. A null text has null measures, an empty one zeros. versions names a column after
+    keys: a row for each of M.VERSIONS of a text, which tasks make of the words that they found.
     """
     kept = texts.select(*keys, F.col(column).alias("__text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[: len(keys)])
-    return kept.mapInArrow(M.measured(list(keys), list(grams)), f"{kinds}, base array<double>, rates array<double>")
+    more = f"`{versions}` string, " if versions else ""
+    return kept.mapInArrow(M.measured(list(keys), list(grams), versions), f"{kinds}, {more}base array<double>, rates array<double>")
 
 
-def measure_sums(texts: DataFrame, by: list[str], grams: list[str] = (), column: str = "text") -> DataFrame:
-    """by and sums, as inference.moments_of takes them, of the BASE measures and rates of grams of the texts of each group of by.
+def measure_sums(texts: DataFrame, by: list[str], grams: list[str] = (), column: str = "text", versions: str | None = None) -> DataFrame:
+    """by (and versions) and sums, as inference.moments_of takes them, of the BASE measures and rates of grams of the texts of each group of by.
 
     A task measures and adds up its texts in one pass, so that no text's measures are written or dealt; null texts are
-    left out.
+    left out. versions is as in measures.
     """
     kept = texts.where(F.col(column).isNotNull()).select(*by, F.col(column).alias("__text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[: len(by)])
-    measure = M.measured(list(by), list(grams))
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema.fields[: len(by)]) + (f"`{versions}` string, " if versions else "")
+    measure = M.measured(list(by), list(grams), versions)
+    names = [*by, versions] if versions else by
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return added_up(map(joined, measure(batches)), by)
+        return added_up(map(joined, measure(batches)), names)
 
     def joined(batch: pa.RecordBatch) -> pa.RecordBatch:
         values = np.concatenate([np.asarray(batch.column(c).flatten()).reshape(batch.num_rows, -1) for c in ("base", "rates")], axis=1) if batch.num_rows else np.zeros((0, 0))
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in by), M.lists(values)], [*by, "values"])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), M.lists(values)], [*names, "values"])
 
-    return kept.mapInArrow(run, f"{kinds}, sums array<double>")
+    return kept.mapInArrow(run, f"{kinds}sums array<double>")
 
 
 def hapax_ratio(texts: DataFrame, keys: list[str], column: str = "text") -> DataFrame:
