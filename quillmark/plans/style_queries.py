@@ -117,7 +117,7 @@ def linear_svm(spark, sf_dir):
     keys = ["group", "fold", *KEYS, "author"]
     texts = folded(spark, sf_dir).withColumn("group", F.lit("original"))
     vocabulary = sparse.vocabularies(texts, 3)
-    rows = sparse.sparse_rows(texts, keys, vocabulary)
+    rows = sparse.sparse_rows(texts, keys, vocabulary, as_bytes=True)
     fitted = sparse.fit_svm(rows, vocabulary, sorted(r.author for r in _labels(texts).collect()))
     return sparse.predict(rows, fitted, keys).select(F.col("fold").alias("outer"), "doc_id", "author", "predicted")
 

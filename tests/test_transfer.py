@@ -104,6 +104,18 @@ def test_support_vectors_equal_dense_ones_under_any_partitioning(spark):
         assert [got[r.doc_id] for r, t in zip(local, train) if not t] == list(want)
 
 
+def test_products_read_only_rows_within_a_margin(spark, monkeypatch):
+    made, keys = sparse.vocabularies(grouped(spark), 3), ["group", "fold", "author", "doc_id"]
+    plain, short = (sparse.sparse_rows(grouped(spark), keys, made, **own) for own in ({}, {"as_bytes": True}))
+    read, summed = [], sparse._summed
+    monkeypatch.setattr(sparse, "_summed", lambda rows, *others: read.append(rows.count()) or summed(rows, *others))
+    fits = [sparse.fit_svm(x, made, sorted(WORDS), cost=20.0) for x in (plain, short)]
+    np.testing.assert_allclose(fits[0].weights, fits[1].weights, atol=1e-4)
+    assert read[0] == len(TOY) and min(read) < len(TOY)
+    said = [sorted(map(tuple, sparse.predict(x, fits[0], keys).collect())) for x in (plain, short)]
+    assert said[0] == said[1] and len(said[0]) == len(TOY)
+
+
 def test_unsettled_support_vectors_are_an_error(spark):
     made = sparse.vocabularies(grouped(spark), 3)
     with pytest.raises(RuntimeError, match="did not settle"):
