@@ -59,6 +59,22 @@ def test_scores_of_placed_passages_equal_those_of_drawn_rows(spark, by):
         assert {r[-1] for r in figures[1] if r[0] == "right"} == {1.0}
 
 
+def test_passages_of_a_work_are_drawn_beside_one_another(spark, monkeypatch):
+    rows = spark.range(3000).select(F.lit("a").alias("author"), F.concat(F.lit("w"), F.col("id") % 3).alias("work"), F.col("id").alias("doc_id"), F.lit("a").alias("predicted"))
+    apart = spark.sparkContext.accumulator(0)
+
+    def watched(batch):
+        at = list(zip(batch.column("work").to_pylist(), batch.column("place").to_pylist()))
+        apart.add(sum(b != (a[0], a[1] + 1) for a, b in zip(at, at[1:])))
+        return iter(())
+
+    monkeypatch.setattr(inference, "passage_weights", watched)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    assert inference.weighted_confusions(rows, inference.bootstrap_weights(rows.select("author", "work", "doc_id"), 2, placed=True), []).collect() == []
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert apart.value <= 3 * (1000 // inference.NEAR + 1)
+
+
 def test_positions_equal_row_number(spark):
     rows = spark.range(500).select((F.col("id") * 7919 % 500).alias("v"), F.when(F.col("id") % 5 > 0, F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 4))).alias("g"), F.lit(1).alias("place"))
     for group in ([], ["g"]):
